@@ -1,8 +1,10 @@
 """The registered queries of the llm operators, and their SQL."""
 
 from twinlake.llm.suffix_dedup import op1_suffix_array_dedup
+from twinlake.llm.token_prefixes import op2_token_counts
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_token_counts": op2_token_counts,
 }
 ORACLES: dict[str, str] = {}
