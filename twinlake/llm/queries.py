@@ -1,10 +1,14 @@
 """The registered queries of the llm operators, and their SQL."""
 
+from twinlake.llm.chunk_bpe import op9_bpe_chunk_reuse
 from twinlake.llm.suffix_dedup import op1_suffix_array_dedup
+from twinlake.llm.token_files import op7_token_files
 from twinlake.llm.token_prefixes import op2_token_counts
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_token_counts": op2_token_counts,
+    "op7_token_files": op7_token_files,
+    "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
 }
 ORACLES: dict[str, str] = {}
