@@ -1,6 +1,8 @@
 """The registered queries of the llm operators, and their SQL."""
 
 from twinlake.llm.chunk_bpe import op9_bpe_chunk_reuse
+from twinlake.llm.host_quality import OP6_SQL, op6_host_quality
+from twinlake.llm.source_mix import OP5_SQL, op5_source_mix
 from twinlake.llm.suffix_dedup import op1_suffix_array_dedup
 from twinlake.llm.token_files import op7_token_files
 from twinlake.llm.token_prefixes import op2_token_counts
@@ -8,7 +10,9 @@ from twinlake.llm.token_prefixes import op2_token_counts
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_token_counts": op2_token_counts,
+    "op5_source_mix": op5_source_mix,
+    "op6_host_quality": op6_host_quality,
     "op7_token_files": op7_token_files,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_source_mix": OP5_SQL, "op6_host_quality": OP6_SQL}
