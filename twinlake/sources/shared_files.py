@@ -18,7 +18,7 @@ def write_file(uri: str, name: str, parts) -> str:
     """
     system, top = open_folder(uri)
     system.create_dir(top, recursive=True)
-    with system.open_output_stream(f"{top}/{name}") as out:
+    with system.open_output_stream(f"{top}/{name}", compression=None) as out:
         for p in parts:
             out.write(p)
     return name
