@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from twinlake.llm.bpe import Vocabulary, read_vocabulary, vocabulary
 from twinlake.session import ship_package
@@ -17,7 +18,7 @@ WINDOW, MASK = 12, np.uint32((1 << 10) - 1)
 #: Chunks are no shorter than this, but for the last of a text.
 SHORTEST = 64
 #: Characters of chunks a worker remembers; full, the older half goes.
-MEMO = 16 << 20
+MEMO = 8 << 20
 #: Bytes hashed together.
 TOGETHER = 1 << 20
 
@@ -140,31 +141,51 @@ class ChunkEncoder:
 _encoders: dict[int, ChunkEncoder] = {}
 
 
-def encode_texts(documents: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _slices(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """b in pieces of about TOGETHER bytes of a column."""
+    sizes = pc.fill_null(pc.cast(pc.binary_length(b.column(column)), pa.int64()), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // TOGETHER
+    heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for low, high in zip(heads, [*heads[1:], b.num_rows], strict=True):
+        yield b.slice(low, high - low)
+
+
+def encode_texts(
+    documents: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """documents with ids: little-endian unsigned 32-bit token ids of the text, as binary.
 
     The ids are those of the tokenizers library without added tokens; special
     strings inside a text are their single id, as its default has it. Chunks are
-    remembered by each Python worker; nothing is shuffled.
+    remembered by each Python worker; nothing is shuffled. decoded names a
+    column for the text that the ids decode to, in the same pass.
 
-    Null and empty texts: no ids, empty binary. Texts of any length are encoded
-    whole. Repeated rows get equal ids. Other columns pass through, one named as
-    ids is replaced. An empty table gives an empty table.
+    Null and empty texts: no ids, empty binary, decoded an empty text. Texts of
+    any length are encoded whole. Repeated rows get equal ids. Other columns
+    pass through, those named as new ones are replaced. An empty table gives an
+    empty table.
     """
     spark = documents.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(tokenizer_path))
+    kept = documents.select(*[c for c in documents.columns if c not in (ids, decoded)])
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType())])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
 
-    @F.arrow_udf("binary")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
         encoder = _encoders.setdefault(id(vocab), ChunkEncoder(vocab))
         for b in batches:
-            done = encoder.encode([t or "" for t in b.to_pylist()])
-            yield pa.array([x.astype("<u4", copy=False).tobytes() for x in done], pa.binary())
+            for part in _slices(b, text):
+                done = list(encoder.encode([t or "" for t in part.column(text).to_pylist()]))
+                more = [pa.array([x.astype("<u4", copy=False).tobytes() for x in done], pa.binary())]
+                if decoded:
+                    more.append(pa.array([vocab.decode(x) for x in done], pa.binary()).cast(pa.string()))
+                names = [*part.schema.names, ids, *[decoded] * bool(decoded)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=names)
 
-    cols = [c for c in documents.columns if c != ids]
-    return documents.select(*cols, encode(F.col(text)).alias(ids))
+    return kept.mapInArrow(work, schema)
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -176,15 +197,17 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", decode
     spark = encoded.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(tokenizer_path))
+    kept = encoded.select(*[c for c in encoded.columns if c != decoded])
 
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
         for b in batches:
-            yield pa.array([vocab.decode(np.frombuffer(x or b"", "<u4")).decode() for x in b.to_pylist()], pa.string())
+            for part in _slices(b, ids):
+                texts = [vocab.decode(np.frombuffer(x or b"", "<u4")) for x in part.column(ids).to_pylist()]
+                new = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, decoded])
 
-    cols = [c for c in encoded.columns if c != decoded]
-    return encoded.select(*cols, decode(F.col(ids)).alias(decoded))
+    return kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField(decoded, T.StringType())]))
 
 
 def op9_bpe_chunk_reuse(spark, sf_dir: str) -> DataFrame:
@@ -193,7 +216,7 @@ def op9_bpe_chunk_reuse(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode_ids(encode_texts(docs, path).select("doc_id", "ids"), path)
+    out = encode_texts(docs, path, decoded="decoded")
     return out.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
