@@ -6,15 +6,17 @@ from twinlake.llm.source_mix import OP5_SQL, op5_source_mix
 from twinlake.llm.suffix_dedup import op1_suffix_array_dedup
 from twinlake.llm.token_files import op7_token_files
 from twinlake.llm.token_prefixes import op2_token_counts
+from twinlake.llm.vector_dedup import OP3_SQL, op3_vector_dedup
 from twinlake.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_vector_dedup": op3_vector_dedup,
     "op4_warc": op4_warc,
     "op5_source_mix": op5_source_mix,
     "op6_host_quality": op6_host_quality,
     "op7_token_files": op7_token_files,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
 }
-ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op5_source_mix": OP5_SQL, "op6_host_quality": OP6_SQL}
+ORACLES: dict[str, str] = {"op3_vector_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mix": OP5_SQL, "op6_host_quality": OP6_SQL}
