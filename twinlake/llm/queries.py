@@ -2,6 +2,7 @@
 
 from twinlake.llm.chunk_bpe import op9_bpe_chunk_reuse
 from twinlake.llm.host_quality import OP6_SQL, op6_host_quality
+from twinlake.llm.minhash_dedup import op8_prob_minhash
 from twinlake.llm.source_mix import OP5_SQL, op5_source_mix
 from twinlake.llm.suffix_dedup import op1_suffix_array_dedup
 from twinlake.llm.token_files import op7_token_files
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op6_host_quality": op6_host_quality,
     "op7_token_files": op7_token_files,
+    "op8_prob_minhash": op8_prob_minhash,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
 }
 ORACLES: dict[str, str] = {"op3_vector_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mix": OP5_SQL, "op6_host_quality": OP6_SQL}
