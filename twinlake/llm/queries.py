@@ -1,6 +1,7 @@
 """The registered queries of the llm operators, and their SQL."""
 
 from twinlake.llm.chunk_bpe import op9_bpe_chunk_reuse
+from twinlake.llm.cotraining import op10_cotraining
 from twinlake.llm.host_quality import OP6_SQL, op6_host_quality
 from twinlake.llm.minhash_dedup import op8_prob_minhash
 from twinlake.llm.source_mix import OP5_SQL, op5_source_mix
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_prob_minhash": op8_prob_minhash,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
+    "op10_cotraining": op10_cotraining,
 }
 ORACLES: dict[str, str] = {"op3_vector_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mix": OP5_SQL, "op6_host_quality": OP6_SQL}

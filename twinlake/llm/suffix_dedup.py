@@ -177,9 +177,13 @@ def _merge(low: list[int], high: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(documents: DataFrame, span: int = 400, text: str = "text", **options) -> DataFrame:
+def remove_repeats(
+    documents: DataFrame, span: int = 400, text: str = "text", as_text: bool = False, **options
+) -> DataFrame:
     """documents with removed_spans array<struct<low, high>> (bytes, high excluded) and kept (binary).
 
+    as_text: kept is a string; characters of which a cut left a part go as a whole.
+
     Every byte goes that a string of span bytes covers which also starts anywhere
     else in the table, in the same document or another; overlapping occurrences
     count, and strings are judged on the input. Strings never cross documents.
@@ -219,11 +223,13 @@ def remove_repeats(documents: DataFrame, span: int = 400, text: str = "text", **
         "__cut", F.when(F.col("__hit").isNotNull(), cut("__raw", "__hit"))
     )
     none = F.array().cast("array<struct<low: int, high: int>>")
-    return done.select(
-        *cols,
-        F.coalesce("__cut.removed_spans", none).alias("removed_spans"),
-        F.coalesce("__cut.kept", "__raw").alias("kept"),
-    )
+    kept = F.coalesce("__cut.kept", "__raw")
+    if as_text:
+        # a cut can leave the head or the tail of a character; such bytes read as U+FFFD, which the texts
+        # themselves may hold, so only rows that were cut are read again
+        whole = F.pandas_udf(lambda s: s.map(lambda b: bytes(b or b"").decode("utf-8", "ignore")), "string")
+        kept = F.when(F.col("__cut").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(whole("__cut.kept"))
+    return done.select(*cols, F.coalesce("__cut.removed_spans", none).alias("removed_spans"), kept.alias("kept"))
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
