@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from twinlake.session import written
 
@@ -44,3 +44,73 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     found = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = nodes.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.union(roots.distinct())
+
+
+def star_clusters(edges: DataFrame, cap: int = 60, small: int = 2000) -> DataFrame:
+    """(cluster, node, position) of greedy stars over edges (src, dst, confidence).
+
+    In each component the node with most unassigned neighbours (least id on a
+    tie) anchors a cluster of itself and its surest cap - 1 neighbours (least id
+    on a tie), until no unassigned node has an unassigned neighbour; a component
+    of two is a cluster as it is. Nodes left alone are in no cluster. cluster is
+    the anchor, position 0 the anchor and then by confidence.
+
+    Components up to `small` nodes are solved each in one task. Larger ones take
+    parallel rounds over the whole table: every node that outranks all others
+    within two steps anchors at once, which gives the same clusters, because a
+    pick changes degrees within two steps only and degrees never rise.
+    """
+    e = edges.select("src", "dst", "confidence").where("src is not null and dst is not null and src <> dst")
+    both = e.union(e.select("dst", "src", "confidence")).groupBy("src", "dst").agg(F.max("confidence").alias("c"))
+    both = written(both, "star-edges")
+    parts = written(connected_components(e), "star-parts")
+    size = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    of = both.join(parts.withColumnRenamed("node", "src"), "src").join(size, "component")
+
+    def solve(rows):
+        import pandas as pd
+
+        near: dict = {}
+        for a, b, c in zip(rows["src"], rows["dst"], rows["c"], strict=True):
+            near.setdefault(a, {})[b] = c
+        out, free = [], set(near)
+        if len(near) == 2:
+            a, b = sorted(near)
+            out, free = [(a, a, 0), (a, b, 1)], set()
+        degree = {a: len(x) for a, x in near.items()}
+        while free:
+            anchor = min(free, key=lambda a: (-degree[a], a))
+            if degree[anchor] == 0:
+                break
+            taken = sorted((x for x in near[anchor] if x in free), key=lambda x: (-near[anchor][x], x))[: cap - 1]
+            members = [anchor, *taken]
+            out += [(anchor, m, k) for k, m in enumerate(members)]
+            free.difference_update(members)
+            for m in members:
+                for x in near[m]:
+                    degree[x] -= 1
+        return pd.DataFrame(out, columns=["cluster", "node", "position"])
+
+    kind = "cluster long, node long, position int"
+    few = of.where(F.col("n") <= small).select("component", "src", "dst", "c")
+    out = few.groupBy("component").applyInPandas(solve, kind)
+    left = written(of.where(F.col("n") > small).select("src", "dst", "c"), "star-left")
+    while not left.isEmpty():
+        rank = left.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+        rank = rank.select(F.col("src").alias("node"), F.struct("d", (-F.col("src")).alias("m")).alias("key"))
+        near = left.join(rank.withColumnsRenamed({"node": "dst", "key": "other"}), "dst")
+        one = near.groupBy("src").agg(F.max("other").alias("other")).join(rank.withColumnRenamed("node", "src"), "src")
+        one = one.select(F.col("src").alias("node"), F.greatest("key", "other").alias("top"), "key")
+        two = left.join(one.select(F.col("node").alias("dst"), "top"), "dst").groupBy("src").agg(F.max("top").alias("top"))
+        two = two.join(one.select(F.col("node").alias("src"), "key", F.col("top").alias("own")), "src")
+        picks = two.where((F.col("key") >= F.col("top")) & (F.col("key") >= F.col("own"))).select("src")
+        order = Window.partitionBy("src").orderBy(F.desc("c"), "dst")
+        chosen = left.join(picks, "src").withColumn("position", F.row_number().over(order)).where(F.col("position") < cap)
+        anchors = picks.select(F.col("src").alias("cluster"), F.col("src").alias("node"), F.lit(0).alias("position"))
+        new = anchors.union(chosen.select("src", "dst", "position"))
+        new = written(new, "star-round")
+        out = out.union(new)
+        gone = new.select("node")
+        left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
+        left = written(left.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"), "star-left")
+    return out

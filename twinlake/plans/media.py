@@ -1,4 +1,437 @@
-"""Queries on the derived media fixture."""
+"""Queries on the derived media library, and the SQL they are held against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from twinlake import config as C
+from twinlake.functions import assets as A, signatures as S
+from twinlake.operators import candidates as cand, review, scoring, vectors, verify
+from twinlake.operators.graph import connected_components, star_clusters
+from twinlake.plans import fixture, pipeline
+from twinlake.plans.fixture_sql import query
+from twinlake.session import written
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+_tables: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, *key, make) -> DataFrame:
+    """A table that several queries of a session start from, written by the first."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _tables:
+        _tables[full] = make()
+    return _tables[full]
+
+
+def _library(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, d, "library", make=lambda: fixture.library(spark, d))
+
+
+def _routes(spark: SparkSession, d: str, level: str) -> DataFrame:
+    lib = _library(spark, d)
+    make = lambda: written(verify.routes(cand.candidates(lib, level), lib, level), "routes")
+    return _once(spark, d, "routes", level, make=make)
+
+
+def _edges(spark: SparkSession, d: str, level: str) -> DataFrame:
+    return _once(spark, d, "edges", level, make=lambda: written(pipeline.confirmed_pairs(_library(spark, d), level), "edges"))
+
+
+def _star_edges(spark: SparkSession, d: str, level: str) -> DataFrame:
+    return _edges(spark, d, level).select(F.col("id_lo").alias("src"), F.col("id_hi").alias("dst"), "confidence")
+
+
+def _members(spark: SparkSession, d: str, level: str = "strict") -> DataFrame:
+    """Components as groups, members in order of id."""
+
+    def make() -> DataFrame:
+        parts = connected_components(_star_edges(spark, d, level))
+        m = parts.withColumnsRenamed({"node": "asset_id", "component": "group_id"}).join(_library(spark, d), "asset_id")
+        order = Window.partitionBy("group_id").orderBy("asset_id")
+        return written(m.withColumn("position", F.row_number().over(order) - 1), "members")
+
+    return _once(spark, d, "members", level, make=make)
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    make = lambda: written(scoring.scored(_members(spark, d), fixture.faces(spark, d)), "ranked")
+    return _once(spark, d, "ranked", make=make)
+
+
+def _register(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _r(c: str, digits: int = 6):
+    return F.round(c, digits).alias(c)
+
+
+# records
+
+_RECORD = "asset_id, kind, pixel_width, pixel_height, creation_ts, duration, is_favorite, burst_id, is_edited, is_hdr, byte_size"
+
+
+@_register("scan_records", query(f"SELECT {_RECORD} FROM assets", "assets"))
+def scan_records(spark, d):
+    return fixture.catalogue(spark, d).select(*_RECORD.split(", ")).orderBy(F.asc_nulls_last("creation_ts"), "asset_id")
+
+
+@_register("kind_filter", query("SELECT asset_id, kind FROM assets WHERE kind IN (1, 3)", "assets"))
+def kind_filter(spark, d):
+    return fixture.catalogue(spark, d).where(F.col("kind").isin(C.SCREENSHOT, C.VIDEO)).select("asset_id", "kind")
+
+
+@_register(
+    "kind_classifier",
+    "SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND user_id % 5 = 0 THEN 1 WHEN event_type IN ('click', 'view') AND user_id % 7 = 0 THEN 2"
+    " WHEN event_type IN ('click', 'view') THEN 0 ELSE 3 END AS kind FROM events WHERE event_type <> 'error'",
+)
+def kind_classifier(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    t = F.col("event_type")
+    media = F.when(t.isin("click", "view"), "image").when(t != "error", "video")
+    kind = A.classify(media, F.col("user_id") % 5 == 0, F.col("user_id") % 7 == 0)
+    return e.select("event_id", kind.alias("kind")).where("kind is not null")
+
+
+@_register("size_estimate", query("SELECT asset_id, byte_size FROM assets", "assets"))
+def size_estimate(spark, d):
+    return fixture.catalogue(spark, d).select("asset_id", A.estimated_bytes().alias("byte_size"))
+
+
+@_register("aspect_ratio", query("SELECT asset_id, px AS pixel_count, round(aspect, 6) AS aspect FROM assets", "assets"))
+def aspect_ratio(spark, d):
+    return fixture.catalogue(spark, d).select("asset_id", A.pixel_count().alias("pixel_count"), F.round(A.aspect_ratio(), 6).alias("aspect"))
+
+
+@_register(
+    "enrich_sizes",
+    query(
+        "SELECT a.asset_id, coalesce(CASE WHEN b > 0 THEN b END, a.byte_size) AS byte_size, coalesce(x, is_edited) AS is_edited FROM assets a LEFT JOIN ("
+        "SELECT asset_id, CAST(sum(file_size) FILTER (type <> 'adjustment') AS BIGINT) AS b, bool_or(type = 'adjustment') AS x FROM resources GROUP BY ALL) USING (asset_id)",
+        "assets", "resources",
+    ),
+)
+def enrich_sizes(spark, d):
+    return scoring.enrich(fixture.catalogue(spark, d), fixture.resources(spark, d)).select("asset_id", "byte_size", "is_edited")
+
+
+@_register(
+    "labels_text",
+    query(
+        "SELECT asset_id, pixel_width || 'x' || pixel_height AS resolution, CAST(floor(duration) AS BIGINT) // 60 || ':' ||"
+        " lpad(CAST(CAST(floor(duration) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock, round(log2(greatest(1, px)), 6) AS log_pixels,"
+        " ['photo', 'screenshot', 'livePhoto', 'video'][kind + 1] AS kind_name FROM assets",
+        "assets",
+    ),
+)
+def labels_text(spark, d):
+    return fixture.catalogue(spark, d).select(
+        "asset_id",
+        A.resolution_label().alias("resolution"),
+        A.clock_label(F.col("duration")).alias("clock"),
+        F.round(F.log2(F.greatest(F.lit(1), A.pixel_count())), 6).alias("log_pixels"),
+        review.kind_label(F.col("kind")).alias("kind_name"),
+    )
+
+
+# signatures
+
+
+@_register("dhash", query("SELECT asset_id, dhash FROM sig", "sig"))
+def dhash(spark, d):
+    return _library(spark, d).select("asset_id", "dhash")
+
+
+@_register("colour_histogram", query("SELECT asset_id, histogram FROM sig", "sig"))
+def colour_histogram(spark, d):
+    return _library(spark, d).select("asset_id", "histogram")
+
+
+@_register("shape_signature", query("SELECT asset_id, shape, shape_norm FROM sig", "sig"))
+def shape_signature(spark, d):
+    return _library(spark, d).select("asset_id", F.col("shape").cast("array<long>").alias("shape"), "shape_norm")
+
+
+@_register(
+    "shape_rotation",
+    query("SELECT asset_id, turn, [CAST(x AS BIGINT) FOR x IN s] AS shape FROM turned WHERE turn > 0", "turned"),
+)
+def shape_rotation(spark, d):
+    points = vectors.indexable(_library(spark, d)).select("asset_id", "shape")
+    out = None
+    for turn in (1, 2, 3):
+        one = points.select("asset_id", F.lit(turn).alias("turn"), S.rotated("shape", turn).cast("array<long>").alias("shape"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_register("luma_stats", query("SELECT asset_id, round(mean_luma, 6) AS mean_luma, mean_luma < 0.03 OR mean_luma > 0.97 AS degenerate FROM sig", "sig"))
+def luma_stats(spark, d):
+    return _library(spark, d).select("asset_id", _r("mean_luma"), A.degenerate(F.col("mean_luma")).alias("degenerate"))
+
+
+@_register("sharpness", query("SELECT asset_id, round(sharpness, 6) AS sharpness FROM sig", "sig"))
+def sharpness(spark, d):
+    return _library(spark, d).select("asset_id", _r("sharpness"))
+
+
+@_register("exposure", query("SELECT asset_id, round(exposure, 6) AS exposure FROM sig", "sig"))
+def exposure(spark, d):
+    return _library(spark, d).select("asset_id", _r("exposure"))
+
+
+@_register("keyframe_hashes", query("SELECT asset_id, keyframes FROM sig WHERE len(keyframes) > 0", "sig"))
+def keyframe_hashes(spark, d):
+    return _library(spark, d).where(F.size("keyframes") > 0).select("asset_id", "keyframes")
+
+
+# pairs
+
+for _level in C.LEVELS:
+
+    def _still(spark, d, level=_level):
+        return cand.still_candidates(_library(spark, d), level).select("id_lo", "id_hi", "hash_distance", _r("histogram_similarity"))
+
+    def _video(spark, d, level=_level):
+        return cand.video_candidates(_library(spark, d), level).select("id_lo", "id_hi", "hash_distance", _r("histogram_similarity"))
+
+    def _routed(spark, d, level=_level):
+        return _routes(spark, d, level).select("id_lo", "id_hi", "route", _r("confidence"), _r("accept"))
+
+    def _grey(spark, d, level=_level):
+        out = verify.grey_scores(_routes(spark, d, level), _library(spark, d))
+        return out.select("id_lo", "id_hi", _r("score"), _r("accept"), (F.col("score") >= F.col("accept")).alias("confirmed"))
+
+    def _neighbours(spark, d, level=_level):
+        return _edges(spark, d, level).where("via = 'neighbour'").select("id_lo", "id_hi", _r("confidence"))
+
+    def _confirmed(spark, d, level=_level):
+        return _edges(spark, d, level).select("id_lo", "id_hi", _r("confidence"), "via")
+
+    _shown = "SELECT id_lo, id_hi, d AS hash_distance, round(s, 6) AS histogram_similarity FROM"
+    _register(f"still_candidates_{_level}", query(f"{_shown} stills_{_level}", f"stills_{_level}", level=_level))(_still)
+    _register(f"video_candidates_{_level}", query(f"{_shown} videos_{_level}", f"videos_{_level}", level=_level))(_video)
+    _register(
+        f"pair_routes_{_level}",
+        query(f"SELECT id_lo, id_hi, route, round(confidence, 6) AS confidence, round(accept, 6) AS accept FROM routes_{_level}", f"routes_{_level}", level=_level),
+    )(_routed)
+    _register(
+        f"grey_zone_{_level}",
+        query(f"SELECT id_lo, id_hi, round(score, 6) AS score, round(accept, 6) AS accept, score >= accept AS confirmed FROM grey_{_level}", f"grey_{_level}", level=_level),
+    )(_grey)
+    _register(
+        f"neighbour_pairs_{_level}",
+        query(f"SELECT id_lo, id_hi, round(confidence, 6) AS confidence FROM near_{_level}", f"near_{_level}", level=_level),
+    )(_neighbours)
+    _register(
+        f"confirmed_pairs_{_level}",
+        query(f"SELECT id_lo, id_hi, round(confidence, 6) AS confidence, via FROM edges_{_level}", f"edges_{_level}", level=_level),
+    )(_confirmed)
+
+
+@_register("neighbour_topk", query("SELECT query, point, round(score, 6) AS score FROM lists", "lists"))
+def neighbour_topk(spark, d):
+    points = vectors.indexable(_library(spark, d)).select("asset_id", "shape", "shape_norm")
+    return vectors.nearest(points, points).select("query", "point", _r("score"))
+
+
+@_register(
+    "hamming_pairs",
+    query("SELECT a.asset_id AS id_lo, c.asset_id AS id_hi, CAST(bit_count(xor(a.dhash, c.dhash)) AS INTEGER) AS distance FROM lib a JOIN lib c"
+          " ON a.asset_id // 8 = c.asset_id // 8 AND a.asset_id < c.asset_id", "lib"),
+)
+def hamming_pairs(spark, d):
+    lib = _library(spark, d).select("asset_id", "dhash", F.expr("asset_id div 8").alias("v"))
+    a, b = lib.alias("a"), lib.alias("b")
+    p = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.asset_id") < F.col("b.asset_id")))
+    distance = A.hamming(F.col("a.dhash"), F.col("b.dhash"))
+    return p.select(F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"), distance.alias("distance"))
+
+
+@_register(
+    "same_moment",
+    query("SELECT a.asset_id AS id_lo, c.asset_id AS id_hi, coalesce(abs(epoch(a.creation_ts) - epoch(c.creation_ts)) <= 180, FALSE) AS same_moment"
+          " FROM assets a JOIN assets c ON a.asset_id < c.asset_id AND a.asset_id // 16 = c.asset_id // 16", "assets"),
+)
+def same_moment(spark, d):
+    t = fixture.catalogue(spark, d).select("asset_id", "creation_ts", F.expr("asset_id div 16").alias("v"))
+    p = t.select("v", F.struct("*").alias("a")).join(t.select("v", F.struct("*").alias("b")), "v")
+    p = p.where(F.col("a.asset_id") < F.col("b.asset_id"))
+    return p.select(
+        F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"),
+        A.same_moment("a.creation_ts", "b.creation_ts").alias("same_moment"),
+    )
+
+
+# groups
+
+for _level in C.LEVELS:
+
+    def _components(spark, d, level=_level):
+        return connected_components(_star_edges(spark, d, level)).select("node", "component")
+
+    def _stars(spark, d, level=_level):
+        return star_clusters(_star_edges(spark, d, level), C.MAX_GROUP)
+
+    _register(f"connected_components_{_level}", query(f"SELECT node, root AS component FROM comp_{_level}", f"comp_{_level}", level=_level))(_components)
+    _register(f"star_clusters_{_level}")(_stars)
+
+
+@_register(
+    "group_confidence",
+    query("SELECT g.group_id, round(coalesce(c, 0.8::DOUBLE), 6) AS confidence FROM (SELECT DISTINCT group_id FROM members_strict) g LEFT JOIN ("
+          "SELECT group_id, avg(confidence) AS c FROM edges_strict JOIN members_strict ON asset_id = id_lo GROUP BY ALL) USING (group_id)",
+          "members_strict", "edges_strict", level="strict"),
+)
+def group_confidence(spark, d):
+    return scoring.group_confidence(_members(spark, d), _edges(spark, d, "strict")).select("group_id", _r("confidence"))
+
+
+@_register(
+    "dominant_kind",
+    query("SELECT group_id, arg_max(kind, n * 10 - kind) AS kind FROM (SELECT group_id, kind, count(*) AS n FROM members_strict GROUP BY ALL) GROUP BY ALL",
+          "members_strict", level="strict"),
+)
+def dominant_kind(spark, d):
+    return scoring.dominant_kind(_members(spark, d))
+
+
+_BURST = (
+    "SELECT group_id, count(DISTINCT burst_id) = 1 OR coalesce(count(*) >= 3 AND count(DISTINCT (pixel_width, pixel_height)) = 1"
+    " AND count(creation_ts) = count(*) AND max(gap) <= 10, FALSE) AS is_burst FROM (SELECT *, epoch(creation_ts)"
+    " - epoch(lag(creation_ts) OVER (PARTITION BY group_id ORDER BY creation_ts, asset_id)) AS gap FROM members_strict) GROUP BY group_id"
+)
+
+
+@_register("burst_flag", query(_BURST, "members_strict", level="strict"))
+def burst_flag(spark, d):
+    return scoring.burst_flag(_members(spark, d))
+
+
+def _norm(x: str) -> str:
+    return (
+        f"CASE WHEN max({x}) OVER g - min({x}) OVER g > 1e-9 THEN ({x} - min({x}) OVER g) / (max({x}) OVER g - min({x}) OVER g) ELSE 0.5::DOUBLE END"
+    )
+
+
+_first = "row_number() OVER (PARTITION BY group_id ORDER BY {} DESC, position) = 1"
+_FACED = {
+    "faced": (
+        "members_strict faces",
+        "SELECT m.*, face_count, open_eye, log2(CAST(greatest(1, px) AS DOUBLE)) AS res, coalesce(max(face_count) OVER (PARTITION BY group_id) > 0, FALSE) AS wf"
+        " FROM members_strict m LEFT JOIN faces USING (asset_id)",
+    ),
+    "scored": (
+        "faced",
+        f"SELECT *, round(3.0::DOUBLE * ({_norm('sharpness')}) + 2.5::DOUBLE * ({_norm('res')}) + 1.2::DOUBLE * ({_norm('exposure')})"
+        f" + 0.8::DOUBLE * ({_norm('CAST(byte_size AS DOUBLE)')}) + CASE WHEN wf THEN 2.0::DOUBLE * (CASE WHEN face_count IS NULL THEN 0.5::DOUBLE ELSE"
+        f" 0.7::DOUBLE * ({_norm('open_eye')}) + 0.3::DOUBLE * ({_norm('CAST(face_count AS DOUBLE)')}) END) ELSE 0.0::DOUBLE END"
+        " + CASE WHEN is_favorite THEN 5.0::DOUBLE ELSE 0 END + CASE WHEN is_edited THEN 1.2::DOUBLE ELSE 0 END + CASE WHEN kind = 2 THEN 0.8::DOUBLE ELSE 0 END"
+        " + CASE WHEN is_hdr THEN 0.8::DOUBLE ELSE 0 END - CASE WHEN kind = 1 AND bool_or(kind <> 1) OVER g THEN 1.5::DOUBLE ELSE 0 END, 9) AS score"
+        " FROM faced WINDOW g AS (PARTITION BY group_id)",
+    ),
+    "ranked": ("scored", "SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, position) AS rank FROM scored"),
+    "wins": (
+        "ranked",
+        "SELECT asset_id, list_filter(["
+        + ", ".join(
+            f"CASE WHEN {cond} THEN '{name}' END"
+            for name, cond in (
+                ("favourite", "is_favorite"), ("edited", "is_edited"), ("sharpest", _first.format("sharpness")),
+                ("highestResolution", _first.format("res")), ("eyesOpen", "wf AND " + _first.format("coalesce(open_eye, 0)")),
+                ("mostFaces", "wf AND " + _first.format("coalesce(face_count, 0)")), ("bestExposure", _first.format("exposure")),
+                ("original", "row_number() OVER (PARTITION BY group_id ORDER BY creation_ts ASC NULLS LAST, position) = 1"),
+                ("largestFile", _first.format("byte_size")), ("livePhoto", "kind = 2"), ("highDynamicRange", "is_hdr"),
+            )
+        )
+        + "], lambda x: x IS NOT NULL)[1:3] AS highlights FROM ranked",
+    ),
+    "kinds": ("members_strict", "SELECT group_id, arg_max(kind, n * 10 - kind) AS kind FROM (SELECT group_id, kind, count(*) AS n FROM members_strict GROUP BY ALL) GROUP BY ALL"),
+    "grp": (
+        "ranked kinds",
+        "SELECT group_id, count(*) AS members, min(asset_id) FILTER (rank = 1) AS keeper_id, CAST(coalesce(sum(byte_size) FILTER (rank > 1), 0) AS BIGINT)"
+        " AS reclaimable_bytes, any_value(kinds.kind) AS kind FROM ranked JOIN kinds USING (group_id) GROUP BY group_id",
+    ),
+    "gone": ("ranked grp", "SELECT asset_id, byte_size FROM ranked JOIN grp USING (group_id) WHERE rank > 1 AND grp.kind IN (0, 3) AND rank % 2 = 0"),
+}
+
+
+def _strict(select: str, *names: str) -> str:
+    return query(select, *names, level="strict", extra=_FACED)
+
+
+@_register("quality_scores", _strict("SELECT group_id, asset_id, round(score, 6) AS score, rank FROM ranked", "ranked"))
+def quality_scores(spark, d):
+    return _ranked(spark, d).select("group_id", "asset_id", _r("score"), "rank")
+
+
+@_register("highlights", _strict("SELECT asset_id, highlights FROM wins", "wins"))
+def highlights(spark, d):
+    return _ranked(spark, d).select("asset_id", "highlights")
+
+
+def _groups(spark, d) -> DataFrame:
+    return scoring.groups(_ranked(spark, d), _edges(spark, d, "strict"))
+
+
+@_register("group_reclaimable", _strict("SELECT group_id, members, keeper_id, reclaimable_bytes, kind FROM grp", "grp"))
+def group_reclaimable(spark, d):
+    return _groups(spark, d).select("group_id", "members", "keeper_id", "reclaimable_bytes", "kind")
+
+
+@_register(
+    "scan_summary",
+    _strict("SELECT count(*) AS groups, CAST(sum(members - 1) AS BIGINT) AS duplicates, CAST(sum(reclaimable_bytes) AS BIGINT) AS reclaimable_bytes,"
+            " (SELECT count(*) FROM lib) AS assets_scanned FROM grp", "grp", "lib"),
+)
+def scan_summary(spark, d):
+    return scoring.summary(_groups(spark, d), _library(spark, d).count())
+
+
+@_register("kind_counts", _strict("SELECT kind, count(*) AS groups FROM grp GROUP BY kind", "grp"))
+def kind_counts(spark, d):
+    return review.kind_counts(_groups(spark, d))
+
+
+def _plan(spark, d) -> DataFrame:
+    ranked = _ranked(spark, d)
+    marks = review.default_review(ranked).join(ranked.select("group_id", "asset_id", "rank"), ["group_id", "asset_id"])
+    marks = marks.select("group_id", "asset_id", (F.col("marked") & (F.col("rank") % 2 == 0)).alias("marked"))
+    return review.deletion_plan(marks, ranked, review.visible(_groups(spark, d), [C.PHOTO, C.VIDEO]))
+
+
+@_register("deletion_plan", _strict("SELECT asset_id, byte_size, 'library' AS sink FROM gone", "gone"))
+def deletion_plan(spark, d):
+    return _plan(spark, d)
+
+
+@_register("selection", _strict("SELECT count(*) AS selected, CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS selected_bytes FROM gone", "gone"))
+def selection(spark, d):
+    return review.selection(_plan(spark, d))
+
+
+@_register(
+    "survivors_after_delete",
+    _strict("SELECT group_id, asset_id, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, position) AS rank FROM ("
+            "SELECT *, count(*) OVER (PARTITION BY group_id) AS c FROM ranked WHERE asset_id NOT IN (SELECT asset_id FROM gone)) WHERE c >= 2", "ranked", "gone"),
+)
+def survivors_after_delete(spark, d):
+    return review.survivors(_ranked(spark, d), _plan(spark, d)).select("group_id", "asset_id", "rank")
+
+
+@_register("keepers")
+def keepers(spark, d):
+    scan = pipeline.run_pipeline(_library(spark, d), "strict", fixture.faces(spark, d), fixture.resources(spark, d))
+    return scan.groups.select(
+        "group_id", "members", "keeper_id", "kind", "is_burst", _r("confidence"), "reclaimable_bytes",
+        A.confidence_label(F.col("confidence")).alias("confidence_label"),
+    )
