@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from twinlake import config as C
 from twinlake.functions import assets as A, signatures as S
-from twinlake.operators import candidates as cand, review, scoring, vectors, verify
+from twinlake.operators import candidates as cand, incremental, review, scoring, vectors, verify
 from twinlake.operators.graph import connected_components, star_clusters
 from twinlake.plans import fixture, pipeline
 from twinlake.plans.fixture_sql import query
@@ -435,3 +435,70 @@ def keepers(spark, d):
         "group_id", "members", "keeper_id", "kind", "is_burst", _r("confidence"), "reclaimable_bytes",
         A.confidence_label(F.col("confidence")).alias("confidence_label"),
     )
+
+
+# rescans: cached rows are those of assets whose vector is no multiple of three, some with another stamp
+
+_STAMP = "epoch(creation_ts)"
+_CACHE = {
+    "stamped": ("assets", "SELECT asset_id, coalesce(epoch(creation_ts), -62135769600.0::DOUBLE) AS stamp FROM assets"),
+    "cached": (
+        "stamped",
+        "SELECT asset_id, stamp + CASE asset_id // 8 % 4 WHEN 1 THEN 10.0::DOUBLE WHEN 2 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS stamp FROM stamped WHERE asset_id // 8 % 3 <> 0",
+    ),
+    "noted": (
+        "lists stamped",
+        "SELECT query, point, score, s.stamp + CASE WHEN point % 3 = 0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS t FROM lists JOIN stamped s ON s.asset_id = point",
+    ),
+}
+
+
+def _stamped(spark: SparkSession, d: str) -> DataFrame:
+    return fixture.catalogue(spark, d).select("asset_id", A.stamp().alias("stamp"))
+
+
+def _cached(spark: SparkSession, d: str) -> DataFrame:
+    v = F.expr("asset_id div 8")
+    off = F.when(v % 4 == 1, 10.0).when(v % 4 == 2, 0.25).otherwise(0.0)
+    return _stamped(spark, d).where(v % 3 != 0).withColumn("stamp", F.col("stamp") + off)
+
+
+@_register(
+    "cache_split",
+    query("SELECT s.asset_id, round(s.stamp, 3) AS stamp, coalesce(abs(s.stamp - c.stamp) < 0.5, FALSE) AS reuse FROM stamped s LEFT JOIN cached c USING (asset_id)",
+          "stamped", "cached", extra=_CACHE),
+)
+def cache_split(spark, d):
+    return incremental.split_cached(_stamped(spark, d), _cached(spark, d)).withColumn("stamp", F.round("stamp", 3))
+
+
+@_register(
+    "upsert",
+    query("SELECT asset_id, round(stamp, 3) AS stamp FROM cached WHERE asset_id % 5 <> 0 UNION ALL SELECT asset_id, round(stamp, 3) FROM stamped WHERE asset_id % 5 = 0",
+          "stamped", "cached", extra=_CACHE),
+)
+def upsert(spark, d):
+    new = _stamped(spark, d).where("asset_id % 5 = 0")
+    return incremental.upsert(_cached(spark, d), new).select("asset_id", F.round("stamp", 3).alias("stamp"))
+
+
+@_register("prune_stale", query("SELECT asset_id FROM cached WHERE asset_id % 7 <> 0", "cached", extra=_CACHE))
+def prune_stale(spark, d):
+    live = _stamped(spark, d).where("asset_id % 7 <> 0")
+    return incremental.prune(_cached(spark, d), live, complete=True).select("asset_id")
+
+
+@_register(
+    "neighbour_cache_valid",
+    query("SELECT query, point, round(score, 6) AS score FROM noted n JOIN stamped s ON s.asset_id = point WHERE abs(n.t - s.stamp) < 0.5", "noted", "stamped", extra=_CACHE),
+)
+def neighbour_cache_valid(spark, d):
+    lib = vectors.indexable(_library(spark, d))
+    points = lib.select("asset_id", "shape", "shape_norm")
+    lists = vectors.nearest(points, points)
+    none = {"near": "array<struct<a: bigint, s: double, t: double>>", "near_stamp": "double", "near_version": "int"}
+    table = lib.select("asset_id", "shape", "shape_norm", "stamp", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    table = incremental.store_lists(table, lists)
+    # points of every third id were changed after their neighbours had been noted
+    changed = F.transform("near", lambda n: F.struct(n["a"].alias("a"), n["s"].alias("s"), (n["t"] + F.when(n["a"] % 3 == 0, 10.0).otherwise(0.0)).alias("t")))
+    return incremental.valid_lists(table.withColumn("near", changed)).select("query", "point", _r("score"))
