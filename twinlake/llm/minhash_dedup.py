@@ -49,80 +49,133 @@ def signatures(documents: DataFrame, bands: int, rows: int, words: int) -> DataF
     return documents.mapInArrow(work, "doc_id long, digest binary, sig binary")
 
 
-def _forest(sig: np.ndarray, fresh: np.ndarray, at_least: int) -> tuple[list[tuple[int, int]], bool]:
-    """Edges of a best spanning forest of the pairs that agree in at_least registers, and whether pairs beyond it exist.
+class Union:
+    """Disjoint sets of 0 .. n - 1."""
 
-    fresh: matrix of pairs to look at.
-    """
-    n = len(sig)
-    agree = np.zeros((n, n), np.uint16)
+    def __init__(self, n: int) -> None:
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _agreement(sig: np.ndarray) -> np.ndarray:
+    agree = np.zeros((len(sig), len(sig)), np.uint16)
     for k in range(sig.shape[1]):
         agree += sig[:, k, None] == sig[None, :, k]
-    agree[~fresh] = 0
-    a, b = np.nonzero(np.triu(agree >= at_least, 1))
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    return agree
+
+
+def _other_block(rows: list) -> np.ndarray:
+    """Pairs that this tile (lo, hi) answers for: across the blocks, or all of the only one."""
+    block = np.array([r[3] for r in rows])
+    return block[:, None] != block[None, :] if rows[0][1] != rows[0][2] else ~np.eye(len(rows), dtype=bool)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list]:
+    """Runs of rows with equal first three columns."""
+    rows: list = []
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            if rows and r[:3] != rows[0][:3]:
+                if len(rows) > 1:
+                    yield rows
+                rows = []
+            rows.append(r)
+    if len(rows) > 1:
+        yield rows
 
-    edges = []
-    for k in np.argsort(-agree[a, b].astype(np.int64), kind="stable").tolist():
-        p, q = find(int(a[k])), find(int(b[k]))
-        if p != q:
-            root[q] = p
-            edges.append((int(a[k]), int(b[k])))
-    return edges, len(a) > len(edges)
 
+def _pairs_out(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple[int, int]] = []
+    for some in found:
+        out += some
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-def _tile_pairs(members: DataFrame, at_least: int, registers: int, everything: bool) -> DataFrame:
-    """(bucket, a, b) candidate pairs; b null marks a bucket with pairs beyond its forest.
 
-    members: (bucket, lo, hi, block, rep, part, sig). Pairs of one part are known to
-    be linked and are left out. everything: all pairs rather than a forest.
+def _forests(members: DataFrame, at_least: int, registers: int) -> DataFrame:
+    """(a, b): a best spanning forest, by agreement, of the pairs of each tile that agree in at_least registers.
+
+    members: (bucket, lo, hi, block, rep, sig).
     """
-    kind = pa.schema([("bucket", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def solve(rows: list) -> Iterator[tuple[bytes, int, int | None]]:
-        sig = np.frombuffer(b"".join(r[6] for r in rows), "<u4").reshape(len(rows), registers)
-        block, part = np.array([r[3] for r in rows]), np.array([r[5] for r in rows])
-        fresh = part[:, None] != part[None, :]
-        if rows[0][1] != rows[0][2]:
-            fresh &= block[:, None] != block[None, :]
-        if everything:
-            agree = np.zeros((len(rows), len(rows)), np.uint16)
-            for k in range(registers):
-                agree += sig[:, k, None] == sig[None, :, k]
-            edges, more = list(zip(*np.nonzero(np.triu(fresh & (agree >= at_least), 1)), strict=True)), False
-        else:
-            edges, more = _forest(sig, fresh, at_least)
-        for a, b in edges:
-            yield rows[0][0], *sorted((rows[a][4], rows[b][4]))
-        if more:
-            yield rows[0][0], rows[0][4], None
+
+    def solve(rows: list) -> list[tuple[int, int]]:
+        agree = _agreement(np.frombuffer(b"".join(r[5] for r in rows), "<u4").reshape(len(rows), registers))
+        a, b = np.nonzero(np.triu((agree >= at_least) & _other_block(rows)))
+        sets, edges = Union(len(rows)), []
+        for k in np.argsort(-agree[a, b].astype(np.int64), kind="stable").tolist():
+            if sets.join(int(a[k]), int(b[k])):
+                edges.append((min(rows[a[k]][4], rows[b[k]][4]), max(rows[a[k]][4], rows[b[k]][4])))
+        return edges
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("bucket", "lo", "hi", "block", "rep", "part", "sig")
-        rows, out = [], []
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                if rows and r[:3] != rows[0][:3]:
-                    if len(rows) > 1:
-                        out += solve(rows)
-                    rows = []
-                    if len(out) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), kind)], schema=kind)
-                        out = []
-                rows.append(r)
-        if len(rows) > 1:
-            out += solve(rows)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), kind)], schema=kind)
+        yield from _pairs_out(map(solve, _grouped(batches, ("bucket", "lo", "hi", "block", "rep", "sig"))))
 
     dealt = members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "rep")
-    return dealt.mapInArrow(work, "bucket binary, a long, b long")
+    return dealt.mapInArrow(work, "a long, b long")
+
+
+def _missing_links(members: DataFrame, at_least: int, registers: int, words: int, threshold: float) -> DataFrame:
+    """(a, b): verified links of each tile that join parts which are still apart; as few as join them.
+
+    members: (cluster, lo, hi, block, rep, part, sig, raw). Every pair of the tile
+    between parts whose signatures agree in at_least registers is verified
+    exactly, unless links found before it have joined its ends; failures do not
+    leave the task.
+    """
+
+    def solve(rows: list) -> list[tuple[int, int]]:
+        n = len(rows)
+        near = (_agreement(np.frombuffer(b"".join(r[6] for r in rows), "<u4").reshape(n, registers)) >= at_least) & _other_block(rows)
+        names, part = np.unique([r[5] for r in rows], return_inverse=True)
+        sets, found = Union(len(names)), []
+        doc, shingle, weight = weighted_shingles([r[7] for r in rows], words)
+        cuts = np.searchsorted(doc, np.arange(n + 1))
+        _, local = np.unique(shingle, return_inverse=True)
+        plain = np.array([weight[i:j].max(initial=1) == 1 for i, j in zip(cuts, cuts[1:])])
+        largest = np.bincount(part).argmax()
+        mark = np.zeros(local.max(initial=0) + 1, np.int64)
+        size = np.diff(cuts)
+        for i in np.flatnonzero(part != largest).tolist():
+            roots = np.array([sets.find(k) for k in range(len(names))])[part]
+            others = np.flatnonzero(near[i] & (roots != roots[i]))
+            if not len(others):
+                continue
+            own = slice(cuts[i], cuts[i + 1])
+            even = others[plain[others]] if plain[i] else others[:0]
+            linked = []
+            if len(even):  # all weights are one: common by all, for all the others at once
+                mark[local[own]] = 1
+                at = np.concatenate([np.arange(cuts[j], cuts[j + 1]) for j in even])
+                common = np.add.reduceat(mark[local[at]], np.cumsum(size[even]) - size[even])
+                mark[local[own]] = 0
+                linked += even[common >= threshold * (size[even] + size[i] - common) - 1e-9].tolist()
+            for j in np.setdiff1d(others, even).tolist():
+                other = slice(cuts[j], cuts[j + 1])
+                if probability_jaccard((shingle[own], weight[own]), (shingle[other], weight[other])) >= threshold:
+                    linked.append(j)
+            for j in linked:
+                if sets.join(int(part[i]), int(part[j])):
+                    found.append((min(rows[i][4], rows[j][4]), max(rows[i][4], rows[j][4])))
+        return found
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pairs_out(map(solve, _grouped(batches, ("cluster", "lo", "hi", "block", "rep", "part", "sig", "raw"))))
+
+    dealt = members.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "rep")
+    return dealt.mapInArrow(work, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -176,11 +229,13 @@ def near_duplicates(
     class from the start. Signatures are cut into bands; a pair at the threshold
     shares a band with probability 1 - (1 - 0.8 ** 5) ** 32 = 0.999997. Within a
     bucket, pairs whose signatures agree in threshold - slack of the registers
-    (more than four standard deviations below) are candidates. A best spanning
-    forest of each bucket is verified first; then the pairs of the buckets that
-    hold more, as far as their ends are not connected by then, all of them. So
-    few pairs are made for a group of copies, and no link that would join two
-    classes is lost. class_id is the least doc_id of the class.
+    (about four standard deviations below) are candidates. A best spanning
+    forest of each bucket is verified first, pair by pair. Where candidates hang
+    together but their verified links do not join them, every pair between the
+    parts is then verified inside one of the tiles that their group is cut into,
+    which give back only links. So few pairs are made for a group of copies, and
+    no link that would join two classes is lost. class_id is the least doc_id of
+    the class.
 
     Null and empty texts and those without words are classes of their own, as
     are rows without doc_id (class_id null, kept). A text with fewer words is
@@ -209,34 +264,32 @@ def near_duplicates(
     placed = written(banded.join(full, "bucket"), "minhash-buckets")
     blocks = F.ceil(F.col("n") / TILE).cast("int")
 
-    def tiles(of: DataFrame, part) -> DataFrame:
+    def tiles(of: DataFrame) -> DataFrame:
+        """of with block, lo and hi: each row once for each pair of its block with a block of its group of n."""
         cut = of.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
         others = F.transform(
             F.sequence(F.lit(0), blocks - 1),
             lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")),
         )
-        cut = cut.withColumn("tile", F.explode(others)).join(reps, "rep")
-        return cut.select("bucket", "tile.lo", "tile.hi", "block", "rep", part.alias("part"), "sig")
+        return cut.withColumn("tile", F.explode(others)).withColumns({"lo": F.col("tile.lo"), "hi": F.col("tile.hi")}).drop("tile")
 
-    found = _tile_pairs(tiles(placed, F.col("rep")), at_least, registers, everything=False)
-    found = written(found, "minhash-forest")
-    pairs = written(found.where("b is not null").select("a", "b").distinct(), "minhash-pairs")
-    nodes = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    members = tiles(placed).join(reps, "rep").select("bucket", "lo", "hi", "block", "rep", "sig")
+    pairs = written(_forests(members, at_least, registers).distinct(), "minhash-pairs")
+    clusters = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    clusters = written(clusters.withColumnsRenamed({"node": "rep", "component": "cluster"}), "minhash-clusters")
     # texts of candidates only; one row a representative
-    texts = docs.join(nodes.join(reps, "rep").select("rep", "digest"), "digest").where("doc_id = rep")
+    texts = docs.join(clusters.join(reps, "rep").select("rep", "digest"), "digest").where("doc_id = rep")
     texts = written(texts.dropDuplicates(["rep", "digest"]).select("rep", "raw"), "minhash-texts")
-    links = written(_verified(pairs, texts, words, threshold), "minhash-links")
+    links = written(_verified(pairs, texts, words, threshold).select("a", "b"), "minhash-links")
     parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    parts = written(parts.withColumnRenamed("node", "rep"), "minhash-parts")
-    # what a forest leaves open: pairs of its buckets whose ends are still apart
-    open_buckets = found.where("b is null").select("bucket").distinct()
-    rest = placed.join(open_buckets, "bucket").join(parts, "rep", "left")
-    rest = rest.withColumn("part", F.coalesce("component", "rep"))
-    apart = rest.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    rest = tiles(rest.join(apart, "bucket", "left_semi").drop("component"), F.col("part"))
-    more = _tile_pairs(rest, at_least, registers, everything=True).select("a", "b").distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "minhash-rest")
-    links = links.unionByName(_verified(more, texts, words, threshold))
+    held = clusters.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    held = held.select("cluster", "rep", F.coalesce("component", "rep").alias("part"))
+    state = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q"))
+    # two that failed are settled; of three and more, pairs beyond the forest are open
+    loose = tiles(held.join(state.where("n > 2 and p <> q").select("cluster", "n"), "cluster"))
+    loose = loose.join(reps.select("rep", "sig"), "rep").join(texts, "rep")
+    more = _missing_links(loose, at_least, registers, words, threshold)
+    links = links.union(written(more, "minhash-more"))
     parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     of_text = copies.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     of_text = of_text.select(F.col("digest").alias("__d"), F.coalesce("component", "rep").alias("__c"))
