@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from twinlake import config as C
 from twinlake.functions.assets import pixel_count, resolution_label, seconds_between
 
-_GROUP = Window.partitionBy("group_id")
+def _group():
+    return Window.partitionBy("group_id")
 
 
 def enrich(members: DataFrame, resources: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def enrich(members: DataFrame, resources: DataFrame) -> DataFrame:
 
 def normalised(value: Column) -> Column:
     """Place between the least and the most of the group; a half where all are alike."""
-    low, high = F.min(value).over(_GROUP), F.max(value).over(_GROUP)
+    low, high = F.min(value).over(_group()), F.max(value).over(_group())
     return F.when(high - low > 1e-9, (value - low) / (high - low)).otherwise(0.5)
 
 
@@ -59,13 +60,13 @@ def scored(members: DataFrame, faces: DataFrame | None = None) -> DataFrame:
         m = m.withColumns({"face_count": F.lit(None).cast("int"), "open_eye": F.lit(None).cast("double")})
     else:
         m = m.join(faces.select("asset_id", "face_count", "open_eye"), "asset_id", "left")
-    with_faces = F.coalesce(F.max("face_count").over(_GROUP) > 0, F.lit(False))
+    with_faces = F.coalesce(F.max("face_count").over(_group()) > 0, F.lit(False))
     face = F.when(F.col("face_count").isNull(), 0.5).otherwise(
         0.7 * normalised(F.col("open_eye")) + 0.3 * normalised(F.col("face_count").cast("double"))
     )
     resolution = F.log2(F.greatest(F.lit(1), pixel_count()).cast("double"))
     w, b = C.WEIGHTS, C.BONUS
-    mixed = F.max((F.col("kind") != C.SCREENSHOT).cast("int")).over(_GROUP) > 0
+    mixed = F.max((F.col("kind") != C.SCREENSHOT).cast("int")).over(_group()) > 0
     flag = lambda cond, x: F.when(cond, F.lit(x)).otherwise(0.0)
     total = (
         w["sharpness"] * normalised(F.col("sharpness"))
@@ -81,9 +82,9 @@ def scored(members: DataFrame, faces: DataFrame | None = None) -> DataFrame:
     )
 
     def first_by(value: Column) -> Column:
-        return F.row_number().over(_GROUP.orderBy(F.desc(value), "position")) == 1
+        return F.row_number().over(_group().orderBy(F.desc(value), "position")) == 1
 
-    eldest = F.row_number().over(_GROUP.orderBy(F.asc_nulls_last("creation_ts"), "position")) == 1
+    eldest = F.row_number().over(_group().orderBy(F.asc_nulls_last("creation_ts"), "position")) == 1
     wins = [
         ("favourite", F.col("is_favorite")),
         ("edited", F.col("is_edited")),
@@ -101,7 +102,7 @@ def scored(members: DataFrame, faces: DataFrame | None = None) -> DataFrame:
     m = m.withColumns({f"__w{k}": won for k, (_, won) in enumerate(wins)})
     shown = F.array_compact(F.array(*(F.when(F.col(f"__w{k}"), F.lit(name)) for k, (name, _) in enumerate(wins))))
     m = m.withColumn("highlights", F.slice(shown, 1, 3)).drop(*(f"__w{k}" for k in range(len(wins))))
-    return m.withColumn("rank", F.row_number().over(_GROUP.orderBy(F.desc("score"), "position")))
+    return m.withColumn("rank", F.row_number().over(_group().orderBy(F.desc("score"), "position")))
 
 
 def group_confidence(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def dominant_kind(members: DataFrame) -> DataFrame:
 
 def burst_flag(members: DataFrame) -> DataFrame:
     """(group_id, is_burst): one burst id among those known, or three and more alike and close in time."""
-    order = _GROUP.orderBy("creation_ts", "asset_id")
+    order = _group().orderBy("creation_ts", "asset_id")
     gaps = members.withColumn("prev", F.lag("creation_ts").over(order))
     g = gaps.groupBy("group_id").agg(
         F.count_distinct("burst_id").alias("bursts"),

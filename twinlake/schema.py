@@ -2,14 +2,27 @@
 
 from pyspark.sql import types as T
 
-ASSETS = T.StructType.fromDDL(
-    "asset_id long, kind int, pixel_width int, pixel_height int, creation_ts timestamp_ntz, modification_ts timestamp_ntz, "
-    "duration double, is_favorite boolean, burst_id string, is_edited boolean, is_hdr boolean, byte_size long"
-)
-#: Rows of rgb are top to bottom, left to right, three channels a pixel.
-PIXELS = T.StructType.fromDDL("asset_id long, edge int, rgb binary")
-FINGERPRINTS = T.StructType.fromDDL(
-    "asset_id long, dhash long, histogram array<int>, shape array<int>, shape_norm long, sharpness double, "
-    "exposure double, mean_luma double, keyframes array<long>, stamp double"
-)
-EDGES = T.StructType.fromDDL("id_lo long, id_hi long, confidence double")
+_LONG, _INT, _DOUBLE, _BOOL, _TEXT, _TIME = (
+    T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.StringType(), T.TimestampNTZType(),
+)
+
+
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+ASSETS = _table(
+    asset_id=_LONG, kind=_INT, pixel_width=_INT, pixel_height=_INT, creation_ts=_TIME, modification_ts=_TIME,
+    duration=_DOUBLE, is_favorite=_BOOL, burst_id=_TEXT, is_edited=_BOOL, is_hdr=_BOOL, byte_size=_LONG,
+)
+#: rgb: top to bottom, left to right, three channels a pixel.
+PIXELS = _table(asset_id=_LONG, edge=_INT, rgb=T.BinaryType())
+FINGERPRINTS = _table(
+    asset_id=_LONG, dhash=_LONG, histogram=T.ArrayType(_INT), shape=T.ArrayType(_INT), shape_norm=_LONG,
+    sharpness=_DOUBLE, exposure=_DOUBLE, mean_luma=_DOUBLE, keyframes=T.ArrayType(_LONG), stamp=_DOUBLE,
+)
+#: near: neighbours as (asset, score, stamp of the neighbour when it was measured); null: never searched for.
+POINTS = _table(
+    asset_id=_LONG, shape=T.ArrayType(_INT), shape_norm=_LONG, stamp=_DOUBLE,
+    near=T.ArrayType(_table(a=_LONG, s=_DOUBLE, t=_DOUBLE)), near_stamp=_DOUBLE, near_version=_INT,
+)

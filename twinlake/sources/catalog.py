@@ -30,6 +30,11 @@ def scan_catalogue(spark: SparkSession, path: str, kinds=None, form: str = "parq
     return out.select(*ASSETS.names).orderBy(F.asc_nulls_last("creation_ts"), "asset_id")
 
 
+def _plain_uri(name: str):
+    """Readers write a local path with one slash or three."""
+    return F.regexp_replace(F.col(name), "^file:/+", "file:/")
+
+
 def scan_folder(spark: SparkSession, path: str, kinds=None) -> DataFrame:
     """Records of the images below a folder; ids are file: URIs, sizes true, flags false.
 
@@ -37,12 +42,12 @@ def scan_folder(spark: SparkSession, path: str, kinds=None) -> DataFrame:
     decodes (PNG, JPEG, GIF, BMP).
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        F.col("path").alias("origin"), "modificationTime", "length"
+        _plain_uri("path").alias("origin"), "modificationTime", "length"
     )
     endings = "(?i).*\\.(" + "|".join(IMAGE_ENDINGS) + ")$"
     listed = listed.where(F.col("origin").rlike(endings) & ~F.col("origin").rlike(r"/\.[^/]*$"))
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
-    size = images.select("image.origin", "image.width", "image.height").where("width > 0 and height > 0")
+    size = images.select(_plain_uri("image.origin").alias("origin"), "image.width", "image.height").where("width > 0 and height > 0")
     no = F.lit(False)
     rows = listed.join(size, "origin").select(
         F.col("origin").alias("asset_id"), F.lit(C.PHOTO).alias("kind"),

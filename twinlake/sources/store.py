@@ -10,14 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from twinlake import config as C
 from twinlake.operators import incremental
+from twinlake.schema import POINTS  # noqa: F401  the store that most use
 from twinlake.sources.shared_files import open_folder
 
-POINTS = T.StructType.fromDDL(
-    "asset_id long, shape array<int>, shape_norm long, stamp double, near array<struct<a: bigint, s: double, t: double>>, "
-    "near_stamp double, near_version int"
-)
-
-
 class Store:
     """A table that is replaced as a whole: readers see the old snapshot until the pointer moves.
 
