@@ -12,8 +12,8 @@ from twinlake.llm.shingles import prob_min_hash, probability_jaccard, weighted_s
 from twinlake.operators.graph import connected_components
 from twinlake.session import ship_package, written
 
-#: Bytes of text that are signed or verified together.
-TOGETHER = 4 << 20
+#: Bytes of text that are signed or verified together; numpy takes some sixty times as much.
+TOGETHER = 1 << 20
 #: Members of a bucket that meet in one task; larger buckets are cut into tiles of pairs of blocks.
 TILE = 1024
 
@@ -37,12 +37,14 @@ def signatures(documents: DataFrame, bands: int, rows: int, words: int) -> DataF
 
         for b in batches:
             held, size = [], 0
-            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "raw")), strict=True):
-                held.append(r)
-                size += len(r[2])
-                if size > TOGETHER:
-                    yield sign(*zip(*held, strict=True))
-                    held, size = [], 0
+            for low in range(0, b.num_rows, 256):
+                part = b.slice(low, 256)
+                for r in zip(*(part.column(c).to_pylist() for c in ("doc_id", "digest", "raw")), strict=True):
+                    held.append(r)
+                    size += len(r[2])
+                    if size > TOGETHER:
+                        yield sign(*zip(*held, strict=True))
+                        held, size = [], 0
             if held:
                 yield sign(*zip(*held, strict=True))
 
@@ -201,12 +203,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
 
         for b in batches:
             held, size = [], 0
-            for r in zip(*(b.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                held.append(r)
-                size += len(r[2]) + len(r[3])
-                if size > TOGETHER:
-                    yield solve(held)
-                    held, size = [], 0
+            for low in range(0, b.num_rows, 128):
+                part = b.slice(low, 128)
+                for r in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                    held.append(r)
+                    size += len(r[2]) + len(r[3])
+                    if size > TOGETHER:
+                        yield solve(held)
+                        held, size = [], 0
             if held:
                 yield solve(held)
 
