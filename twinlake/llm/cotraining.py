@@ -14,6 +14,8 @@ from twinlake.session import ship_package
 
 #: Labelled documents that a token must occur in to be a feature; so the text model has a bounded size.
 LEAST_DOCS = 5
+#: Numbers of a text that features() gives.
+NUMBERS = 9
 #: Hashed values of the metadata view.
 META_BITS = 12
 #: Ranges that a number of the metadata view is cut into.
@@ -242,7 +244,7 @@ def _collect(documents: DataFrame, ids: DataFrame, doc_id: str, text: str, meta:
         "id": got["doc_id"].to_numpy(),
         "y": got["y"].to_numpy(),
         "tokens": read("tokens", np.uint64),
-        "numbers": np.array(read("numbers", np.float64)).reshape(len(got), -1),
+        "numbers": np.array(read("numbers", np.float64)).reshape(len(got), NUMBERS),
         "hashed": read("hashed", np.int32),
     }
 
