@@ -41,10 +41,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for each whole copy, and one for a part.
 
     A part is the first words of its document, with single spaces between.
-    Documents of which the mix takes nothing go. Rows that repeat a doc_id count once.
+    Documents of which the mix takes nothing go.
     """
-    taken = mix_sources(docs).groupBy("doc_id").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
-    docs = docs.dropDuplicates(["doc_id"]).join(taken.where("taken > 0"), "doc_id")
+    docs = mix_sources(docs, carry=COLUMNS).where("taken > 0").select("carried.*", "taken", "size")
     part = F.col("taken") % F.col("size")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, part.cast("int")), " ")
     copies = F.array_repeat("text", F.expr("cast(taken div size as int)"))

@@ -57,8 +57,9 @@ def mix_sources(
     doc_id: str = "doc_id",
     source: str = "source",
     text: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of each document.
+    """(doc_id, source, size, source_size, target, taken) of each document, and carried, a struct of the columns in carry.
 
     Each document gets a hash-random key. Within a source, keys are cut into
     16**digits ranges; sums of the ranges give each range its offset, and only
@@ -74,8 +75,9 @@ def mix_sources(
     empty table gives an empty table. Reruns agree, whatever the partitions.
     """
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+    more = [F.struct(*carry).alias("carried")] if carry else []
     rows = documents.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key")
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"), *more
     ).withColumns(
         {
             "part": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
@@ -98,8 +100,9 @@ def mix_sources(
     out = out.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     last = F.greatest(F.lit(0), F.least("size", F.col("rest") - (F.col("ahead") + F.col("upto") - F.col("size"))))
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken")
-    )
+        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"),
+        *["carried"] * bool(carry),
+    )
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:
