@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from twinlake.functions import signatures as S
+from twinlake.functions import export, signatures as S
 
 
 def _rasters(edge, n=4, seed=0):
@@ -67,3 +67,11 @@ def test_fingerprints_skip_what_cannot_be_read(spark):
     assert sorted(got) == [1, 4]
     assert got[1].shape_norm == 0 and len(got[4].shape) == 480
     assert S.fingerprints(df.where("false")).count() == 0
+
+
+def test_point_ids_and_half_precision(spark):
+    assert export.fnv1a64([b"", b"a", b"foobar"]).tolist() == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
+    df = spark.createDataFrame([("a", [1.0, 1 / 3]), (None, None)], "k string, v array<double>")
+    got = export.half_precision(export.point_ids(df, "k"), "v").collect()
+    assert got[0].point_id == 0xAF63DC4C8601EC8C - 2**64 and got[1].point_id is None
+    assert abs(got[0].v[1] - 1 / 3) < 1e-3 and got[0].v[1] != 1 / 3 and got[1].v is None

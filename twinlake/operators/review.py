@@ -67,6 +67,12 @@ def survivors(ranked: DataFrame, deleted: DataFrame) -> DataFrame:
     return left.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "position")))
 
 
+def preview(ranked: DataFrame, shown: int = 4) -> DataFrame:
+    """(group_id, asset_id, rank, more): the first members of each group and how many are not shown."""
+    more = F.greatest(F.lit(0), F.count(F.lit(1)).over(Window.partitionBy("group_id")) - shown)
+    return ranked.select("group_id", "asset_id", "rank", more.alias("more")).where(F.col("rank") <= shown)
+
+
 def selection(plan: DataFrame) -> DataFrame:
     """Selected assets and their bytes."""
     return plan.agg(

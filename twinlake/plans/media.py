@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from twinlake import config as C
-from twinlake.functions import assets as A, signatures as S
+from twinlake.functions import assets as A, export, signatures as S
 from twinlake.operators import candidates as cand, incremental, review, scoring, vectors, verify
 from twinlake.operators.graph import connected_components, star_clusters
 from twinlake.plans import fixture, pipeline
@@ -502,3 +502,46 @@ def neighbour_cache_valid(spark, d):
     # points of every third id were changed after their neighbours had been noted
     changed = F.transform("near", lambda n: F.struct(n["a"].alias("a"), n["s"].alias("s"), (n["t"] + F.when(n["a"] % 3 == 0, 10.0).otherwise(0.0)).alias("t")))
     return incremental.valid_lists(table.withColumn("near", changed)).select("query", "point", _r("score"))
+
+
+@_register(
+    "keyframe_times",
+    query("SELECT asset_id, [round(duration * k / 6, 6) FOR k IN range(1, 6)] AS times FROM assets WHERE kind = 3", "assets"),
+)
+def keyframe_times(spark, d):
+    clips = fixture.catalogue(spark, d).where(F.col("kind") == C.VIDEO)
+    times = export.keyframe_times(F.col("duration"), C.KEYFRAMES)
+    return clips.select("asset_id", F.transform(times, lambda t: F.round(t, 6)).alias("times"))
+
+
+@_register(
+    "eye_openness",
+    "SELECT asset_id, CAST(count(*) AS INTEGER) AS face_count, round(avg(o), 6) AS open_eye FROM (SELECT l_orderkey AS asset_id, l_linenumber AS face,"
+    " least(1.0::DOUBLE, greatest(0.0::DOUBLE, (avg(l_quantity / 100.0::DOUBLE) - 0.10::DOUBLE) / 0.20::DOUBLE)) AS o FROM lineitem GROUP BY ALL) GROUP BY asset_id",
+)
+def eye_openness(spark, d):
+    eyes = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("asset_id"), F.col("l_linenumber").alias("face"), F.lit(100.0).alias("eye_width"), F.col("l_quantity").alias("eye_height")
+    )
+    return scoring.face_info(eyes).select("asset_id", "face_count", _r("open_eye"))
+
+
+@_register(
+    "histogram_intersection",
+    query("SELECT a.asset_id AS id_lo, c.asset_id AS id_hi, round(list_sum(list_transform(list_zip(a.histogram, c.histogram), lambda z: least(z[1], z[2])))"
+          " / 256.0::DOUBLE, 6) AS similarity FROM lib a JOIN lib c ON a.asset_id // 8 = c.asset_id // 8 AND a.asset_id < c.asset_id", "lib"),
+)
+def histogram_intersection(spark, d):
+    lib = _library(spark, d).select(F.expr("asset_id div 8").alias("v"), "asset_id", "histogram")
+    p = lib.select("v", F.struct("*").alias("a")).join(lib.select("v", F.struct("*").alias("b")), "v")
+    p = p.where(F.col("a.asset_id") < F.col("b.asset_id"))
+    common = A.overlap(F.col("a.histogram"), F.col("b.histogram"), F.lit(fixture.EDGE**2))
+    return p.select(F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"), F.round(common, 6).alias("similarity"))
+
+
+@_register(
+    "group_preview",
+    _strict("SELECT group_id, asset_id, rank, greatest(0, count(*) OVER (PARTITION BY group_id) - 4) AS more FROM ranked QUALIFY rank <= 4", "ranked"),
+)
+def group_preview(spark, d):
+    return review.preview(_ranked(spark, d))

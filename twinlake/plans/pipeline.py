@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from twinlake import config as C
 from twinlake.operators import candidates as cand, scoring, vectors, verify
 from twinlake.operators.graph import star_clusters
+from twinlake.plans.control import Progress
 from twinlake.session import written
 
 
@@ -22,11 +23,15 @@ class Scan:
     groups: DataFrame
 
 
-def confirmed_pairs(library: DataFrame, sensitivity: str, lists: DataFrame | None = None) -> DataFrame:
+def confirmed_pairs(
+    library: DataFrame, sensitivity: str, lists: DataFrame | None = None, progress: Progress = Progress()
+) -> DataFrame:
     """(id_lo, id_hi, confidence, via) of all confirmed pairs: by rule, by shape, by neighbourhood."""
+    progress.begin("rules")
     pairs = cand.candidates(library, sensitivity)
     routed = written(verify.routes(pairs, library, sensitivity), "routes")
     known = written(verify.confirmed(routed, verify.grey_scores(routed, library)), "confirmed")
+    progress.begin("neighbours")
     if lists is None:
         points = vectors.indexable(library).select("asset_id", "shape", "shape_norm")
         lists = vectors.nearest(points, points)
@@ -40,14 +45,17 @@ def run_pipeline(
     faces: DataFrame | None = None,
     resources: DataFrame | None = None,
     lists: DataFrame | None = None,
+    progress: Progress = Progress(),
 ) -> Scan:
     """Confirmed pairs, star clusters, ranked members and groups of a library."""
-    edges = written(confirmed_pairs(library, sensitivity, lists), "edges")
+    edges = written(confirmed_pairs(library, sensitivity, lists, progress), "edges")
+    progress.begin("clusters")
     stars = star_clusters(edges.select(F.col("id_lo").alias("src"), F.col("id_hi").alias("dst"), "confidence"), C.MAX_GROUP)
     members = stars.withColumnsRenamed({"cluster": "group_id", "node": "asset_id"}).join(library, "asset_id")
     if resources is not None:
         members = scoring.enrich(members, resources)
     members = written(members, "members")
+    progress.begin("scores")
     if faces is not None:
         faces = faces.join(scoring.contenders(members).select("asset_id").distinct(), "asset_id", "left_semi")
     ranked = written(scoring.scored(members, faces), "ranked")
