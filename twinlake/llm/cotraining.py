@@ -26,6 +26,8 @@ PENALTY = {"text": 1e-3, "meta": 1e-4}
 PSEUDO_WEIGHT = 0.1
 #: Bytes of text whose features are made together.
 TOGETHER = 1 << 20
+#: (row, feature) pairs that a step of a regression works on together, so that the driver makes no large arrays.
+PIECE = 1 << 18
 
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 letters and digits, 2 other signs
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -103,7 +105,7 @@ def _meta_rows(hashed: list[np.ndarray], numbers: np.ndarray, edges: np.ndarray)
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = [len(r) for r in rows]
-    return np.repeat(np.arange(len(rows)), sizes), np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
+    return np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.concatenate([*rows, np.zeros(0, np.int32)])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -125,15 +127,23 @@ class Linear:
         n = len(y)
         weight = weight * np.where(y > 0, 0.5 / (weight * y).sum(), 0.5 / (weight * (1 - y)).sum())
         many = max(1, int(y.sum())), max(1, int(n - y.sum()))
-        good = (np.bincount(c, y[r], minlength=width) + 0.5) / (many[0] + 1)
-        bad = (np.bincount(c, 1 - y[r], minlength=width) + 0.5) / (many[1] + 1)
+        pieces = [slice(k, k + PIECE) for k in range(0, len(r), PIECE)]
+
+        def by_row(values: np.ndarray) -> np.ndarray:
+            return sum((np.bincount(r[s], values[c[s]], minlength=n) for s in pieces), np.zeros(n))
+
+        def by_feature(values: np.ndarray) -> np.ndarray:
+            return sum((np.bincount(c[s], values[r[s]], minlength=width) for s in pieces), np.zeros(width))
+
+        good = (by_feature(y) + 0.5) / (many[0] + 1)
+        bad = (by_feature(1 - y) + 0.5) / (many[1] + 1)
         scale = np.abs(np.log(good / bad))
         w, b = np.zeros(width), 0.0
         m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
         for k in range(1, steps + 1):
-            p = _sigmoid(np.bincount(r, (w * scale)[c], minlength=n) + b)
+            p = _sigmoid(by_row(w * scale) + b)
             g = (p - y) * weight
-            gw, gb = np.bincount(c, g[r], minlength=width) * scale + penalty * w, g.sum()
+            gw, gb = by_feature(g) * scale + penalty * w, g.sum()
             m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             fix = np.sqrt(1 - 0.999**k) / (1 - 0.9**k) * 0.05
@@ -193,6 +203,17 @@ def among(owner: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarr
     return both // len(words), both % len(words)
 
 
+def _places(tokens: list[np.ndarray], words: np.ndarray) -> list[np.ndarray]:
+    """Places among words, which ascend, of the distinct tokens of each row; row by row."""
+    if not len(words):
+        return [np.zeros(0, np.int32)] * len(tokens)
+    out = []
+    for t in tokens:
+        at = np.minimum(np.searchsorted(words, t), len(words) - 1)
+        out.append(at[words[at] == t].astype(np.int32))
+    return out
+
+
 SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in ("p_text", "p_meta", "score")])
 
 
@@ -283,17 +304,19 @@ def train(
     fit, check = np.flatnonzero(~held), np.flatnonzero(held) if held.any() else np.arange(len(held))
     edges = np.quantile(base["numbers"][fit], np.arange(1, BINS + 1) / (BINS + 1), axis=0).T
     pick = lambda rows, k: [rows[i] for i in k]
-    words, docs_with = np.unique(np.concatenate(pick(base["tokens"], fit)), return_counts=True)
-    words = words[docs_with >= LEAST_DOCS]
+    every = np.concatenate(pick(base["tokens"], fit))
+    every.sort()
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+    words = every[first[np.diff(np.r_[first, len(every)]) >= LEAST_DOCS]]
+    del every, first
+    base["tokens"] = _places(base["tokens"], words)
     width = {"text": len(words), "meta": (1 << META_BITS) + len(edges) * (BINS + 1)}
     extra = {"text": None, "meta": None}  # pseudo-labelled documents for each view
 
     def rows_of(view: str, some: dict, k) -> tuple[np.ndarray, np.ndarray]:
         if view == "meta":
             return _flat(pick(_meta_rows(some["hashed"], some["numbers"], edges), k))
-        tokens = pick(some["tokens"], k)
-        owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-        return among(owner, np.concatenate([*tokens, np.zeros(0, np.uint64)]), words)
+        return _flat(pick(some["tokens"], k))
 
     def learn() -> Views:
         def one(view: str) -> Linear:
@@ -323,6 +346,7 @@ def train(
             ]
             chosen = tops[0].union(tops[1]).groupBy(doc_id).agg(F.max("y").alias("y"))
             extra[pupil] = _collect(documents, chosen, doc_id, text, meta)
+            extra[pupil]["tokens"] = _places(extra[pupil]["tokens"], words)
         views = learn()
     return views
 
