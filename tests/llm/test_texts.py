@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from twinlake.llm import simple8b  # noqa: E402
+from twinlake.llm import simple8b, suffix_dedup  # noqa: E402
 from twinlake.llm.bpe import Vocabulary, read_vocabulary  # noqa: E402
 from twinlake.llm.chunk_bpe import ChunkEncoder, decode_ids, encode_texts  # noqa: E402
 from twinlake.llm.host_quality import host_quality  # noqa: E402
@@ -163,6 +163,20 @@ def test_repeats_go_and_nothing_else(spark):
     assert remove_repeats(df.where("false")).count() == 0
 
 
+def test_copies_of_a_text_give_its_contexts_once(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(6)) for _ in range(n))
+    passage = text(120)
+    texts = [text(60) + passage + text(60)] * 50 + [text(60) + passage + text(60), text(200)]
+    seen, sort = [], suffix_dedup._sort_blocks
+    monkeypatch.setattr(suffix_dedup, "_sort_blocks", lambda contexts, *a: seen.append(contexts) or sort(contexts, *a))
+    got = {r.doc_id: r for r in remove_repeats(_docs(spark, list(enumerate(texts)))).collect()}
+    want = _intervals([t.encode() for t in texts], 400)
+    assert all([[s.low, s.high] for s in got[k].removed_spans] == want[k] for k in got)
+    rows = seen[0].groupBy("bucket", "ctx").count().collect()
+    assert len(rows) > 1 and all(r["count"] == 1 for r in rows)
+
+
 def test_mix_meets_its_budgets(spark):
     rng = random.Random(0)
     rows = [(k, " ".join("w" for _ in range(rng.randint(0, 40))), rng.choice(["a", "b", "c", None])) for k in range(300)]

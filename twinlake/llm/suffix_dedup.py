@@ -46,7 +46,7 @@ def _runs(docs: DataFrame, span: int, gram: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(bucket, ctx, bytes) for each wanted run: one representative of each context."""
+    """(bucket, ctx, bytes) for each wanted run: one representative of each context, however many rows repeat a text."""
     by_doc = wanted.groupBy("doc").agg(
         F.collect_list(F.struct("bucket", "ctx", "first", "last")).alias("runs")  # bounded by the document's length
     )
@@ -58,7 +58,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
             F.substring(F.col("raw"), r["first"] + 1, r["last"] - r["first"] + span).alias("bytes"),
         ),
     )
-    return docs.join(by_doc, "doc").select(F.explode(cut).alias("c")).select("c.*")
+    once = docs.dropDuplicates(["doc"])  # partial aggregation: a text leaves a map task once
+    return once.join(by_doc, "doc").select(F.explode(cut).alias("c")).select("c.*")
 
 
 def _sort_blocks(contexts: DataFrame, span: int, block_bytes: int) -> DataFrame:
