@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from twinlake.llm.cotraining import quality_scores
-from twinlake.llm.minhash_dedup import near_duplicates
+from twinlake.llm.minhash_dedup import _missing_links, near_duplicates
 from twinlake.llm.shingles import prob_min_hash, probability_jaccard, weighted_shingles
 from twinlake.llm.vector_dedup import near_vectors
 from twinlake.llm.warc import archive, read_warc, records, write_warc
@@ -80,6 +80,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("twice", [False, True])
+def test_a_pair_at_the_threshold_is_linked(spark, twice):
+    a = [f"w{k}" for k in range(94)]
+    if twice:  # one shingle of weight two
+        a[89:] = a[:5]
+    b = [f"z{k}" if k in (30, 60) else w for k, w in enumerate(a)]
+    texts = [" ".join(a), " ".join(b)]
+    assert _jp(*map(_bag, texts)) == pytest.approx(0.8, abs=1e-12)
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.class_id for r in got] == [0, 0]
+    rows = [(0, 0, 0, 0, k, k, bytes(640), t.encode()) for k, t in enumerate(texts)]
+    tile = spark.createDataFrame(rows, "cluster long, lo int, hi int, block int, rep long, part long, sig binary, raw binary")
+    assert [tuple(r) for r in _missing_links(tile, 104, 160, 5, 0.8).collect()] == [(0, 1)]
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []

@@ -129,6 +129,11 @@ def _forests(members: DataFrame, at_least: int, registers: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long")
 
 
+def _reaches(similarity, threshold: float):
+    """Whether a similarity, exact but for the rounding of its sum, is threshold or more."""
+    return similarity >= threshold - 1e-9
+
+
 def _missing_links(members: DataFrame, at_least: int, registers: int, words: int, threshold: float) -> DataFrame:
     """(a, b): verified links of each tile that join parts which are still apart; as few as join them.
 
@@ -163,10 +168,10 @@ def _missing_links(members: DataFrame, at_least: int, registers: int, words: int
                 at = np.concatenate([np.arange(cuts[j], cuts[j + 1]) for j in even])
                 common = np.add.reduceat(mark[local[at]], np.cumsum(size[even]) - size[even])
                 mark[local[own]] = 0
-                linked += even[common >= threshold * (size[even] + size[i] - common) - 1e-9].tolist()
+                linked += even[_reaches(common / (size[even] + size[i] - common), threshold)].tolist()
             for j in np.setdiff1d(others, even).tolist():
                 other = slice(cuts[j], cuts[j + 1])
-                if probability_jaccard((shingle[own], weight[own]), (shingle[other], weight[other])) >= threshold:
+                if _reaches(probability_jaccard((shingle[own], weight[own]), (shingle[other], weight[other])), threshold):
                     linked.append(j)
             for j in linked:
                 if sets.join(int(part[i]), int(part[j])):
@@ -198,7 +203,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
             own = {t: (shingle[i:j], weight[i:j]) for t, i, j in zip(texts, cuts, cuts[1:], strict=False)}
             found = [(a, b, probability_jaccard(own[x], own[y])) for a, b, x, y in rows]
-            found = [f for f in found if f[2] >= threshold]
+            found = [f for f in found if _reaches(f[2], threshold)]
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t.type) for k, t in enumerate(kind)], schema=kind)
 
         for b in batches:
