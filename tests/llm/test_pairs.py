@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from twinlake.llm.cotraining import quality_scores
+from twinlake.llm.cotraining import features, quality_scores
 from twinlake.llm.minhash_dedup import _missing_links, near_duplicates
 from twinlake.llm.shingles import prob_min_hash, probability_jaccard, weighted_shingles
 from twinlake.llm.vector_dedup import near_vectors
@@ -183,6 +183,13 @@ def test_cotraining_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_metadata_values_are_told_apart_whole():
+    rows = [("news.example.com", "en"), ("blog.example.com", "en"), ("a-host.example", "news.example.com")]
+    hashed = features([b"x"] * 3, rows)[3]
+    assert hashed[0][0] != hashed[1][0] and hashed[0][1] == hashed[1][1]
+    assert hashed[2][1] != hashed[0][0]  # the column counts for long values too
+
+
 def test_cotraining_without_labels_and_with_odd_rows(spark):
     docs, labels, _ = _labelled(spark, 200)
     out = quality_scores(docs, labels.where("false"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,9 +91,8 @@ def features(texts: list[bytes], meta: list[tuple]) -> tuple[np.ndarray, np.ndar
     hashed = []
     for row in meta:
         keys = [f"{k}={v}".encode() for k, v in enumerate(row)]
-        seed = [int.from_bytes(k[-7:], "little") * 31 + len(k) for k in keys]
-        with np.errstate(over="ignore"):
-            hashed.append((mix(np.array(seed, np.uint64) * _BASE) >> np.uint64(64 - META_BITS)).astype(np.int32))
+        whole = [int.from_bytes(hashlib.blake2b(k, digest_size=8).digest(), "little") for k in keys]
+        hashed.append((np.array(whole, np.uint64) >> np.uint64(64 - META_BITS)).astype(np.int32))
     return owner, h, numbers, hashed
 
 
