@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from twinlake.llm.cotraining import features, quality_scores
+from twinlake.llm.cotraining import _collect, features, quality_scores, train
 from twinlake.llm.minhash_dedup import _missing_links, near_duplicates
 from twinlake.llm.shingles import prob_min_hash, probability_jaccard, weighted_shingles
 from twinlake.llm.vector_dedup import near_vectors
@@ -190,6 +190,18 @@ def test_metadata_values_are_told_apart_whole():
     assert hashed[2][1] != hashed[0][0]  # the column counts for long values too
 
 
+def test_labelled_documents_are_those_at_hand_and_count_once(spark):
+    docs, labels, _ = _labelled(spark, 200)
+    far = spark.range(1_000, 101_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert train(docs, labels.union(far), labelled=80, rounds=0) is not None
+    texts = [(k, f"text {j}", "s", "en") for k in (1, 2) for j in range(50)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, source string, lang string")
+    ids = spark.createDataFrame([(1, 1.0), (2, 0.0)], "doc_id long, y double")
+    once, again = (_collect(r, ids, "doc_id", "text", ["source", "lang"]) for r in (rows, rows.orderBy("text")))
+    assert once["id"].tolist() == [1, 2] and once["y"].tolist() == [1.0, 0.0]
+    assert all((a == b).all() for a, b in zip(once["tokens"], again["tokens"], strict=True))
+
+
 def test_cotraining_without_labels_and_with_odd_rows(spark):
     docs, labels, _ = _labelled(spark, 200)
     out = quality_scores(docs, labels.where("false"))

@@ -243,7 +243,10 @@ def _score(documents: DataFrame, views: Views, text: str, meta: list[str]) -> Da
 
 
 def _collect(documents: DataFrame, ids: DataFrame, doc_id: str, text: str, meta: list[str]) -> dict:
-    """Features of a bounded set of documents, ids with their numbers y, on the driver."""
+    """Features of a bounded set of documents, ids with their numbers y, on the driver.
+
+    Of the rows that repeat an id, the one of least text hash stands for it.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,6 +261,8 @@ def _collect(documents: DataFrame, ids: DataFrame, doc_id: str, text: str, meta:
                 )
 
     chosen = documents.select(doc_id, text, *meta).join(F.broadcast(ids), doc_id)
+    least = F.min(F.struct(F.xxhash64(text).alias("__least"), text, *meta, "y")).alias("__row")
+    chosen = chosen.groupBy(doc_id).agg(least).select(doc_id, *(F.col("__row")[c].alias(c) for c in (text, *meta, "y")))
     got = chosen.mapInArrow(work, "doc_id long, y double, tokens binary, numbers binary, hashed binary").toArrow()
     got = got.sort_by([("doc_id", "ascending")])
     read = lambda c, kind: [np.frombuffer(x, kind) for x in got[c].to_pylist()]
@@ -283,8 +288,9 @@ def train(
     """Co-trains the two views; None where the labels hold fewer than two classes.
 
     labels (doc_id, quality, toxic): a document is good if its quality is 1 and
-    it is not toxic. At most `labelled` labelled documents, those of the least
-    id hashes, are used, a fifth of them for calibration. In each round both
+    it is not toxic. At most `labelled` labelled ids that documents holds, those
+    of the least hashes, are used, a fifth of them for calibration; an id on
+    several rows is learnt from the one of least text hash. In each round both
     views score the whole corpus, and of its unlabelled documents each gives the
     other the `confident` surest of either class to learn from.
     """
@@ -293,7 +299,8 @@ def train(
     meta = list(meta)
     good = (F.min("quality") >= 1) & (F.max(F.coalesce("toxic", F.lit(0))) < 1)
     known = labels.where(F.col(doc_id).isNotNull() & F.col("quality").isNotNull()).groupBy(doc_id).agg(good.cast("double").alias("y"))
-    sample = known.orderBy(F.xxhash64(F.col(doc_id), F.lit("sample")), doc_id).limit(labelled)
+    present = documents.select(doc_id).distinct()
+    sample = known.join(present, doc_id, "left_semi").orderBy(F.xxhash64(F.col(doc_id), F.lit("sample")), doc_id).limit(labelled)
     base = _collect(documents, sample, doc_id, text, meta)
     if len(set(base["y"].tolist())) < 2:
         return None
