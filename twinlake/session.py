@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +16,31 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (a test, a notebook on one machine) is a
-    local one made and set.
+    Only where the session names none and all of it runs in one process (a
+    test, a notebook) is a local one made and set; other masters get an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = Path(tempfile.mkdtemp(prefix="twinlake-")).as_uri()
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def free_names(columns: Iterable[str], *names: str) -> list[str]:
+    """names, each lengthened until it is no column; columns differ in more than case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
