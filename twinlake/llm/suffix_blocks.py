@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: A perfect difference set, every residue of 31 is a difference of two members.
@@ -10,7 +12,7 @@ COVER = (0, 1, 3, 8, 12, 18)
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 #: Piece of text that is hashed at once; positions in it fit in POS_BITS.
 PIECE, POS_BITS = 1 << 18, np.uint64(19)
 
@@ -40,14 +42,13 @@ class Rolling:
 
     def __init__(self) -> None:
         n = 2 * PIECE + 2
-        self.up = [_powers(b, n) for b in _BASES]
-        self.down = [_powers(pow(b, -1, 1 << 64), n) for b in _BASES]
+        self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
         with np.errstate(over="ignore"):
-            self.letter = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in _BASES]
+            self.letter = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
-    def sums(self, text: np.ndarray, k: int) -> np.ndarray:
+    def sums(self, text: np.ndarray) -> np.ndarray:
         out = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(self.letter[k][text] * self.up[k][: len(text)], out=out[1:])
+        np.cumsum(self.letter[text] * self.up[: len(text)], out=out[1:])
         return out
 
 
@@ -62,8 +63,8 @@ class Anchors:
     def __init__(self, span: int, gram: int) -> None:
         self.span, self.gram, self.roll = span, gram, Rolling()
 
-    def of(self, texts: list[bytes]):
-        """Yields (text index, bucket, context hash, anchor, first start, last start) arrays."""
+    def of(self, texts: list[bytes], contexts: bool = True):
+        """Yields (text index, bucket, context digests, anchor, first start, last start) of the runs of a piece."""
         todo: list[tuple[int, int, bytes]] = []
         size = 0
         for k, t in enumerate(texts):
@@ -75,19 +76,20 @@ class Anchors:
                 todo.append((k, at, piece))
                 size += len(piece)
                 if size >= PIECE:
-                    yield self._piece(todo)
+                    yield self._piece(todo, contexts)
                     todo, size = [], 0
         if todo:
-            yield self._piece(todo)
+            yield self._piece(todo, contexts)
 
-    def _piece(self, todo):
+    def _piece(self, todo, contexts):
         span, gram, roll = self.span, self.gram, self.roll
-        text = np.frombuffer(b"".join(p for _, _, p in todo), np.uint8)
+        raw = b"".join(p for _, _, p in todo)
+        text = np.frombuffer(raw, np.uint8)
         ends = np.cumsum([len(p) for _, _, p in todo])
         with np.errstate(over="ignore"):
-            sums = roll.sums(text, 0)
+            sums = roll.sums(text)
             n = len(text) - gram + 1
-            h = mix((sums[gram:] - sums[:-gram]) * roll.down[0][:n])
+            h = mix((sums[gram:] - sums[:-gram]) * roll.down[:n])
             key = (h >> POS_BITS << POS_BITS) | np.arange(n, dtype=np.uint64)
             width, want = 1, span - gram + 1
             low = key
@@ -105,13 +107,17 @@ class Anchors:
             first = np.flatnonzero(new)
             last = np.r_[first[1:], len(starts)] - 1
             a, i0, i1 = anchor[first], starts[first], starts[last]
-            more = roll.sums(text, 1)
-            ctx = mix((more[i1 + span] - more[i0]) * roll.down[1][i0] + (i1 - i0).astype(np.uint64) * _M2)
         o = owner[first]
+        ctx = [digest(raw[i : j + span]) for i, j in zip(i0.tolist(), i1.tolist(), strict=True)] if contexts else None
         base = np.array([at for _, at, _ in todo]) - np.r_[0, ends[:-1]]
         which = np.array([k for k, _, _ in todo])
         shift = base[o]
-        return which[o], h[a].view(np.int64), ctx.view(np.int64), a + shift, i0 + shift, i1 + shift
+        return which[o], h[a].view(np.int64), ctx, a + shift, i0 + shift, i1 + shift
+
+
+def digest(raw: bytes) -> bytes:
+    """128 bits that stand for the bytes of a context."""
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
