@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: The limit of an Arrow batch in bytes: its name, Spark's default and ours.
+BATCH, UNBOUNDED, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,7 +60,13 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, once an application."""
+    """Makes this package importable in Python workers, once an application.
+
+    Also sets smaller Arrow batches for them, where the session leaves the limit
+    at its default: what a worker holds is a multiple of a batch.
+    """
+    if spark.conf.get(BATCH, UNBOUNDED) == UNBOUNDED:
+        spark.conf.set(BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
