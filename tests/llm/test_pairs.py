@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from twinlake.llm.cotraining import _collect, features, quality_scores, train
-from twinlake.llm.minhash_dedup import _missing_links, near_duplicates
+from twinlake.llm.minhash_dedup import _open_links, near_duplicates
 from twinlake.llm.shingles import prob_min_hash, probability_jaccard, weighted_shingles
 from twinlake.llm.vector_dedup import near_vectors
 from twinlake.llm.warc import archive, read_warc, records, write_warc
@@ -57,7 +57,8 @@ def test_probability_jaccard_and_its_estimate():
     assert np.abs(np.array(est) - np.array(want)).max() < 0.1
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("tile", [512, 2])
+def test_near_duplicates_equal_brute_force(spark, tile):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     rows, base = [], [[word() for _ in range(rng.randint(60, 200))] for _ in range(12)]
@@ -68,7 +69,7 @@ def test_near_duplicates_equal_brute_force(spark):
     rows += [(5000, None), (5001, ""), (5002, " \n"), (5003, "one two"), (5004, "one  two"), (5005, "one three")]
     rows += [(6000, rows[0][1]), (rows[1][0], rows[1][1]), (None, "one two")]
     df = spark.createDataFrame([(k, t, 0, "x") for k, t in rows], "doc_id long, text string, class_id int, digest string")
-    got = near_duplicates(df).collect()
+    got = near_duplicates(df, tile=tile).collect()
     assert len(got) == len(rows)
     bags = {k: _bag(t or "") for k, t in rows if k is not None}
     ids = sorted(bags)
@@ -90,9 +91,9 @@ def test_a_pair_at_the_threshold_is_linked(spark, twice):
     assert _jp(*map(_bag, texts)) == pytest.approx(0.8, abs=1e-12)
     got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [r.class_id for r in got] == [0, 0]
-    rows = [(0, 0, 0, 0, k, k, bytes(640), t.encode()) for k, t in enumerate(texts)]
-    tile = spark.createDataFrame(rows, "cluster long, lo int, hi int, block int, rep long, part long, sig binary, raw binary")
-    assert [tuple(r) for r in _missing_links(tile, 104, 160, 5, 0.8).collect()] == [(0, 1)]
+    rows = [(b"b", 0, 0, 0, k == 0, bytes([k]), bytes([k]), bytes(640), t.encode()) for k, t in enumerate(texts)]
+    kind = "bucket binary, i int, j int, band int, loose boolean, digest binary, part binary, sig binary, raw binary"
+    assert [tuple(map(bytes, r)) for r in _open_links(spark.createDataFrame(rows, kind), 32, 5, 5, 0.8).collect()] == [(b"\0", b"\1")]
 
 
 def test_vectors_equal_brute_force(spark):

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from twinlake.llm.batches import pieces
 from twinlake.llm.suffix_blocks import mix
-from twinlake.session import ship_package
+from twinlake.session import free_names, ship_package, written
 
 #: Labelled documents that a token must occur in to be a feature; so the text model has a bounded size.
 LEAST_DOCS = 5
@@ -23,10 +24,8 @@ META_BITS = 12
 BINS = 16
 #: Squared-weight penalty of each view's regression.
 PENALTY = {"text": 1e-3, "meta": 1e-4}
-#: Weight of a pseudo-labelled document against a labelled one.
-PSEUDO_WEIGHT = 0.1
-#: Bytes of text whose features are made together.
-TOGETHER = 1 << 20
+#: A view is sure of a document at this probability of its class.
+SURE = 0.9
 #: (row, feature) pairs that a step of a regression works on together, so that the driver makes no large arrays.
 PIECE = 1 << 18
 
@@ -217,29 +216,22 @@ def _places(tokens: list[np.ndarray], words: np.ndarray) -> list[np.ndarray]:
 SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in ("p_text", "p_meta", "score")])
 
 
-def _rows(batch: pa.RecordBatch, text: str, meta: list[str]) -> Iterator[tuple[int, int, tuple]]:
-    """(first row, last row, features) of pieces of a batch of about TOGETHER bytes."""
-    texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
-    extra = list(zip(*(batch.column(c).to_pylist() for c in meta), strict=True)) if meta else [()] * len(texts)
-    low, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size > TOGETHER or k == len(texts) - 1:
-            yield low, k + 1, features(texts[low : k + 1], extra[low : k + 1])
-            low, size = k + 1, 0
+def _features(b: pa.RecordBatch, text: str, meta: list[str]) -> tuple:
+    texts = [(t or "").encode() for t in b.column(text).to_pylist()]
+    extra = list(zip(*(b.column(c).to_pylist() for c in meta), strict=True)) if meta else [()] * len(texts)
+    return features(texts, extra)
 
 
-def _score(documents: DataFrame, views: Views, text: str, meta: list[str]) -> DataFrame:
+def _score(documents: DataFrame, views: Views, text: str, meta: list[str], keep: list[str]) -> DataFrame:
+    """The columns keep of documents, and the scores."""
     shared = documents.sparkSession.sparkContext.broadcast(views)  # a few MB: two models of fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low, high, found in _rows(b, text, meta):
-                part = b.slice(low, high - low)
-                new = [pa.array(x) for x in shared.value.score(*found)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *SCORES.names])
+        for b in pieces(batches, text):
+            new = [pa.array(x) for x in shared.value.score(*_features(b, text, meta))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], names=[*keep, *SCORES.names])
 
-    return documents.mapInArrow(work, T.StructType([*documents.schema.fields, *SCORES.fields]))
+    return documents.mapInArrow(work, T.StructType([*(documents.schema[c] for c in keep), *SCORES.fields]))
 
 
 def _collect(documents: DataFrame, ids: DataFrame, doc_id: str, text: str, meta: list[str]) -> dict:
@@ -249,20 +241,20 @@ def _collect(documents: DataFrame, ids: DataFrame, doc_id: str, text: str, meta:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low, high, (owner, h, numbers, hashed) in _rows(b, text, meta):
-                part = b.slice(low, high - low)
-                cuts = np.searchsorted(owner, np.arange(high - low + 1))
-                tokens = [np.unique(h[i:j]) for i, j in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(doc_id), part.column("y")]
-                    + [pa.array([x.tobytes() for x in col], pa.binary()) for col in (tokens, numbers, hashed)],
-                    names=["doc_id", "y", "tokens", "numbers", "hashed"],
-                )
+        for b in pieces(batches, text):
+            owner, h, numbers, hashed = _features(b, text, meta)
+            cuts = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            tokens = [np.unique(h[i:j]) for i, j in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(doc_id), b.column("y")]
+                + [pa.array([x.tobytes() for x in col], pa.binary()) for col in (tokens, numbers, hashed)],
+                names=["doc_id", "y", "tokens", "numbers", "hashed"],
+            )
 
     chosen = documents.select(doc_id, text, *meta).join(F.broadcast(ids), doc_id)
-    least = F.min(F.struct(F.xxhash64(text).alias("__least"), text, *meta, "y")).alias("__row")
-    chosen = chosen.groupBy(doc_id).agg(least).select(doc_id, *(F.col("__row")[c].alias(c) for c in (text, *meta, "y")))
+    least, row = free_names([doc_id, text, *meta], "least", "row")
+    first = F.min(F.struct(F.xxhash64(text).alias(least), text, *meta, "y")).alias(row)
+    chosen = chosen.groupBy(doc_id).agg(first).select(doc_id, *(F.col(row)[c].alias(c) for c in (text, *meta, "y")))
     got = chosen.mapInArrow(work, "doc_id long, y double, tokens binary, numbers binary, hashed binary").toArrow()
     got = got.sort_by([("doc_id", "ascending")])
     read = lambda c, kind: [np.frombuffer(x, kind) for x in got[c].to_pylist()]
@@ -284,6 +276,7 @@ def train(
     rounds: int = 2,
     labelled: int = 12_000,
     confident: int = 400,
+    pseudo_weight: float = 0.1,
 ) -> Views | None:
     """Co-trains the two views; None where the labels hold fewer than two classes.
 
@@ -291,8 +284,10 @@ def train(
     it is not toxic. At most `labelled` labelled ids that documents holds, those
     of the least hashes, are used, a fifth of them for calibration; an id on
     several rows is learnt from the one of least text hash. In each round both
-    views score the whole corpus, and of its unlabelled documents each gives the
-    other the `confident` surest of either class to learn from.
+    views score the whole corpus, and each labels all unlabelled documents that
+    it is SURE of for the other. As the fit is of a bounded sample, it takes
+    `confident` of either class of them, by hash, which weigh pseudo_weight of a
+    labelled document; those of earlier rounds stay.
     """
     spark = documents.sparkSession
     ship_package(spark)
@@ -318,7 +313,7 @@ def train(
     del every, first
     base["tokens"] = _places(base["tokens"], words)
     width = {"text": len(words), "meta": (1 << META_BITS) + len(edges) * (BINS + 1)}
-    extra = {"text": None, "meta": None}  # pseudo-labelled documents for each view
+    extra = {"text": [], "meta": []}  # pseudo-labelled documents for each view: features, and numbers y of some of the rows
 
     def rows_of(view: str, some: dict, k) -> tuple[np.ndarray, np.ndarray]:
         if view == "meta":
@@ -328,10 +323,10 @@ def train(
     def learn() -> Views:
         def one(view: str) -> Linear:
             (r, c), y, w = rows_of(view, base, fit), base["y"][fit], np.ones(len(fit))
-            if (more := extra[view]) is not None and len(more["y"]):
-                r2, c2 = rows_of(view, more, range(len(more["y"])))
-                r, c = np.r_[r, r2 + len(fit)], np.r_[c, c2]
-                y, w = np.r_[y, more["y"]], np.r_[w, np.full(len(more["y"]), PSEUDO_WEIGHT)]
+            for more, k, said in extra[view]:
+                r2, c2 = rows_of(view, more, k)
+                r, c = np.r_[r, r2 + len(y)], np.r_[c, c2]
+                y, w = np.r_[y, said], np.r_[w, np.full(len(said), pseudo_weight)]
             return Linear.fit(r, c, width[view], y, w, PENALTY[view])
 
         views = Views(words, one("text"), one("meta"), edges, (np.array([1.0, 0.0]),) * 2, np.array([1.0, 1.0, 0.0]))
@@ -342,18 +337,23 @@ def train(
         return views
 
     views = learn()
-    for _ in range(rounds):
-        scored = _score(documents.select(doc_id, text, *meta), views, text, meta).select(doc_id, *SCORES.names)
-        free = scored.join(known, doc_id, "left_anti").where(F.col(doc_id).isNotNull())
+    learnt = {"text": set(), "meta": set()}
+    for k in range(rounds):
+        scored = _score(documents.select(doc_id, text, *meta), views, text, meta, [doc_id]).where(F.col(doc_id).isNotNull())
+        scored = written(scored.join(known, doc_id, "left_anti"), "cotraining-scores")  # the corpus is scored once a round
+        chosen = {}
         for teacher, pupil in (("p_text", "meta"), ("p_meta", "text")):
-            tops = [
-                free.orderBy(F.desc(teacher) if y else F.asc(teacher), F.xxhash64(doc_id), doc_id).limit(confident)
-                .where(F.col(teacher) >= 0.9 if y else F.col(teacher) <= 0.1).select(doc_id, F.lit(float(y)).alias("y"))
-                for y in (1, 0)
-            ]
-            chosen = tops[0].union(tops[1]).groupBy(doc_id).agg(F.max("y").alias("y"))
-            extra[pupil] = _collect(documents, chosen, doc_id, text, meta)
-            extra[pupil]["tokens"] = _places(extra[pupil]["tokens"], words)
+            by_hash = scored.orderBy(F.xxhash64(F.col(doc_id), F.lit(f"{pupil} {k}")), doc_id)
+            for y, sure in ((1.0, F.col(teacher) >= SURE), (0.0, F.col(teacher) <= 1 - SURE)):
+                chosen |= {(pupil, r[0]): y for r in by_hash.where(sure).select(doc_id).limit(confident).collect()}
+        chosen = {key: y for key, y in chosen.items() if key[1] not in learnt[key[0]]}
+        ids = spark.createDataFrame([(i, 0.0) for i in sorted({i for _, i in chosen})], f"{doc_id} long, y double")
+        more = _collect(documents, ids, doc_id, text, meta)
+        more["tokens"] = _places(more["tokens"], words)
+        for pupil, seen in learnt.items():
+            at = [i for i, name in enumerate(more["id"].tolist()) if (pupil, name) in chosen]
+            extra[pupil].append((more, at, np.array([chosen[pupil, more["id"][i]] for i in at])))
+            seen |= {i for p, i in chosen if p == pupil}
         views = learn()
     return views
 
@@ -378,7 +378,7 @@ def quality_scores(
     views = train(documents, labels, text=text, **options)
     if views is None:
         return documents.select("*", *(F.lit(None).cast("double").alias(c) for c in SCORES.names), F.lit(True).alias("kept"))
-    out = _score(documents, views, text, list(options.get("meta", ("source", "lang"))))
+    out = _score(documents, views, text, list(options.get("meta", ("source", "lang"))), documents.columns)
     return out.withColumn("kept", F.col("score") >= threshold)
 
 

@@ -8,125 +8,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from twinlake.llm.batches import TOGETHER, pieces
 from twinlake.llm.shingles import prob_min_hash, probability_jaccard, weighted_shingles
 from twinlake.operators.graph import connected_components
-from twinlake.session import ship_package, written
+from twinlake.session import free_names, partitions, ship_package, written
 
-#: Bytes of text that are signed or verified together; numpy takes some sixty times as much.
-TOGETHER = 1 << 20
-#: Members of a bucket that meet in one task; larger buckets are cut into tiles of pairs of blocks.
-TILE = 1024
+#: Members of an open bucket, and bytes of their texts, in a block; a block of loose members and one of all meet in a task.
+TILE, TILE_BYTES = 512, 4 << 20
 
 
 def signatures(documents: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """(doc_id, digest, sig): sig is bands * rows little-endian 32-bit registers; texts without words are left out."""
+    """(doc_id, digest, size, sig): sig is bands * rows little-endian 32-bit registers; texts without words are left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sign(ids, digests, texts) -> pa.RecordBatch:
+        for b in pieces(batches, "raw"):
+            texts = b.column("raw").to_pylist()
             doc, shingle, weight = weighted_shingles(texts, words)
             sig = prob_min_hash(doc, shingle, weight, len(texts), bands * rows).astype("<u4")
             some = np.flatnonzero(np.bincount(doc, minlength=len(texts))).tolist()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[k] for k in some], pa.int64()),
-                    pa.array([digests[k] for k in some], pa.binary()),
-                    pa.array([sig[k].tobytes() for k in some], pa.binary()),
-                ],
-                names=["doc_id", "digest", "sig"],
+            kept = b.select(["doc_id", "digest"]).take(pa.array(some, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array([len(texts[k]) for k in some], pa.int64()), pa.array([sig[k].tobytes() for k in some], pa.binary())],
+                names=["doc_id", "digest", "size", "sig"],
             )
 
-        for b in batches:
-            held, size = [], 0
-            for low in range(0, b.num_rows, 256):
-                part = b.slice(low, 256)
-                for r in zip(*(part.column(c).to_pylist() for c in ("doc_id", "digest", "raw")), strict=True):
-                    held.append(r)
-                    size += len(r[2])
-                    if size > TOGETHER:
-                        yield sign(*zip(*held, strict=True))
-                        held, size = [], 0
-            if held:
-                yield sign(*zip(*held, strict=True))
-
-    return documents.mapInArrow(work, "doc_id long, digest binary, sig binary")
-
-
-class Union:
-    """Disjoint sets of 0 .. n - 1."""
-
-    def __init__(self, n: int) -> None:
-        self.root = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.root[x] != x:
-            self.root[x] = self.root[self.root[x]]
-            x = self.root[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.root[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _agreement(sig: np.ndarray) -> np.ndarray:
-    agree = np.zeros((len(sig), len(sig)), np.uint16)
-    for k in range(sig.shape[1]):
-        agree += sig[:, k, None] == sig[None, :, k]
-    return agree
-
-
-def _other_block(rows: list) -> np.ndarray:
-    """Pairs that this tile (lo, hi) answers for: across the blocks, or all of the only one."""
-    block = np.array([r[3] for r in rows])
-    return block[:, None] != block[None, :] if rows[0][1] != rows[0][2] else ~np.eye(len(rows), dtype=bool)
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list]:
-    """Runs of rows with equal first three columns."""
-    rows: list = []
-    for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-            if rows and r[:3] != rows[0][:3]:
-                if len(rows) > 1:
-                    yield rows
-                rows = []
-            rows.append(r)
-    if len(rows) > 1:
-        yield rows
-
-
-def _pairs_out(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[int, int]] = []
-    for some in found:
-        out += some
-        if len(out) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
-
-
-def _forests(members: DataFrame, at_least: int, registers: int) -> DataFrame:
-    """(a, b): a best spanning forest, by agreement, of the pairs of each tile that agree in at_least registers.
-
-    members: (bucket, lo, hi, block, rep, sig).
-    """
-
-    def solve(rows: list) -> list[tuple[int, int]]:
-        agree = _agreement(np.frombuffer(b"".join(r[5] for r in rows), "<u4").reshape(len(rows), registers))
-        a, b = np.nonzero(np.triu((agree >= at_least) & _other_block(rows)))
-        sets, edges = Union(len(rows)), []
-        for k in np.argsort(-agree[a, b].astype(np.int64), kind="stable").tolist():
-            if sets.join(int(a[k]), int(b[k])):
-                edges.append((min(rows[a[k]][4], rows[b[k]][4]), max(rows[a[k]][4], rows[b[k]][4])))
-        return edges
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _pairs_out(map(solve, _grouped(batches, ("bucket", "lo", "hi", "block", "rep", "sig"))))
-
-    dealt = members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "rep")
-    return dealt.mapInArrow(work, "a long, b long")
+    return documents.mapInArrow(work, "doc_id long, digest binary, size long, sig binary")
 
 
 def _reaches(similarity, threshold: float):
@@ -134,92 +40,102 @@ def _reaches(similarity, threshold: float):
     return similarity >= threshold - 1e-9
 
 
-def _missing_links(members: DataFrame, at_least: int, registers: int, words: int, threshold: float) -> DataFrame:
-    """(a, b): verified links of each tile that join parts which are still apart; as few as join them.
-
-    members: (cluster, lo, hi, block, rep, part, sig, raw). Every pair of the tile
-    between parts whose signatures agree in at_least registers is verified
-    exactly, unless links found before it have joined its ends; failures do not
-    leave the task.
+class Bags:
+    """Weighted shingles of texts, made a piece at a time; an array view of each."""
+
+    def __init__(self, texts: list[bytes], words: int) -> None:
+        self.of: list[tuple[np.ndarray, np.ndarray]] = []
+        low, size = 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size > TOGETHER or k == len(texts) - 1:
+                doc, shingle, weight = weighted_shingles(texts[low : k + 1], words)
+                cuts = np.searchsorted(doc, np.arange(k + 2 - low))
+                self.of += [(shingle[i:j], weight[i:j]) for i, j in zip(cuts, cuts[1:])]
+                low, size = k + 1, 0
+
+    def similarity(self, i: int, j: int) -> float:
+        (x, v), (y, w) = self.of[i], self.of[j]
+        if (v == 1).all() and (w == 1).all():
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            return common / max(1, len(x) + len(y) - common)
+        return probability_jaccard((x, v), (y, w))
+
+
+def _open_links(members: DataFrame, bands: int, rows: int, words: int, threshold: float) -> DataFrame:
+    """(a, b): parts that verified links of a tile join.
+
+    members: (bucket, i, j, band, loose, digest, part, sig, raw). A tile holds
+    loose rows and rows of the whole bucket. Every loose row is verified with
+    every other of another part, unless links found before it have joined them:
+    those whose first shared band is another one, in that band's bucket, and
+    those whose signatures agree in less than half of the registers, never. A
+    pair at the threshold does so with probability below 10**-16.
     """
-
-    def solve(rows: list) -> list[tuple[int, int]]:
-        n = len(rows)
-        near = (_agreement(np.frombuffer(b"".join(r[6] for r in rows), "<u4").reshape(n, registers)) >= at_least) & _other_block(rows)
-        names, part = np.unique([r[5] for r in rows], return_inverse=True)
-        sets, found = Union(len(names)), []
-        doc, shingle, weight = weighted_shingles([r[7] for r in rows], words)
-        cuts = np.searchsorted(doc, np.arange(n + 1))
-        _, local = np.unique(shingle, return_inverse=True)
-        plain = np.array([weight[i:j].max(initial=1) == 1 for i, j in zip(cuts, cuts[1:])])
-        largest = np.bincount(part).argmax()
-        mark = np.zeros(local.max(initial=0) + 1, np.int64)
-        size = np.diff(cuts)
-        for i in np.flatnonzero(part != largest).tolist():
-            roots = np.array([sets.find(k) for k in range(len(names))])[part]
-            others = np.flatnonzero(near[i] & (roots != roots[i]))
-            if not len(others):
-                continue
-            own = slice(cuts[i], cuts[i + 1])
-            even = others[plain[others]] if plain[i] else others[:0]
-            linked = []
-            if len(even):  # all weights are one: common by all, for all the others at once
-                mark[local[own]] = 1
-                at = np.concatenate([np.arange(cuts[j], cuts[j + 1]) for j in even])
-                common = np.add.reduceat(mark[local[at]], np.cumsum(size[even]) - size[even])
-                mark[local[own]] = 0
-                linked += even[_reaches(common / (size[even] + size[i] - common), threshold)].tolist()
-            for j in np.setdiff1d(others, even).tolist():
-                other = slice(cuts[j], cuts[j + 1])
-                if _reaches(probability_jaccard((shingle[own], weight[own]), (shingle[other], weight[other])), threshold):
-                    linked.append(j)
-            for j in linked:
-                if sets.join(int(part[i]), int(part[j])):
-                    found.append((min(rows[i][4], rows[j][4]), max(rows[i][4], rows[j][4])))
+    half, names_of = bands * rows * (threshold - 0.3), members.columns
+
+    def solve(tile: list[tuple]) -> list[tuple[bytes, bytes]]:
+        sig = np.frombuffer(b"".join(r[7] for r in tile), "<u4").reshape(len(tile), bands * rows)
+        names = {p: k for k, p in enumerate(sorted({r[6] for r in tile}))}
+        root = np.array([names[r[6]] for r in tile])
+        back = list(names)
+        query = np.array([r[4] for r in tile])
+        bags = Bags([r[8] for r in tile], words)
+        found = []
+        for q in np.flatnonzero(query).tolist():
+            equal = sig == sig[q]
+            first = equal.reshape(len(tile), bands, rows).all(2).argmax(1)
+            near = ~query & (root != root[q]) & (first == tile[q][3]) & (equal.sum(1) >= half)
+            for k in np.flatnonzero(near).tolist():
+                if root[k] != root[q] and _reaches(bags.similarity(q, k), threshold):
+                    found.append((back[root[q]], back[root[k]]))
+                    root[root == root[k]] = root[q]
         return found
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _pairs_out(map(solve, _grouped(batches, ("cluster", "lo", "hi", "block", "rep", "part", "sig", "raw"))))
+        def out(tile: list[tuple]) -> pa.RecordBatch:
+            found = solve(tile)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        tile: list[tuple] = []
+        for b in pieces(batches, "raw"):
+            for r in zip(*(b.column(c).to_pylist() for c in names_of), strict=True):
+                if tile and r[:3] != tile[0][:3]:
+                    yield out(tile)
+                    tile = []
+                tile.append(r)
+        if tile:
+            yield out(tile)
 
-    dealt = members.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "rep")
-    return dealt.mapInArrow(work, "a long, b long")
+    dealt = members.repartition(partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "digest")
+    return dealt.mapInArrow(work, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose exact probability Jaccard reaches threshold."""
+    """(a, b, similarity) of the pairs (of digests) whose exact probability Jaccard reaches threshold.
+
+    A text that many pairs share travels once for every 256 of them.
+    """
     salts = 1 + F.floor(F.col("n") / 256).cast("int")
-    crowd = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    crowd = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "minhash-crowds")
     spread = crowd.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    left = spread.join(texts.select(F.col("rep").alias("a"), F.col("raw").alias("x")), "a")
+    left = spread.join(texts.select(F.col("digest").alias("a"), F.col("raw").alias("x")), "a")
     right = pairs.join(crowd, "a").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")).drop("n")
-    right = right.join(texts.select(F.col("rep").alias("b"), F.col("raw").alias("y")), "b")
+    right = right.join(texts.select(F.col("digest").alias("b"), F.col("raw").alias("y")), "b")
     both = right.join(left, ["a", "salt"]).select("a", "b", "x", "y")
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+    kind = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(rows: list) -> pa.RecordBatch:
-            texts = list({t for r in rows for t in r[2:]})
-            doc, shingle, weight = weighted_shingles(texts, words)
-            cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-            own = {t: (shingle[i:j], weight[i:j]) for t, i, j in zip(texts, cuts, cuts[1:], strict=False)}
-            found = [(a, b, probability_jaccard(own[x], own[y])) for a, b, x, y in rows]
+        for b in pieces(batches, "y", TOGETHER // 2):
+            a, other, x, y = (b.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+            texts = dict(zip([*a, *other], [*x, *y], strict=True))
+            place = {d: k for k, d in enumerate(texts)}
+            bags = Bags(list(texts.values()), words)
+            found = [(p, q, bags.similarity(place[p], place[q])) for p, q in zip(a, other, strict=True)]
             found = [f for f in found if _reaches(f[2], threshold)]
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t.type) for k, t in enumerate(kind)], schema=kind)
-
-        for b in batches:
-            held, size = [], 0
-            for low in range(0, b.num_rows, 128):
-                part = b.slice(low, 128)
-                for r in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                    held.append(r)
-                    size += len(r[2]) + len(r[3])
-                    if size > TOGETHER:
-                        yield solve(held)
-                        held, size = [], 0
-            if held:
-                yield solve(held)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t.type) for k, t in enumerate(kind)], schema=kind)
 
-    return both.mapInArrow(work, "a long, b long, similarity double")
+    return both.mapInArrow(work, "a binary, b binary, similarity double")
 
 
 def near_duplicates(
@@ -230,27 +146,25 @@ def near_duplicates(
     threshold: float = 0.8,
     bands: int = 32,
     rows: int = 5,
-    slack: float = 0.15,
+    tile: int = TILE,
 ) -> DataFrame:
     """documents with class_id and kept: classes of texts linked by probability Jaccard >= threshold.
 
     Shingles of `words` words weigh as often as they occur. Equal texts are one
     class from the start. Signatures are cut into bands; a pair at the threshold
-    shares a band with probability 1 - (1 - 0.8 ** 5) ** 32 = 0.999997. Within a
-    bucket, pairs whose signatures agree in threshold - slack of the registers
-    (about four standard deviations below) are candidates. A best spanning
-    forest of each bucket is verified first, pair by pair. Where candidates hang
-    together but their verified links do not join them, every pair between the
-    parts is then verified inside one of the tiles that their group is cut into,
-    which give back only links. So few pairs are made for a group of copies, and
-    no link that would join two classes is lost. class_id is the least doc_id of
-    the class.
+    shares a band with probability 1 - (1 - 0.8 ** 5) ** 32 = 0.999997. In each
+    bucket every member is verified exactly with the least one, so a group of
+    copies gives as many pairs as it has members. Only where that leaves a bucket
+    in several parts, the members outside its largest part (the loose ones) are
+    verified with all of the bucket, block by block, and only links leave a task.
+    So no link that would join two classes is lost. class_id is the least doc_id
+    of the class. tile: members of a block.
 
     Null and empty texts and those without words are classes of their own, as
     are rows without doc_id (class_id null, kept). A text with fewer words is
-    one shingle. Rows that repeat a doc_id are one node; repeated rows are kept
-    or dropped together. Other columns pass through; class_id and kept are
-    replaced. An empty table gives an empty table.
+    one shingle. Rows that repeat a doc_id are one node, with all of their
+    texts; they are kept or dropped together. Other columns pass through;
+    class_id and kept are replaced. An empty table gives an empty table.
     """
     spark = documents.sparkSession
     ship_package(spark)
@@ -258,54 +172,64 @@ def near_duplicates(
     raw = F.encode(F.col(text), "UTF-8")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), raw.alias("raw"))
     docs = docs.where("doc_id is not null and octet_length(raw) > 0").select("doc_id", F.unhex(F.md5("raw")).alias("digest"), "raw")
-    registers = bands * rows
-    at_least = int(np.ceil((threshold - slack) * registers))
     signed = written(signatures(docs, bands, rows, words), "minhash-signatures")
-    copies = written(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "minhash-copies")
-    reps = signed.join(copies, "digest").where("doc_id = rep").dropDuplicates(["rep", "digest"]).select("rep", "digest", "sig")
-    reps = written(reps, "minhash-classes")
+    # partial aggregation: a text leaves a map task once, however many rows hold it
+    least = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "sig")).alias("r"))
+    reps = written(least.select("digest", F.col("r.doc_id").alias("rep"), "r.size", "r.sig"), "minhash-classes")
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda k: F.unhex(F.md5(F.concat(F.substring(F.col("sig"), k * (4 * rows) + 1, F.lit(4 * rows)), k.cast("string").cast("binary")))),
     )
-    banded = reps.select("rep", F.explode(keys).alias("bucket")).distinct()
-    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = written(banded.join(full, "bucket"), "minhash-buckets")
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-
-    def tiles(of: DataFrame) -> DataFrame:
-        """of with block, lo and hi: each row once for each pair of its block with a block of its group of n."""
-        cut = of.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        others = F.transform(
-            F.sequence(F.lit(0), blocks - 1),
-            lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")),
-        )
-        return cut.withColumn("tile", F.explode(others)).withColumns({"lo": F.col("tile.lo"), "hi": F.col("tile.hi")}).drop("tile")
-
-    members = tiles(placed).join(reps, "rep").select("bucket", "lo", "hi", "block", "rep", "sig")
-    pairs = written(_forests(members, at_least, registers).distinct(), "minhash-pairs")
-    clusters = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    clusters = written(clusters.withColumnsRenamed({"node": "rep", "component": "cluster"}), "minhash-clusters")
-    # texts of candidates only; one row a representative
-    texts = docs.join(clusters.join(reps, "rep").select("rep", "digest"), "digest").where("doc_id = rep")
-    texts = written(texts.dropDuplicates(["rep", "digest"]).select("rep", "raw"), "minhash-texts")
+    banded = reps.select("digest", "size", F.posexplode(keys).alias("band", "bucket"))
+    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("digest").alias("leader"))
+    full = written(full.where("n > 1"), "minhash-full")
+    placed = written(banded.drop("size").join(full, "bucket"), "minhash-buckets")
+    pairs = placed.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
+    pairs = written(pairs, "minhash-pairs")
+    # texts of candidates only, each from its least row
+    held = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(reps.select("digest", "rep"), "digest")
+    held = written(held.withColumnRenamed("rep", "doc_id"), "minhash-held")
+    texts = docs.join(held, ["doc_id", "digest"]).select("digest", "raw").dropDuplicates(["digest"])
+    texts = written(texts, "minhash-texts")
     links = written(_verified(pairs, texts, words, threshold).select("a", "b"), "minhash-links")
-    parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    held = clusters.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    held = held.select("cluster", "rep", F.coalesce("component", "rep").alias("part"))
-    state = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q"))
-    # two that failed are settled; of three and more, pairs beyond the forest are open
-    loose = tiles(held.join(state.where("n > 2 and p <> q").select("cluster", "n"), "cluster"))
-    loose = loose.join(reps.select("rep", "sig"), "rep").join(texts, "rep")
-    more = _missing_links(loose, at_least, registers, words, threshold)
-    links = links.union(written(more, "minhash-more"))
-    parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    of_text = copies.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    of_text = of_text.select(F.col("digest").alias("__d"), F.coalesce("component", "rep").alias("__c"))
-    out = documents.withColumn("__d", F.unhex(F.md5(raw))).join(of_text, "__d", "left").drop("__d")
-    own = F.col(doc_id).cast("long")
-    class_id = F.when(own.isNotNull(), F.coalesce("__c", own))
-    return out.withColumn("class_id", class_id).withColumn("kept", F.coalesce(own == F.col("class_id"), F.lit(True))).drop("__c")
+    # texts of one doc_id are one node
+    own = signed.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("doc_id", "a")
+    same = signed.select("doc_id", F.col("digest").alias("b")).join(written(own, "minhash-own"), "doc_id").where("a <> b").select("a", "b")
+    joined = links.union(same)
+    parts = connected_components(joined.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    parts = written(parts.withColumnsRenamed({"node": "digest", "component": "part"}), "minhash-parts")
+    # buckets in several parts, but for those of two, which are settled
+    sided = placed.where("n > 2").join(parts, "digest", "left").withColumn("part", F.coalesce("part", "digest"))
+    sided = written(sided, "minhash-sided")
+    shares = sided.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c"))
+    largest = F.max(F.struct("c", "part")).alias("most")
+    state = shares.groupBy("bucket").agg(largest, F.sum("c").alias("all")).where("most.c < all")
+    blocks = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    loose_blocks = F.least(blocks, 1 + F.floor((F.col("all") - F.col("most.c")) / F.col("all") * blocks).cast("int"))
+    state = written(state.select("bucket", F.col("most.part").alias("main"), "all", "most"), "minhash-open")
+    opened = sided.join(state, "bucket").withColumns({"at": F.xxhash64("digest"), "js": blocks, "is": loose_blocks})
+    cols = ["bucket", "i", "j", "band", "loose", "digest", "part"]
+    query = opened.where("part <> main").withColumns({"i": F.expr("cast(pmod(at, is) as int)"), "loose": F.lit(True)})
+    query = query.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1)))
+    base = opened.withColumns({"j": F.expr("cast(pmod(at, js) as int)"), "loose": F.lit(False)})
+    base = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1)))
+    members = query.select(cols).union(base.select(cols)).join(reps.select("digest", "sig"), "digest").join(texts, "digest")
+    more = written(_open_links(members.select(*cols, "sig", "raw"), bands, rows, words, threshold), "minhash-more")
+    wider = connected_components(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    wider = wider.withColumnsRenamed({"node": "part", "component": "whole"})
+    of_text = reps.select("digest", "rep").join(parts, "digest", "left").withColumn("part", F.coalesce("part", "digest"))
+    of_text = of_text.join(wider, "part", "left").select("digest", "rep", F.coalesce("whole", "part").alias("class"))
+    of_text = written(of_text, "minhash-texts-of")
+    ids = of_text.groupBy("class").agg(F.min("rep").alias("class_id"))
+    classed = written(of_text.select("digest", "class").join(written(ids, "minhash-ids"), "class"), "minhash-classed")
+    own_id, class_id = free_names(documents.columns, "own_id", "class_id")
+    of_doc = signed.select("doc_id", "digest").join(classed, "digest")
+    of_doc = written(of_doc.select(F.col("doc_id").alias(own_id), "class_id").distinct(), "minhash-of")
+    known = documents.where(F.col(doc_id).isNotNull()).withColumn(own_id, F.col(doc_id).cast("long"))
+    known = known.join(of_doc, own_id, "left").withColumn("class_id", F.coalesce("class_id", own_id))
+    known = known.withColumn("kept", F.col("class_id") == F.col(own_id)).drop(own_id)
+    other = documents.where(F.col(doc_id).isNull()).withColumns({"class_id": F.lit(None).cast("long"), "kept": F.lit(True)})
+    return known.select(other.columns).union(other)
 
 
 def op8_prob_minhash(spark, sf_dir: str) -> DataFrame:
