@@ -18,6 +18,8 @@ from twinlake.llm.suffix_dedup import remove_repeats
 from twinlake.session import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a passage that is taken out where it occurs again.
+PASSAGE = 200
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes and more that occur more than once; emptied ones stay, empty."""
-    out = remove_repeats(docs, as_text=True).withColumn("text", F.col("kept"))
+    """Documents without the passages that occur more than once; emptied ones stay, empty.
+
+    A passage is a string of PASSAGE bytes: over 50 words of three letters and a
+    space are 203 bytes, so passages of over 50 words are covered.
+    """
+    out = remove_repeats(docs, PASSAGE, as_text=True).withColumn("text", F.col("kept"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
