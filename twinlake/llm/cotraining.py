@@ -276,7 +276,7 @@ def train(
     rounds: int = 2,
     labelled: int = 12_000,
     confident: int = 400,
-    pseudo_weight: float = 0.1,
+    pseudo_weight: float = 0.02,
 ) -> Views | None:
     """Co-trains the two views; None where the labels hold fewer than two classes.
 
@@ -285,7 +285,7 @@ def train(
     of the least hashes, are used, a fifth of them for calibration; an id on
     several rows is learnt from the one of least text hash. In each round both
     views score the whole corpus, and each labels all unlabelled documents that
-    it is SURE of for the other. As the fit is of a bounded sample, it takes
+    it is SURE of for the other, unless that one leans the other way. As the fit is of a bounded sample, it takes
     `confident` of either class of them, by hash, which weigh pseudo_weight of a
     labelled document; those of earlier rounds stay.
     """
@@ -342,9 +342,10 @@ def train(
         scored = _score(documents.select(doc_id, text, *meta), views, text, meta, [doc_id]).where(F.col(doc_id).isNotNull())
         scored = written(scored.join(known, doc_id, "left_anti"), "cotraining-scores")  # the corpus is scored once a round
         chosen = {}
-        for teacher, pupil in (("p_text", "meta"), ("p_meta", "text")):
+        for teacher, own, pupil in (("p_text", "p_meta", "meta"), ("p_meta", "p_text", "text")):
             by_hash = scored.orderBy(F.xxhash64(F.col(doc_id), F.lit(f"{pupil} {k}")), doc_id)
-            for y, sure in ((1.0, F.col(teacher) >= SURE), (0.0, F.col(teacher) <= 1 - SURE)):
+            agreed = (F.col(teacher) >= SURE) & (F.col(own) >= 0.5), (F.col(teacher) <= 1 - SURE) & (F.col(own) < 0.5)
+            for y, sure in zip((1.0, 0.0), agreed):
                 chosen |= {(pupil, r[0]): y for r in by_hash.where(sure).select(doc_id).limit(confident).collect()}
         chosen = {key: y for key, y in chosen.items() if key[1] not in learnt[key[0]]}
         ids = spark.createDataFrame([(i, 0.0) for i in sorted({i for _, i in chosen})], f"{doc_id} long, y double")
