@@ -28,8 +28,28 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
+def _by_rank(said: dict) -> bool:
+    """Whether the file is byte-level BPE whose merges are in order of the ids they make, cut by PATTERN."""
+    model, cut, decoder = said["model"], said.get("pre_tokenizer") or {}, said.get("decoder") or {}
+    plain = all(not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if model["type"] != "BPE" or not plain or said.get("normalizer") or decoder.get("type") != "ByteLevel":
+        return False
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return False
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    single = [i for w, i in model["vocab"].items() if len(w) == 1]
+    simple = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in said["added_tokens"])
+    return simple and made == sorted(set(made)) and len(single) == 256 and max(single) < made[0]
+
+
 class Vocabulary:
-    """Token bytes, special strings and fast exact encoding for one tokenizer file."""
+    """Token bytes, special strings and exact encoding for one tokenizer file.
+
+    Where the file's merges follow its ids (see _by_rank), tiktoken's core
+    encodes, with the same ids; the tokenizers library itself takes what is left
+    and every text of another file.
+    """
 
     def __init__(self, content: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,19 +62,26 @@ class Vocabulary:
         said, letter = json.loads(content), _letters()
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        words = {w: i for w, i in said["model"]["vocab"].items() if w not in self.special}
+        words = {w: i for w, i in said["model"]["vocab"].items() if w not in self.special and set(w) <= letter.keys()}
         self.ids = {bytes(letter[c] for c in w): i for w, i in words.items()}
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.pieces = regex.compile(PATTERN)
-        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})
+        self.by_rank = _by_rank(said)
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={}) if self.by_rank else None
 
     def piece(self, raw: bytes) -> list[int]:
-        """BPE of one string as it is, not cut into words."""
-        return self.fast._encode_single_piece(raw)
+        """BPE of one short string as it is, not cut into words."""
+        parts, none = [raw[k : k + 1] for k in range(len(raw))], len(self.ids) + len(self.special)
+        while len(parts) > 1:
+            rank, at = min((self.ids.get(a + b, none), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == none:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ids[p] for p in parts]
 
     def odd(self, text: str) -> bool:
-        """Whether only the library itself should cut this text into words."""
-        return not text.isascii() and _OTHER.search(text) is not None
+        """Whether only the library itself should encode this text."""
+        return not self.by_rank or (not text.isascii() and _OTHER.search(text) is not None)
 
     def parts(self, text: str) -> list[str]:
         """The text between and of special strings, in turn; special ones at odd places."""
@@ -81,6 +108,8 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids in UTF-8; bytes that are no text become U+FFFD, as in the library."""
+        if not self.by_rank:
+            return self.library.decode(ids.tolist(), skip_special_tokens=False).encode()
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         return raw.decode("utf-8", "replace").encode()
 

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from twinlake.llm.batches import TOGETHER, pieces
 from twinlake.llm.bpe import Vocabulary, read_vocabulary, vocabulary
 from twinlake.session import ship_package
 
@@ -19,8 +19,6 @@ WINDOW, MASK = 12, np.uint32((1 << 10) - 1)
 SHORTEST = 64
 #: Characters of chunks a worker remembers; full, the older half goes.
 MEMO = 8 << 20
-#: Bytes hashed together.
-TOGETHER = 1 << 20
 
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
 _FIRST = regex.compile(r"\S(?=\s)")
@@ -141,15 +139,6 @@ class ChunkEncoder:
 _encoders: dict[int, ChunkEncoder] = {}
 
 
-def _slices(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """b in pieces of about TOGETHER bytes of a column."""
-    sizes = pc.fill_null(pc.cast(pc.binary_length(b.column(column)), pa.int64()), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // TOGETHER
-    heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-    for low, high in zip(heads, [*heads[1:], b.num_rows], strict=True):
-        yield b.slice(low, high - low)
-
-
 def encode_texts(
     documents: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None
 ) -> DataFrame:
@@ -176,14 +165,13 @@ def encode_texts(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
         encoder = _encoders.setdefault(id(vocab), ChunkEncoder(vocab))
-        for b in batches:
-            for part in _slices(b, text):
-                done = list(encoder.encode([t or "" for t in part.column(text).to_pylist()]))
-                more = [pa.array([x.astype("<u4", copy=False).tobytes() for x in done], pa.binary())]
-                if decoded:
-                    more.append(pa.array([vocab.decode(x) for x in done], pa.binary()).cast(pa.string()))
-                names = [*part.schema.names, ids, *[decoded] * bool(decoded)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=names)
+        for part in pieces(batches, text):
+            done = list(encoder.encode([t or "" for t in part.column(text).to_pylist()]))
+            more = [pa.array([x.astype("<u4", copy=False).tobytes() for x in done], pa.binary())]
+            if decoded:
+                more.append(pa.array([vocab.decode(x) for x in done], pa.binary()).cast(pa.string()))
+            names = [*part.schema.names, ids, *[decoded] * bool(decoded)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=names)
 
     return kept.mapInArrow(work, schema)
 
@@ -201,11 +189,10 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", decode
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
-        for b in batches:
-            for part in _slices(b, ids):
-                texts = [vocab.decode(np.frombuffer(x or b"", "<u4")) for x in part.column(ids).to_pylist()]
-                new = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, decoded])
+        for part in pieces(batches, ids):
+            texts = [vocab.decode(np.frombuffer(x or b"", "<u4")) for x in part.column(ids).to_pylist()]
+            new = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, decoded])
 
     return kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField(decoded, T.StringType())]))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from twinlake.session import written
+from twinlake.session import free_names, written
 
 SPACES, SYMBOLS, GRAM = " \t\n\x0b\x0c\r", "#*$%&|<>", 5
 
@@ -16,43 +16,44 @@ def rule_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     of five words are hashed; where all differ, which is the rule, nothing is
     sorted.
     """
-    if clash := {"__t", "__n", "__w", "__h", "__g", "__s", "__p"} & set(documents.columns):
-        documents = documents.drop(*clash)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     keep = [c for c in documents.columns if c not in (text, *new)]
-    t = documents.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    one_space = F.translate("__t", SPACES, " " * len(SPACES))
-    lines = F.filter(F.split("__t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    body, held, words, lined, hashes, grams, some, sorted_, places = free_names(
+        [*documents.columns, *new], "body", "held", "words", "lined", "hashes", "grams", "some", "sorted", "places"
+    )
+    t = documents.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(body))
+    one_space = F.translate(body, SPACES, " " * len(SPACES))
+    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     w = t.select(
         *keep,
-        F.array_remove(F.split(one_space, " "), "").alias("__w"),
-        F.length(F.translate("__t", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        lines.alias("__l"),
+        F.array_remove(F.split(one_space, " "), "").alias(words),
+        F.length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
+        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        lines.alias(lined),
     )
     have = [*keep, "word_chars", "n_symbols"]
     w = w.select(
         *have,
-        F.size("__w").alias("__n"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.transform("__w", lambda x: F.xxhash64(x)).alias("__h"),
+        F.size(words).alias(held),
+        (F.size(lined) - F.size(F.array_distinct(lined))).cast("long").alias("n_dup_lines"),
+        F.transform(words, lambda x: F.xxhash64(x)).alias(hashes),
     )
-    have = [*have, "n_dup_lines", F.col("__n").cast("long").alias("n_words")]
-    full = F.greatest(F.col("__n") - (GRAM - 1), F.lit(0))
-    windows = F.arrays_zip(*(F.slice("__h", k + 1, full).alias(f"h{k}") for k in range(GRAM)))
-    g = w.select(*have, F.transform(windows, lambda x: F.xxhash64(*(x[f"h{k}"] for k in range(GRAM)))).alias("__g"))
+    have = [*have, "n_dup_lines", F.col(held).cast("long").alias("n_words")]
+    full = F.greatest(F.col(held) - (GRAM - 1), F.lit(0))
+    windows = F.arrays_zip(*(F.slice(hashes, k + 1, full).alias(f"h{k}") for k in range(GRAM)))
+    g = w.select(*have, F.transform(windows, lambda x: F.xxhash64(*(x[f"h{k}"] for k in range(GRAM)))).alias(grams))
     have = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    g = g.select(*have, "__g", (F.size(F.array_distinct("__g")) < F.size("__g")).alias("__some"))
-    pairs = F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    s = g.select(*have, F.when(F.col("__some"), F.sort_array(pairs)).alias("__s"))
+    g = g.select(*have, grams, (F.size(F.array_distinct(grams)) < F.size(grams)).alias(some))
+    pairs = F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    s = g.select(*have, F.when(F.col(some), F.sort_array(pairs)).alias(sorted_))
     twins = F.zip_with(
-        F.slice("__s", 1, F.size("__s") - 1),
-        F.slice("__s", 2, F.size("__s") - 1),
+        F.slice(sorted_, 1, F.size(sorted_) - 1),
+        F.slice(sorted_, 2, F.size(sorted_) - 1),
         lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")),
     )
-    p = s.select(*have, F.when(F.col("__s").isNotNull(), F.sort_array(F.array_distinct(F.flatten(twins)))).alias("__p"))
+    p = s.select(*have, F.when(F.col(sorted_).isNotNull(), F.sort_array(F.array_distinct(F.flatten(twins)))).alias(places))
     covered = F.aggregate(
-        "__p",
+        places,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["n"] + x + GRAM - F.greatest(x, a["end"])).alias("n"), (x + GRAM).alias("end")),
     )
@@ -86,7 +87,8 @@ def host_quality(
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     rows = written(rows.withColumn("base_failed", failed), "quality-counts")
     keyed = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n"))
-    hosts = rows.groupBy(keyed.alias("__host")).agg(
+    (key,) = free_names([*rows.columns, "host_rate"], "key")
+    hosts = rows.groupBy(keyed.alias(key)).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failed")
     )
     rate = F.col("failed") / F.col("n")
@@ -94,8 +96,8 @@ def host_quality(
     m, v = m or 0.0, v or 0.0
     strength = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1e6
     shrunk = (F.col("failed") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
-    verdicts = hosts.select("__host", shrunk.alias("host_rate"))
-    out = rows.withColumn("__host", keyed).join(verdicts, "__host").drop("__host")
+    verdicts = written(hosts.select(key, shrunk.alias("host_rate")), "quality-hosts")  # a plain table: a hot host's join can be split
+    out = rows.withColumn(key, keyed).join(verdicts, key).drop(key)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
 
 

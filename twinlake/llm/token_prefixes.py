@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from twinlake.llm.batches import release
 from twinlake.llm.bpe import Vocabulary, read_vocabulary, vocabulary
-from twinlake.session import ship_package
+from twinlake.session import free_names, ship_package
 
 #: Words that a worker keeps the counts of; full, the memo starts anew.
 MEMO = 500_000
@@ -64,9 +66,15 @@ class PrefixCounts:
     """
 
     def __init__(self, vocab: Vocabulary) -> None:
+        if not vocab.by_rank:
+            raise ValueError("prefix counts need a byte-level BPE file whose merges follow its ids")
         self.vocab = vocab
-        self.longest = max(map(len, vocab.ids))
         self.apart, self.tokens = Table(22), Table(18)
+        self.ends = ahocorasick.Automaton()  # of bytes as characters: the tokens that end at each place
+        for raw, i in vocab.ids.items():
+            self.ends.add_word(raw.decode("latin-1"), (len(raw), i))
+        self.ends.make_automaton()
+        self.told: dict[int, bool] = {}
         self._forget()
         with np.errstate(over="ignore"):
             self.letter = (np.arange(1, 257, dtype=np.uint64) * _SPREAD) ^ _B
@@ -127,16 +135,19 @@ class PrefixCounts:
         return count[:, 1:], text
 
     def _long(self, raw: bytes) -> np.ndarray:
-        ids, last, count = self.vocab.ids, [-1], [0]
-        for end in range(1, len(raw) + 1):
-            for size in range(min(end, self.longest), 0, -1):
-                token = ids.get(raw[end - size : end])
-                if token is not None:
-                    key = (last[end - size] + 1) << 32 | token
-                    if self._stay_apart(np.array([key], np.uint64))[0]:
-                        last.append(token)
-                        count.append(count[end - size] + 1)
-                        break
+        """Counts of the byte prefixes of one long word: at each end the longest token that stays apart."""
+        last, count, done = [-1] * (len(raw) + 1), [0] * (len(raw) + 1), -1
+        for end, (size, token) in self.ends.iter(raw.decode("latin-1")):
+            if end == done:
+                continue
+            key = (last[end + 1 - size] + 1) << 32 | token
+            fine = self.told.get(key)
+            if fine is None:
+                if len(self.told) > MEMO:
+                    self.told.clear()
+                fine = self.told[key] = bool(self._stay_apart(np.array([key], np.uint64))[0])
+            if fine:
+                last[end + 1], count[end + 1], done = token, count[end + 1 - size] + 1, end
         return np.array(count[1:], np.uint32)
 
     def learn(self, words: set[str]) -> None:
@@ -272,9 +283,11 @@ def count_prefixes(
                 row = {"n_tokens": int(counts[-1]) if len(counts) else 0, "cuts": cuts}
                 rows.append(row | {"prefix_counts": counts.tobytes()} if table else row)
             yield pa.array(rows, kind)
+        release()
 
     cols = [c for c in documents.columns if c not in ("n_tokens", "cuts", "prefix_counts")]
-    return documents.select(*cols, count(F.col(text)).alias("__c")).select(*cols, "__c.*")
+    (found,) = free_names(documents.columns, "counted")
+    return documents.select(*cols, count(F.col(text)).alias(found)).select(*cols, f"{found}.*")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
