@@ -9,14 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from twinlake.llm.batches import release
 from twinlake.operators.graph import connected_components
-from twinlake.session import ship_package, written
+from twinlake.session import free_names, ship_package, written
 
 #: Members of a bucket that meet in one task; larger buckets are cut into tiles of pairs of blocks.
-TILE = 2048
-#: Tables by number of hash functions a table. At cosine 0.98 in 64 dimensions a pair shares a bucket of a table
-#: with probability 0.93, 0.87, 0.79 (2, 3, 4 functions, measured), so less than one in 10**6 is missed.
-TABLES = {1: 6, 2: 6, 3: 8, 4: 10, 5: 13}
+TILE = 512
+#: Probability that a pair at the threshold shares no bucket of any table.
+MISSED = 1e-6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -55,6 +55,18 @@ def probes(x: np.ndarray, tables: int, functions: int, seed: int = 7) -> np.ndar
     return out
 
 
+def tables_for(width: int, functions: int, threshold: float, pairs: int = 1000, trial: int = 6) -> int:
+    """Tables that leave a pair at the threshold unmet with probability MISSED; measured on random pairs of this width."""
+    rng = np.random.default_rng([width, functions])
+    x, y = rng.normal(size=(2, pairs, max(2, width)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    a, b = probes(x, trial, functions), probes(y, trial, functions)
+    met = (a[:, :, :, None] == b[:, :, None, :]).any((2, 3)).mean()
+    return max(2, math.ceil(math.log(MISSED) / math.log(max(1e-9, min(1 - met, 0.5)))))
+
+
 def _first_shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of codes (pairs, tables, probes): the first table with a shared code, and the least such code."""
     table = np.full(len(a), -1)
@@ -114,6 +126,7 @@ def near_vectors(
     label: str = "label",
     functions: int | None = None,
     tables: int | None = None,
+    tile: int = TILE,
 ) -> DataFrame:
     """vectors with n_links, component_id and kept; links join vectors of equal label and cosine >= threshold.
 
@@ -123,6 +136,8 @@ def near_vectors(
     precision, tile by tile, and only counts and one edge a member leave a tile.
     functions: hash functions a table, by default as many as keep buckets of
     unrelated vectors nearly empty, which grows with the logarithm of the rows.
+    tables: by default as many as leave one pair in a million at the threshold
+    unmet, whatever the width, the functions and the number of rows.
 
     A vector that is null, empty, zero or holds null or non-finite components,
     one whose label is null, and one without vec_id link with nothing: 0 links,
@@ -145,11 +160,11 @@ def near_vectors(
     plain = vectors.where(good).select(F.col(label).alias("label"), x.alias("x"), F.col(vec_id).alias("id"))
     classes = plain.groupBy("label", "x").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "vector-classes")
+    width = classes.agg(F.max(F.size("x"))).first()[0] or 2
     if functions is None:
         most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-        width = classes.agg(F.max(F.size("x"))).first()[0] or 2
-        functions = min(5, max(1, math.ceil(math.log(64 * most) / math.log(2 * width))))
-    tables = tables or TABLES[functions]
+        functions = max(1, math.ceil(math.log(64 * most) / math.log(2 * width)))
+    tables = tables or tables_for(width, functions, threshold)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,8 +187,8 @@ def near_vectors(
     # a class may reach one bucket by two probes
     each = each.select("label", "dim", F.expr(f"cast(k div {functions + 1} as int)").alias("t"), "code", "rep").distinct()
     keys = ["label", "dim", "t", "code"]
-    full = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / TILE).cast("int")
+    full = written(each.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "vector-full")
+    blocks = F.ceil(F.col("members") / tile).cast("int")
     placed = each.join(full, keys).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     others = F.transform(
         F.sequence(F.lit(0), blocks - 1),
@@ -218,24 +233,28 @@ def near_vectors(
                 rows.append(r)
         if len(rows) > 1:
             yield solve(rows)
+        release()
 
     dealt = tiles.repartition("deal").sortWithinPartitions("deal", "key", "rep")
     found = written(dealt.mapInArrow(work, "src long, dst long, links long"), "vector-links")
     linked = found.groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("src", "dst")).withColumnRenamed("node", "rep")
     one = classes.join(linked, "rep", "left").join(parts, "rep", "left")
+    own_label, own, links, component = free_names(vectors.columns, "own_label", "own", "links", "component")
     one = one.select(
-        F.col("label").alias("__l"), F.col("x").alias("__x"),
-        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("__n"), F.coalesce("component", "rep").alias("__c"),
+        F.col("label").alias(own_label), F.col("x").alias(own),
+        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias(links), F.coalesce("component", "rep").alias(component),
     )
-    out = vectors.join(one, good & (F.col(label) == F.col("__l")) & (x == F.col("__x")), "left")
-    component = F.coalesce(F.col("__c"), F.col(vec_id))
-    return out.select(
+    one = written(one, "vector-one")  # a plain table, so that a vector that many rows have can be split
+    out = vectors.where(good).join(one, (F.col(label) == F.col(own_label)) & (x == F.col(own)))
+    done = out.select(
         *vectors.columns,
-        F.coalesce("__n", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col(vec_id) == component, F.lit(True)).alias("kept"),
+        F.col(links).cast("long").alias("n_links"),
+        F.col(component).alias("component_id"),
+        (F.col(vec_id) == F.col(component)).alias("kept"),
     )
+    rest = vectors.where(~good).select("*", F.lit(0).cast("long").alias("n_links"), F.col(vec_id).alias("component_id"), F.lit(True).alias("kept"))
+    return done.union(rest)
 
 
 def op3_vector_dedup(spark, sf_dir: str) -> DataFrame:
