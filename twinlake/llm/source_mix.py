@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from twinlake.session import written
 
+#: Rows of a range of keys that are sorted together.
+RANGE_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,7 +56,7 @@ def mix_sources(
     weights: Sequence[int] = (1, 2, 3),
     cap: int = 3,
     seed: str = "",
-    digits: int = 3,
+    digits: int | None = None,
     doc_id: str = "doc_id",
     source: str = "source",
     text: str = "text",
@@ -61,30 +64,31 @@ def mix_sources(
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each document, and carried, a struct of the columns in carry.
 
-    Each document gets a hash-random key. Within a source, keys are cut into
-    16**digits ranges; sums of the ranges give each range its offset, and only
-    inside a range are rows sorted, so no task holds a source. The words before
+    Each document gets a hash-random key, of its doc_id and text. Within a
+    source, keys are cut into 16**digits ranges, by default as many as leave some
+    RANGE_ROWS rows to a range even where one source has them all; sums of the
+    ranges give each range its offset, and only inside a range are rows sorted,
+    so no task holds a source. The result is the same for any digits. The words before
     a document then tell how much of it falls into the budget: whole epochs
     first, then documents in order of key, the last one cut at the exact word.
 
     Null sources form a source of their own, the last. Null and empty texts have
     size 0 and are taken 0 times. A source without words has target 0. Rows
-    that repeat a doc_id have equal keys and follow each other by size; equal
-    rows are told apart in no way, so which of them is cut does not show. Null
-    doc_ids are keyed as an empty string. Only the columns named are read. An
+    that repeat a doc_id and text have equal keys and are told apart in no way,
+    so which of them is cut does not show. Null doc_ids are keyed as an empty
+    string, with their text. Only the columns named are read. An
     empty table gives an empty table. Reruns agree, whatever the partitions.
     """
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+    name = F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(text), F.lit("")))
+    key = F.md5(name.cast("binary"))
     more = [F.struct(*carry).alias("carried")] if carry else []
     rows = documents.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"), *more
-    ).withColumns(
-        {
-            "part": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
-            "range": F.substring("key", 1, digits),
-        }
-    )
+    ).withColumn("part", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     rows = written(rows, "mix-rows")
+    if digits is None:
+        digits = max(1, math.ceil(math.log(max(1, rows.count()) / RANGE_ROWS, 16)))
+    rows = rows.withColumn("range", F.substring("key", 1, digits))
     sums = written(rows.groupBy("part", "source", "range").agg(F.sum("size").alias("sum")), "mix-ranges")
     targets = source_targets(sums.groupBy("source").agg(F.sum("sum").alias("size")), weights, cap)
     targets = targets.select(
@@ -114,7 +118,7 @@ def op5_source_mix(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')) AS key
   FROM documents),
 s AS (
   SELECT source, sum(size) AS size, [1, 2, 3][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w

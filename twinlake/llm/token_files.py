@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from twinlake.llm import simple8b
+from twinlake.llm.batches import pieces, release
 from twinlake.llm.bpe import read_vocabulary, vocabulary
 from twinlake.session import new_path, partitions, ship_package, written
 from twinlake.sources.shared_files import read_file, write_file
@@ -84,16 +85,17 @@ def read_documents(uri: str, name: str) -> Iterator[tuple[list[int | None], np.n
         docs = pa.ipc.open_stream(f.read(n_docs)).read_all()
         keys, sizes = docs["doc_id"].to_pylist(), docs["ids"].to_numpy()
         ends = [*blocks["offset"].to_pylist()[1:], at]
-        held, size, done = [], 0, 0
+        upto = np.cumsum(sizes)
+        held, size, done, before = [], 0, 0, 0
         for a, b in zip(blocks["offset"].to_pylist(), ends, strict=True):
             f.seek(a)
             held.append(_unblock(f.read(b - a)))
             size += len(held[-1])
-            full = int(np.searchsorted(np.cumsum(sizes[done:]), size, side="right"))
-            if full:
-                ids, own = np.concatenate(held), sizes[done : done + full]
-                yield keys[done : done + full], own, ids[: own.sum()]
-                held, size, done = [ids[own.sum() :]], size - int(own.sum()), done + full
+            full = int(np.searchsorted(upto, before + size, side="right"))
+            if full > done:
+                ids, some = np.concatenate(held), int(upto[full - 1]) - before
+                yield keys[done:full], sizes[done:full], ids[:some]
+                held, size, done, before = [ids[some:]], size - some, full, before + some
 
 
 def write_token_files(documents: DataFrame, tokenizer_path: str, uri: str, end_id: int = 0, text: str = "text") -> DataFrame:
@@ -115,7 +117,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, uri: str, end_i
         end = np.array([end_id], np.uint32)
 
         def docs():
-            for b in batches:
+            for b in pieces(batches, "text"):
                 for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     yield key, np.concatenate([vocab.encode(t), end]) if t else end
 
@@ -126,7 +128,8 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, uri: str, end_i
         )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id, and those without, are many files' if they are many
+    dealt = rows.repartitionByRange(partitions(spark), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     files = written(dealt.mapInArrow(work, "shard int, name string, docs long, ids long"), "token-files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
@@ -152,6 +155,7 @@ def read_token_files(files: DataFrame, uri: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
                     start += int(ends[-1])
+        release()
 
     dealt = files.select("name", "start").repartition(partitions(files.sparkSession), "name")
     return dealt.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
