@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = e.select(F.col("a").alias("node")).union(e.select("b"))
     links = e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, before = written(links, "links"), None
-    for _ in range(max_rounds):
+    n = links.count()
+    for _ in range(max_rounds if n else 0):
         # large star: every larger neighbour goes to the least neighbour
         both = links.union(links.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -31,7 +32,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        links = written(small, "links")
+        links = written(small, "links", rows=2 * n)  # at most a row a node
         # exact 128-bit sums tell when a round changed nothing
         now = links.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.hash("b", "a").cast("long"))
@@ -40,7 +41,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if n:
+            raise RuntimeError("components did not settle")
     found = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = nodes.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.union(roots.distinct())

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows of a file of a small table.
+FILE_ROWS = 1 << 15
 #: The limit of an Arrow batch in bytes: its name, Spark's default and ours.
 BATCH, UNBOUNDED, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
@@ -48,12 +50,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     Cuts the lineage: a lost executor costs the tasks after this point only.
+    rows: how many there are at most, where the caller knows; a small table then
+    gets no more files than it fills, and not one for each shuffle partition.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     path = new_path(spark, tag)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
