@@ -9,19 +9,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of the measured column in a piece, but for a single value that is longer.
+#: Bytes of the measured columns in a piece, but for a single row that is longer.
 TOGETHER = 1 << 20
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, together: int = TOGETHER) -> Iterator[pa.RecordBatch]:
-    """The batches' rows, in order, in pieces of about `together` bytes of a string or binary column.
+def pieces(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, in order, in pieces of about TOGETHER bytes of some string or binary columns.
 
     When the batches end, memory that was freed goes back to the system: the
     worker process is used again, by other stages.
     """
     for b in batches:
-        sizes = pc.fill_null(pc.cast(pc.binary_length(b.column(column)), pa.int64()), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes) // together
+        sizes = np.zeros(b.num_rows, np.int64)
+        for c in columns:
+            sizes += pc.fill_null(pc.cast(pc.binary_length(b.column(c)), pa.int64()), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // TOGETHER
         heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() if len(part) else []
         for low, high in zip(heads, [*heads[1:], b.num_rows], strict=True):
             yield b.slice(low, high - low)

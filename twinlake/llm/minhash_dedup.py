@@ -117,7 +117,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
     A text that many pairs share travels once for every 256 of them.
     """
     salts = 1 + F.floor(F.col("n") / 256).cast("int")
-    crowd = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "minhash-crowds")
+    crowd = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "minhash-crowds", rows=pairs.count())
     spread = crowd.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     left = spread.join(texts.select(F.col("digest").alias("a"), F.col("raw").alias("x")), "a")
     right = pairs.join(crowd, "a").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")).drop("n")
@@ -126,7 +126,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
     kind = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "y", TOGETHER // 2):
+        for b in pieces(batches, "x", "y"):
             a, other, x, y = (b.column(c).to_pylist() for c in ("a", "b", "x", "y"))
             texts = dict(zip([*a, *other], [*x, *y], strict=True))
             place = {d: k for k, d in enumerate(texts)}
@@ -173,40 +173,42 @@ def near_duplicates(
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), raw.alias("raw"))
     docs = docs.where("doc_id is not null and octet_length(raw) > 0").select("doc_id", F.unhex(F.md5("raw")).alias("digest"), "raw")
     signed = written(signatures(docs, bands, rows, words), "minhash-signatures")
+    n = signed.count()
     # partial aggregation: a text leaves a map task once, however many rows hold it
     least = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "sig")).alias("r"))
-    reps = written(least.select("digest", F.col("r.doc_id").alias("rep"), "r.size", "r.sig"), "minhash-classes")
+    reps = written(least.select("digest", F.col("r.doc_id").alias("rep"), "r.size", "r.sig"), "minhash-classes", rows=n)
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda k: F.unhex(F.md5(F.concat(F.substring(F.col("sig"), k * (4 * rows) + 1, F.lit(4 * rows)), k.cast("string").cast("binary")))),
     )
     banded = reps.select("digest", "size", F.posexplode(keys).alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("digest").alias("leader"))
-    full = written(full.where("n > 1"), "minhash-full")
-    placed = written(banded.drop("size").join(full, "bucket"), "minhash-buckets")
+    full = written(full.where("n > 1"), "minhash-full", rows=4 * n)
+    many = full.agg(F.sum("n")).first()[0] or 0
+    placed = written(banded.drop("size").join(full, "bucket"), "minhash-buckets", rows=many)
     pairs = placed.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
-    pairs = written(pairs, "minhash-pairs")
+    pairs = written(pairs, "minhash-pairs", rows=many)
     # texts of candidates only, each from its least row
     held = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(reps.select("digest", "rep"), "digest")
-    held = written(held.withColumnRenamed("rep", "doc_id"), "minhash-held")
+    held = written(held.withColumnRenamed("rep", "doc_id"), "minhash-held", rows=n)
     texts = docs.join(held, ["doc_id", "digest"]).select("digest", "raw").dropDuplicates(["digest"])
     texts = written(texts, "minhash-texts")
     links = written(_verified(pairs, texts, words, threshold).select("a", "b"), "minhash-links")
     # texts of one doc_id are one node
     own = signed.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("doc_id", "a")
-    same = signed.select("doc_id", F.col("digest").alias("b")).join(written(own, "minhash-own"), "doc_id").where("a <> b").select("a", "b")
+    same = signed.select("doc_id", F.col("digest").alias("b")).join(written(own, "minhash-own", rows=n), "doc_id").where("a <> b").select("a", "b")
     joined = links.union(same)
     parts = connected_components(joined.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    parts = written(parts.withColumnsRenamed({"node": "digest", "component": "part"}), "minhash-parts")
+    parts = written(parts.withColumnsRenamed({"node": "digest", "component": "part"}), "minhash-parts", rows=n)
     # buckets in several parts, but for those of two, which are settled
     sided = placed.where("n > 2").join(parts, "digest", "left").withColumn("part", F.coalesce("part", "digest"))
-    sided = written(sided, "minhash-sided")
+    sided = written(sided, "minhash-sided", rows=many)
     shares = sided.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c"))
     largest = F.max(F.struct("c", "part")).alias("most")
     state = shares.groupBy("bucket").agg(largest, F.sum("c").alias("all")).where("most.c < all")
     blocks = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
     loose_blocks = F.least(blocks, 1 + F.floor((F.col("all") - F.col("most.c")) / F.col("all") * blocks).cast("int"))
-    state = written(state.select("bucket", F.col("most.part").alias("main"), "all", "most"), "minhash-open")
+    state = written(state.select("bucket", F.col("most.part").alias("main"), "all", "most"), "minhash-open", rows=4 * n)
     opened = sided.join(state, "bucket").withColumns({"at": F.xxhash64("digest"), "js": blocks, "is": loose_blocks})
     cols = ["bucket", "i", "j", "band", "loose", "digest", "part"]
     query = opened.where("part <> main").withColumns({"i": F.expr("cast(pmod(at, is) as int)"), "loose": F.lit(True)})
@@ -214,17 +216,18 @@ def near_duplicates(
     base = opened.withColumns({"j": F.expr("cast(pmod(at, js) as int)"), "loose": F.lit(False)})
     base = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1)))
     members = query.select(cols).union(base.select(cols)).join(reps.select("digest", "sig"), "digest").join(texts, "digest")
-    more = written(_open_links(members.select(*cols, "sig", "raw"), bands, rows, words, threshold), "minhash-more")
+    more = _open_links(members.select(*cols, "sig", "raw"), bands, rows, words, threshold)
+    more = written(more if not state.isEmpty() else links.limit(0), "minhash-more")
     wider = connected_components(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     wider = wider.withColumnsRenamed({"node": "part", "component": "whole"})
     of_text = reps.select("digest", "rep").join(parts, "digest", "left").withColumn("part", F.coalesce("part", "digest"))
     of_text = of_text.join(wider, "part", "left").select("digest", "rep", F.coalesce("whole", "part").alias("class"))
-    of_text = written(of_text, "minhash-texts-of")
+    of_text = written(of_text, "minhash-texts-of", rows=n)
     ids = of_text.groupBy("class").agg(F.min("rep").alias("class_id"))
-    classed = written(of_text.select("digest", "class").join(written(ids, "minhash-ids"), "class"), "minhash-classed")
+    classed = written(of_text.select("digest", "class").join(written(ids, "minhash-ids", rows=n), "class"), "minhash-classed", rows=n)
     own_id, class_id = free_names(documents.columns, "own_id", "class_id")
     of_doc = signed.select("doc_id", "digest").join(classed, "digest")
-    of_doc = written(of_doc.select(F.col("doc_id").alias(own_id), "class_id").distinct(), "minhash-of")
+    of_doc = written(of_doc.select(F.col("doc_id").alias(own_id), "class_id").distinct(), "minhash-of", rows=n)
     known = documents.where(F.col(doc_id).isNotNull()).withColumn(own_id, F.col(doc_id).cast("long"))
     known = known.join(of_doc, own_id, "left").withColumn("class_id", F.coalesce("class_id", own_id))
     known = known.withColumn("kept", F.col("class_id") == F.col(own_id)).drop(own_id)

@@ -149,14 +149,15 @@ def _halved(contexts: DataFrame, span: int) -> DataFrame:
 def _repeats(contexts: DataFrame, span: int, block_bytes: int, bucket_contexts: int) -> DataFrame:
     """(ctx, low, high): starts, high included, of strings of each of the (different) contexts that others hold too."""
     sizes = contexts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = written(sizes, "suffix-sizes")  # a plain table, so that Spark can split a hot bucket of the join
+    # a plain table, so that Spark can split a hot bucket of the join
+    sizes = written(sizes, "suffix-sizes", rows=contexts.count())
     held = contexts.join(sizes, "bucket")
     out = _sort_blocks(held.where(F.col("n") <= bucket_contexts), span, block_bytes)
     if sizes.where(F.col("n") > bucket_contexts).isEmpty():
         return out
     halves = written(_halved(held.where(F.col("n") > bucket_contexts), span), "suffix-halves")
     rest = [F.any_value(c).alias(c) for c in ("bucket", "anchor", "lo", "hi", "bytes")]
-    each = written(halves.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"), *rest), "suffix-halved")
+    each = written(halves.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"), *rest), "suffix-halved", rows=halves.count())
     inner = _repeats(each.drop("n"), span, block_bytes, bucket_contexts)
     whole = each.where("n > 1").select("ctx", F.lit(0).alias("low"), (F.octet_length("bytes") - span).alias("high"))
     found = written(inner.union(whole), "suffix-found")
@@ -184,15 +185,16 @@ def repeated_intervals(
     each = runs.groupBy("ctx").agg(
         F.count(F.lit(1)).alias("n"), F.min("bucket").alias("bucket"), F.min(F.struct("doc", "anchor", "first", "last")).alias("rep")
     )
-    each = written(each, "suffix-contexts")
+    n = runs.count()
+    each = written(each, "suffix-contexts", rows=n)
     mixed = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("bucket")
-    wanted = each.join(written(mixed, "suffix-mixed"), "bucket").select("ctx", "bucket", "rep.*")
+    wanted = each.join(written(mixed, "suffix-mixed", rows=n), "bucket").select("ctx", "bucket", "rep.*")
     texts = written(_contexts(docs, wanted, span, gram), "suffix-texts")
     found = _repeats(texts, span, block_bytes, bucket_contexts).groupBy("ctx").agg(
         F.collect_set(F.struct("low", "high")).alias("parts")  # at most gram + 1 starts, so a few hundred intervals
     )
     verdict = each.join(found, "ctx", "left").where("n > 1 or parts is not null")
-    verdict = written(verdict.select("ctx", (F.col("n") > 1).alias("whole"), "parts"), "suffix-verdicts")
+    verdict = written(verdict.select("ctx", (F.col("n") > 1).alias("whole"), "parts"), "suffix-verdicts", rows=n)
     hit = runs.select("ctx", "doc", "first", "last").join(verdict, "ctx")
     full = F.array(F.struct(F.lit(0).alias("low"), (F.col("last") - F.col("first")).alias("high")))
     hit = hit.select("doc", "first", F.explode(F.when(F.col("whole"), full).otherwise(F.col("parts"))).alias("p"))
@@ -241,7 +243,7 @@ def remove_repeats(
 
     cols = [c for c in documents.columns if c not in ("removed_spans", "kept")]
     doc, hit, cut_, whole = free_names(documents.columns, "doc", "hit", "cut", "raw")
-    found = written(found.groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("low", "high")).alias(hit)), "suffix-hits")
+    found = written(found.groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("low", "high")).alias(hit)), "suffix-hits", rows=docs.count())
     kind = pa.struct([("removed_spans", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))), ("kept", pa.string() if as_text else pa.binary())])
 
     @F.arrow_udf(f"removed_spans array<struct<low: int, high: int>>, kept {'string' if as_text else 'binary'}")
