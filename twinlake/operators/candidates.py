@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twinlake import config as C
-from twinlake.functions.assets import aspect_ratio, hamming, keyframe_distance, overlap
+from twinlake.functions.assets import aspect_ratio, hamming, keyframe_distance, overlap, same_moment
 
 #: Assets of one luma range that meet one task's rows of the other side.
 BLOCK = 4096
@@ -80,6 +80,20 @@ def still_candidates(library: DataFrame, sensitivity: str) -> DataFrame:
     )
 
 
+def moment_pairs(catalogue: DataFrame) -> DataFrame:
+    """(id_lo, id_hi) of all pairs of assets created within SAME_MOMENT_S of each other.
+
+    Windows of that length make the band a hash join; an asset meets those of its
+    own window and of the two beside it.
+    """
+    window = F.floor(F.unix_micros(F.col("creation_ts").cast("timestamp")) / (C.SAME_MOMENT_S * 1_000_000)).cast("long")
+    t = catalogue.where("creation_ts is not null").select("asset_id", "creation_ts", window.alias("window"))
+    a = t.select("window", F.struct("asset_id", "creation_ts").alias("a"))
+    b = t.select(F.explode(F.array(*(F.col("window") + k for k in (-1, 0, 1)))).alias("window"), F.struct("asset_id", "creation_ts").alias("b"))
+    p = a.join(b, "window").where((F.col("a.asset_id") < F.col("b.asset_id")) & same_moment("a.creation_ts", "b.creation_ts"))
+    return p.select(F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"))
+
+
 def durations_match(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return (d <= C.DURATION_S) | (d / F.greatest(a, b, F.lit(0.001)) <= C.DURATION_SHARE)

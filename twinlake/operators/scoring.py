@@ -118,11 +118,15 @@ def scored(members: DataFrame, faces: DataFrame | None = None) -> DataFrame:
 
 
 def group_confidence(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(group_id, confidence): the mean over confirmed pairs inside, 0.8 where there is none."""
+    """(group_id, confidence): the mean over confirmed pairs inside, 0.8 where there is none.
+
+    Confidences are added as whole numbers of 1e-10, so the order of addition does not show.
+    """
     m = members.select("group_id", "asset_id")
     inside = edges.join(m.withColumnsRenamed({"asset_id": "id_lo"}), "id_lo")
     inside = inside.join(m.withColumnsRenamed({"asset_id": "id_hi", "group_id": "g2"}), "id_hi").where("group_id = g2")
-    mean = inside.groupBy("group_id").agg(F.avg("confidence").alias("c"))
+    units = F.floor(F.col("confidence") * 1e10 + 0.5).cast("decimal(38,0)")
+    mean = inside.groupBy("group_id").agg((F.sum(units).cast("double") / F.count(F.lit(1)) / 1e10).alias("c"))
     out = m.select("group_id").distinct().join(mean, "group_id", "left")
     return out.select("group_id", F.coalesce("c", F.lit(C.DEFAULT_CONFIDENCE)).alias("confidence"))
 

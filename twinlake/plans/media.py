@@ -74,6 +74,14 @@ def _r(c: str, digits: int = 6):
     return F.round(c, digits).alias(c)
 
 
+def _sixth(c: str):
+    """Six digits by arithmetic that both engines do alike, for means that can lie on an edge."""
+    return (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
+
+
+_MEAN = "CAST(sum(CAST(floor(confidence * 1e10 + 0.5::DOUBLE) AS BIGINT)) AS DOUBLE) / count(*) / 1e10"
+
+
 # records
 
 _RECORD = "asset_id, kind, pixel_width, pixel_height, creation_ts, duration, is_favorite, burst_id, is_edited, is_hdr, byte_size"
@@ -246,30 +254,26 @@ def neighbour_topk(spark, d):
 
 @_register(
     "hamming_pairs",
-    query("SELECT a.asset_id AS id_lo, c.asset_id AS id_hi, CAST(bit_count(xor(a.dhash, c.dhash)) AS INTEGER) AS distance FROM lib a JOIN lib c"
-          " ON a.asset_id // 8 = c.asset_id // 8 AND a.asset_id < c.asset_id", "lib"),
+    query(f"SELECT a.asset_id AS id_lo, c.asset_id AS id_hi, CAST(bit_count(xor(a.dhash, c.dhash)) AS INTEGER) AS distance FROM lib a JOIN lib c ON a.asset_id < c.asset_id"
+          f" WHERE abs(a.mean_luma - c.mean_luma) <= {C.LUMA_TOLERANCE}::DOUBLE AND bit_count(xor(a.dhash, c.dhash)) <= {C.LEVELS['strict'].hash_reject}", "lib"),
 )
 def hamming_pairs(spark, d):
-    lib = _library(spark, d).select("asset_id", "dhash", F.expr("asset_id div 8").alias("v"))
-    a, b = lib.alias("a"), lib.alias("b")
-    p = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.asset_id") < F.col("b.asset_id")))
+    """All pairs within the luma tolerance whose hashes are near."""
+    lib = _library(spark, d).select("asset_id", "dhash", "mean_luma")
     distance = A.hamming(F.col("a.dhash"), F.col("b.dhash"))
+    near = (F.col("a.asset_id") < F.col("b.asset_id")) & (distance <= C.LEVELS["strict"].hash_reject)
+    p = cand.luma_pairs(lib, lib, near)
     return p.select(F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"), distance.alias("distance"))
 
 
 @_register(
     "same_moment",
-    query("SELECT a.asset_id AS id_lo, c.asset_id AS id_hi, coalesce(abs(epoch(a.creation_ts) - epoch(c.creation_ts)) <= 180, FALSE) AS same_moment"
-          " FROM assets a JOIN assets c ON a.asset_id < c.asset_id AND a.asset_id // 16 = c.asset_id // 16", "assets"),
+    query(f"SELECT a.asset_id AS id_lo, c.asset_id AS id_hi FROM assets a JOIN assets c ON a.asset_id < c.asset_id"
+          f" WHERE abs(epoch(a.creation_ts) - epoch(c.creation_ts)) <= {C.SAME_MOMENT_S}", "assets"),
 )
 def same_moment(spark, d):
-    t = fixture.catalogue(spark, d).select("asset_id", "creation_ts", F.expr("asset_id div 16").alias("v"))
-    p = t.select("v", F.struct("*").alias("a")).join(t.select("v", F.struct("*").alias("b")), "v")
-    p = p.where(F.col("a.asset_id") < F.col("b.asset_id"))
-    return p.select(
-        F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"),
-        A.same_moment("a.creation_ts", "b.creation_ts").alias("same_moment"),
-    )
+    """All pairs of assets of one moment."""
+    return cand.moment_pairs(fixture.catalogue(spark, d))
 
 
 # groups
@@ -288,12 +292,12 @@ for _level in C.LEVELS:
 
 @_register(
     "group_confidence",
-    query("SELECT g.group_id, round(coalesce(c, 0.8::DOUBLE), 6) AS confidence FROM (SELECT DISTINCT group_id FROM members_strict) g LEFT JOIN ("
-          "SELECT group_id, avg(confidence) AS c FROM edges_strict JOIN members_strict ON asset_id = id_lo GROUP BY ALL) USING (group_id)",
+    query(f"SELECT g.group_id, floor(coalesce(c, 0.8::DOUBLE) * 1e6 + 0.5) / 1e6 AS confidence FROM (SELECT DISTINCT group_id FROM members_strict) g LEFT JOIN ("
+          f"SELECT group_id, {_MEAN} AS c FROM edges_strict JOIN members_strict ON asset_id = id_lo GROUP BY ALL) USING (group_id)",
           "members_strict", "edges_strict", level="strict"),
 )
 def group_confidence(spark, d):
-    return scoring.group_confidence(_members(spark, d), _edges(spark, d, "strict")).select("group_id", _r("confidence"))
+    return scoring.group_confidence(_members(spark, d), _edges(spark, d, "strict")).select("group_id", _sixth("confidence"))
 
 
 @_register(
@@ -361,7 +365,12 @@ _FACED = {
         "SELECT group_id, count(*) AS members, min(asset_id) FILTER (rank = 1) AS keeper_id, CAST(coalesce(sum(byte_size) FILTER (rank > 1), 0) AS BIGINT)"
         " AS reclaimable_bytes, any_value(kinds.kind) AS kind FROM ranked JOIN kinds USING (group_id) GROUP BY group_id",
     ),
-    "gone": ("ranked grp", "SELECT asset_id, byte_size FROM ranked JOIN grp USING (group_id) WHERE rank > 1 AND grp.kind IN (0, 3) AND rank % 2 = 0"),
+    "marks": (
+        "ranked",
+        "SELECT asset_id, group_id, byte_size, (CASE WHEN max(burst_id) OVER g IS NOT NULL THEN FALSE WHEN bool_or(is_favorite) OVER g"
+        " THEN asset_id <> min(asset_id) FILTER (is_favorite) OVER g ELSE rank > 1 END) <> is_edited AS marked FROM ranked WINDOW g AS (PARTITION BY group_id)",
+    ),
+    "gone": ("marks grp", "SELECT asset_id, byte_size FROM marks JOIN grp USING (group_id) WHERE marked AND grp.kind IN (0, 3)"),
 }
 
 
@@ -402,10 +411,20 @@ def kind_counts(spark, d):
     return review.kind_counts(_groups(spark, d))
 
 
+def _edits(ranked: DataFrame) -> DataFrame:
+    """What a user did: bursts are kept whole, in other groups a favourite is kept alone, and an edited asset is saved."""
+    one = F.min(F.when(F.col("is_favorite"), F.col("asset_id"))).alias("favourite")
+    g = ranked.groupBy("group_id").agg(one, F.max("burst_id").alias("burst"))
+    whole = g.select(F.lit(1).alias("seq"), "group_id", F.when(F.col("burst").isNull(), F.col("favourite")).alias("asset_id"), "burst")
+    whole = whole.where("burst is not null or asset_id is not null")
+    action = F.when(F.col("burst").isNull(), "keep_only").otherwise("keep_all").alias("action")
+    toggles = ranked.where("is_edited").select(F.lit(2).alias("seq"), "group_id", "asset_id", F.lit("toggle").alias("action"))
+    return whole.select("seq", "group_id", "asset_id", action).union(toggles)
+
+
 def _plan(spark, d) -> DataFrame:
     ranked = _ranked(spark, d)
-    marks = review.default_review(ranked).join(ranked.select("group_id", "asset_id", "rank"), ["group_id", "asset_id"])
-    marks = marks.select("group_id", "asset_id", (F.col("marked") & (F.col("rank") % 2 == 0)).alias("marked"))
+    marks = review.apply_edits(review.default_review(ranked), _edits(ranked))
     return review.deletion_plan(marks, ranked, review.visible(_groups(spark, d), [C.PHOTO, C.VIDEO]))
 
 
@@ -528,14 +547,17 @@ def eye_openness(spark, d):
 
 @_register(
     "histogram_intersection",
-    query("SELECT a.asset_id AS id_lo, c.asset_id AS id_hi, round(list_sum(list_transform(list_zip(a.histogram, c.histogram), lambda z: least(z[1], z[2])))"
-          " / 256.0::DOUBLE, 6) AS similarity FROM lib a JOIN lib c ON a.asset_id // 8 = c.asset_id // 8 AND a.asset_id < c.asset_id", "lib"),
+    query(f"SELECT id_lo, id_hi, round(s, 6) AS similarity FROM (SELECT a.asset_id AS id_lo, c.asset_id AS id_hi,"
+          " list_sum(list_transform(list_zip(a.histogram, c.histogram), lambda z: least(z[1], z[2]))) / 256.0::DOUBLE AS s"
+          f" FROM lib a JOIN lib c ON a.asset_id < c.asset_id AND abs(a.mean_luma - c.mean_luma) <= {C.LUMA_TOLERANCE}::DOUBLE)"
+          f" WHERE s >= {C.LEVELS['strict'].strong_histogram}::DOUBLE", "lib"),
 )
 def histogram_intersection(spark, d):
-    lib = _library(spark, d).select(F.expr("asset_id div 8").alias("v"), "asset_id", "histogram")
-    p = lib.select("v", F.struct("*").alias("a")).join(lib.select("v", F.struct("*").alias("b")), "v")
-    p = p.where(F.col("a.asset_id") < F.col("b.asset_id"))
+    """All pairs within the luma tolerance whose colours nearly agree."""
+    lib = _library(spark, d).select("asset_id", "histogram", "mean_luma")
     common = A.overlap(F.col("a.histogram"), F.col("b.histogram"), F.lit(fixture.EDGE**2))
+    near = (F.col("a.asset_id") < F.col("b.asset_id")) & (common >= C.LEVELS["strict"].strong_histogram)
+    p = cand.luma_pairs(lib, lib, near)
     return p.select(F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"), F.round(common, 6).alias("similarity"))
 
 
