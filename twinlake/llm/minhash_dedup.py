@@ -40,62 +40,78 @@ def _reaches(similarity, threshold: float):
     return similarity >= threshold - 1e-9
 
 
-class Bags:
-    """Weighted shingles of texts, made a piece at a time; an array view of each."""
-
-    def __init__(self, texts: list[bytes], words: int) -> None:
-        self.of: list[tuple[np.ndarray, np.ndarray]] = []
-        low, size = 0, 0
-        for k, t in enumerate(texts):
-            size += len(t)
-            if size > TOGETHER or k == len(texts) - 1:
-                doc, shingle, weight = weighted_shingles(texts[low : k + 1], words)
-                cuts = np.searchsorted(doc, np.arange(k + 2 - low))
-                self.of += [(shingle[i:j], weight[i:j]) for i, j in zip(cuts, cuts[1:])]
-                low, size = k + 1, 0
-
-    def similarity(self, i: int, j: int) -> float:
-        (x, v), (y, w) = self.of[i], self.of[j]
-        if (v == 1).all() and (w == 1).all():
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            return common / max(1, len(x) + len(y) - common)
-        return probability_jaccard((x, v), (y, w))
+def _bags(texts: list[bytes], words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(shingles ascending, occurrences) of each text, made TOGETHER bytes at a time."""
+    out, low, size = [], 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size > TOGETHER or k == len(texts) - 1:
+            doc, shingle, weight = weighted_shingles(texts[low : k + 1], words)
+            cuts = np.searchsorted(doc, np.arange(k + 2 - low))
+            out += [(shingle[i:j], weight[i:j]) for i, j in zip(cuts, cuts[1:])]
+            low, size = k + 1, 0
+    return out
+
+
+class Compared:
+    """Exact similarities of one text at a time with all of a list."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], others: np.ndarray) -> None:
+        self.bags, self.others = bags, others
+        self.plain = np.array([(w == 1).all() for _, w in bags])
+        self.size = np.array([len(x) for x, _ in bags])
+        _, local = np.unique(np.concatenate([x for x, _ in bags]), return_inverse=True)
+        self.local = np.split(local, np.cumsum(self.size)[:-1])
+        self.flat = np.concatenate([self.local[k] for k in others])
+        self.begins = np.cumsum(self.size[others]) - self.size[others]
+        self.mark = np.zeros(local.max() + 1, np.int64)
+
+    def similarities(self, q: int, wanted: np.ndarray) -> np.ndarray:
+        """Of text q with the wanted ones (a mask) of the others; 0 for the rest."""
+        self.mark[self.local[q]] = 1
+        common = np.add.reduceat(self.mark[self.flat], self.begins)
+        self.mark[self.local[q]] = 0
+        out = np.where(wanted, common / (self.size[q] + self.size[self.others] - common), 0.0)
+        for k in np.flatnonzero(wanted & ~(self.plain[self.others] & self.plain[q])).tolist():
+            out[k] = probability_jaccard(self.bags[q], self.bags[self.others[k]])
+        return out
 
 
 def _open_links(members: DataFrame, bands: int, rows: int, words: int, threshold: float) -> DataFrame:
     """(a, b): parts that verified links of a tile join.
 
-    members: (bucket, i, j, band, loose, digest, part, sig, raw). A tile holds
-    loose rows and rows of the whole bucket. Every loose row is verified with
-    every other of another part, unless links found before it have joined them:
-    those whose first shared band is another one, in that band's bucket, and
-    those whose signatures agree in less than half of the registers, never. A
-    pair at the threshold does so with probability below 10**-16.
+    members: (bucket, i, j, band, loose, rep, part, sig, raw). A tile holds loose
+    rows and rows of the whole bucket. Every loose row is verified with every
+    other of another part, unless links found before it have joined them: those
+    whose first shared band is another one, in that band's bucket, and those
+    whose signatures agree in less than half of the registers, never. A pair at
+    the threshold does so with probability below 10**-16.
     """
     half, names_of = bands * rows * (threshold - 0.3), members.columns
 
-    def solve(tile: list[tuple]) -> list[tuple[bytes, bytes]]:
-        sig = np.frombuffer(b"".join(r[7] for r in tile), "<u4").reshape(len(tile), bands * rows)
-        names = {p: k for k, p in enumerate(sorted({r[6] for r in tile}))}
-        root = np.array([names[r[6]] for r in tile])
-        back = list(names)
+    def solve(tile: list[tuple]) -> list[tuple[int, int]]:
         query = np.array([r[4] for r in tile])
-        bags = Bags([r[8] for r in tile], words)
-        found = []
+        others, root = np.flatnonzero(~query), np.array([r[6] for r in tile])
+        if query.all() or not query.any():
+            return []
+        sig = np.frombuffer(b"".join(r[7] for r in tile), "<u4").reshape(len(tile), bands * rows)
+        base, found = sig[others], []
+        compared = Compared(_bags([r[8] for r in tile], words), others)
         for q in np.flatnonzero(query).tolist():
-            equal = sig == sig[q]
-            first = equal.reshape(len(tile), bands, rows).all(2).argmax(1)
-            near = ~query & (root != root[q]) & (first == tile[q][3]) & (equal.sum(1) >= half)
-            for k in np.flatnonzero(near).tolist():
-                if root[k] != root[q] and _reaches(bags.similarity(q, k), threshold):
-                    found.append((back[root[q]], back[root[k]]))
-                    root[root == root[k]] = root[q]
+            equal = base == sig[q]
+            first = equal.reshape(len(others), bands, rows).all(2).argmax(1)
+            near = (root[others] != root[q]) & (first == tile[q][3]) & (equal.sum(1) >= half)
+            if near.any():
+                for k in others[_reaches(compared.similarities(q, near), threshold)].tolist():
+                    if root[k] != root[q]:
+                        found.append((int(root[q]), int(root[k])))
+                        root[root == root[k]] = root[q]
         return found
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(tile: list[tuple]) -> pa.RecordBatch:
             found = solve(tile)
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         tile: list[tuple] = []
         for b in pieces(batches, "raw"):
@@ -107,35 +123,42 @@ def _open_links(members: DataFrame, bands: int, rows: int, words: int, threshold
         if tile:
             yield out(tile)
 
-    dealt = members.repartition(partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "digest")
-    return dealt.mapInArrow(work, "a binary, b binary")
+    dealt = members.repartition(partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    return dealt.mapInArrow(work, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (of digests) whose exact probability Jaccard reaches threshold.
+    """(a, b) of the pairs of texts (rep, raw) whose exact probability Jaccard reaches threshold.
 
     A text that many pairs share travels once for every 256 of them.
     """
     salts = 1 + F.floor(F.col("n") / 256).cast("int")
     crowd = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "minhash-crowds", rows=pairs.count())
     spread = crowd.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    left = spread.join(texts.select(F.col("digest").alias("a"), F.col("raw").alias("x")), "a")
+    left = spread.join(texts.select(F.col("rep").alias("a"), F.col("raw").alias("x")), "a")
     right = pairs.join(crowd, "a").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")).drop("n")
-    right = right.join(texts.select(F.col("digest").alias("b"), F.col("raw").alias("y")), "b")
+    right = right.join(texts.select(F.col("rep").alias("b"), F.col("raw").alias("y")), "b")
     both = right.join(left, ["a", "salt"]).select("a", "b", "x", "y")
-    kind = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "x", "y"):
-            a, other, x, y = (b.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-            texts = dict(zip([*a, *other], [*x, *y], strict=True))
-            place = {d: k for k, d in enumerate(texts)}
-            bags = Bags(list(texts.values()), words)
-            found = [(p, q, bags.similarity(place[p], place[q])) for p, q in zip(a, other, strict=True)]
-            found = [f for f in found if _reaches(f[2], threshold)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t.type) for k, t in enumerate(kind)], schema=kind)
-
-    return both.mapInArrow(work, "a binary, b binary, similarity double")
+            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+            place = {t: k for k, t in enumerate(dict.fromkeys([*x, *y]))}
+            bags = _bags(list(place), words)
+            plain = [(w == 1).all() for _, w in bags]
+            keep = []
+            for k, (p, q) in enumerate(zip(x, y, strict=True)):
+                i, j = place[p], place[q]
+                if plain[i] and plain[j]:
+                    common = len(np.intersect1d(bags[i][0], bags[j][0], assume_unique=True))
+                    similarity = common / (len(bags[i][0]) + len(bags[j][0]) - common)
+                else:
+                    similarity = probability_jaccard(bags[i], bags[j])
+                if _reaches(similarity, threshold):
+                    keep.append(k)
+            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return both.mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(
@@ -177,61 +200,62 @@ def near_duplicates(
     # partial aggregation: a text leaves a map task once, however many rows hold it
     least = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "sig")).alias("r"))
     reps = written(least.select("digest", F.col("r.doc_id").alias("rep"), "r.size", "r.sig"), "minhash-classes", rows=n)
+    of_doc = signed.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
+    of_doc = written(of_doc, "minhash-nodes", rows=n)
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda k: F.unhex(F.md5(F.concat(F.substring(F.col("sig"), k * (4 * rows) + 1, F.lit(4 * rows)), k.cast("string").cast("binary")))),
     )
-    banded = reps.select("digest", "size", F.posexplode(keys).alias("band", "bucket"))
-    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("digest").alias("leader"))
+    banded = reps.select("rep", "digest", "size", F.posexplode(keys).alias("band", "bucket"))
+    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("rep").alias("leader"))
     full = written(full.where("n > 1"), "minhash-full", rows=4 * n)
     many = full.agg(F.sum("n")).first()[0] or 0
     placed = written(banded.drop("size").join(full, "bucket"), "minhash-buckets", rows=many)
-    pairs = placed.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
+    pairs = placed.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = written(pairs, "minhash-pairs", rows=many)
     # texts of candidates only, each from its least row
-    held = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(reps.select("digest", "rep"), "digest")
-    held = written(held.withColumnRenamed("rep", "doc_id"), "minhash-held", rows=n)
-    texts = docs.join(held, ["doc_id", "digest"]).select("digest", "raw").dropDuplicates(["digest"])
+    held = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", "digest"), "rep")
+    held = written(held.withColumn("doc_id", F.col("rep")), "minhash-held", rows=n)
+    texts = docs.join(held, ["doc_id", "digest"]).select("rep", "digest", "raw").dropDuplicates(["rep", "digest"])
     texts = written(texts, "minhash-texts")
-    links = written(_verified(pairs, texts, words, threshold).select("a", "b"), "minhash-links")
-    # texts of one doc_id are one node
-    own = signed.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("doc_id", "a")
-    same = signed.select("doc_id", F.col("digest").alias("b")).join(written(own, "minhash-own", rows=n), "doc_id").where("a <> b").select("a", "b")
-    joined = links.union(same)
-    parts = connected_components(joined.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    parts = written(parts.withColumnsRenamed({"node": "digest", "component": "part"}), "minhash-parts", rows=n)
+    links = written(_verified(pairs, texts.select("rep", "raw"), words, threshold), "minhash-links")
+    # the texts of one doc_id are one node
+    own = of_doc.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    same = of_doc.join(written(own, "minhash-own", rows=n), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+    parts = connected_components(links.union(same).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    parts = written(parts.withColumnsRenamed({"node": "rep", "component": "part"}), "minhash-parts", rows=n)
     # buckets in several parts, but for those of two, which are settled
-    sided = placed.where("n > 2").join(parts, "digest", "left").withColumn("part", F.coalesce("part", "digest"))
+    sided = placed.where("n > 2").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
     sided = written(sided, "minhash-sided", rows=many)
     shares = sided.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c"))
-    largest = F.max(F.struct("c", "part")).alias("most")
-    state = shares.groupBy("bucket").agg(largest, F.sum("c").alias("all")).where("most.c < all")
+    state = shares.groupBy("bucket").agg(F.max("c").alias("most"), F.max_by("part", "c").alias("main"), F.sum("c").alias("all"))
+    state = written(state.where("most < all"), "minhash-open", rows=4 * n)
+    opened = sided.join(state, "bucket")
     blocks = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
-    loose_blocks = F.least(blocks, 1 + F.floor((F.col("all") - F.col("most.c")) / F.col("all") * blocks).cast("int"))
-    state = written(state.select("bucket", F.col("most.part").alias("main"), "all", "most"), "minhash-open", rows=4 * n)
-    opened = sided.join(state, "bucket").withColumns({"at": F.xxhash64("digest"), "js": blocks, "is": loose_blocks})
-    cols = ["bucket", "i", "j", "band", "loose", "digest", "part"]
+    opened = opened.withColumns({"at": F.xxhash64("digest"), "js": blocks})
+    loose = F.expr("all - most")
+    opened = opened.withColumn("is", F.least("js", F.ceil(loose / F.col("all") * F.col("js")).cast("int")))
+    cols = ["bucket", "i", "j", "band", "loose", "rep", "part"]
     query = opened.where("part <> main").withColumns({"i": F.expr("cast(pmod(at, is) as int)"), "loose": F.lit(True)})
     query = query.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1)))
     base = opened.withColumns({"j": F.expr("cast(pmod(at, js) as int)"), "loose": F.lit(False)})
     base = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1)))
-    members = query.select(cols).union(base.select(cols)).join(reps.select("digest", "sig"), "digest").join(texts, "digest")
-    more = _open_links(members.select(*cols, "sig", "raw"), bands, rows, words, threshold)
-    more = written(more if not state.isEmpty() else links.limit(0), "minhash-more")
-    wider = connected_components(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    wider = wider.withColumnsRenamed({"node": "part", "component": "whole"})
-    of_text = reps.select("digest", "rep").join(parts, "digest", "left").withColumn("part", F.coalesce("part", "digest"))
-    of_text = of_text.join(wider, "part", "left").select("digest", "rep", F.coalesce("whole", "part").alias("class"))
-    of_text = written(of_text, "minhash-texts-of", rows=n)
-    ids = of_text.groupBy("class").agg(F.min("rep").alias("class_id"))
-    classed = written(of_text.select("digest", "class").join(written(ids, "minhash-ids", rows=n), "class"), "minhash-classed", rows=n)
+    members = query.select(*cols, "digest").union(base.select(*cols, "digest"))
+    members = members.join(reps.select("rep", "digest", "sig"), ["rep", "digest"]).join(texts, ["rep", "digest"])
+    if not state.isEmpty():
+        more = written(_open_links(members.select(*cols, "sig", "raw"), bands, rows, words, threshold), "minhash-more")
+        wider = connected_components(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        parts = of_doc.select("rep").distinct().join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+        parts = parts.join(wider.withColumnsRenamed({"node": "part", "component": "whole"}), "part", "left")
+        parts = written(parts.select("rep", F.coalesce("whole", "part").alias("part")), "minhash-wider", rows=n)
     own_id, class_id = free_names(documents.columns, "own_id", "class_id")
-    of_doc = signed.select("doc_id", "digest").join(classed, "digest")
-    of_doc = written(of_doc.select(F.col("doc_id").alias(own_id), "class_id").distinct(), "minhash-of", rows=n)
+    # nodes are named by their least doc_id, and so are classes
+    of_doc = of_doc.join(parts, "rep", "left").select(F.col("doc_id").alias(own_id), F.coalesce("part", "rep").alias(class_id)).distinct()
+    of_doc = written(of_doc, "minhash-of", rows=n)
     known = documents.where(F.col(doc_id).isNotNull()).withColumn(own_id, F.col(doc_id).cast("long"))
-    known = known.join(of_doc, own_id, "left").withColumn("class_id", F.coalesce("class_id", own_id))
-    known = known.withColumn("kept", F.col("class_id") == F.col(own_id)).drop(own_id)
-    other = documents.where(F.col(doc_id).isNull()).withColumns({"class_id": F.lit(None).cast("long"), "kept": F.lit(True)})
+    known = known.join(of_doc, own_id, "left").withColumn(class_id, F.coalesce(class_id, own_id))
+    known = known.withColumn("kept", F.col(class_id) == F.col(own_id)).drop(own_id)
+    other = documents.where(F.col(doc_id).isNull()).withColumns({class_id: F.lit(None).cast("long"), "kept": F.lit(True)})
     return known.select(other.columns).union(other)
 
 
