@@ -208,6 +208,27 @@ def level_parts(level: str) -> dict[str, tuple[str, str]]:
         f"edges_{z}": (f"known_{z} near_{z}", f"SELECT * FROM known_{z} UNION ALL SELECT id_lo, id_hi, confidence, 'neighbour' FROM near_{z}"),
         f"links_{z}": (f"edges_{z}", f"SELECT id_lo AS a, id_hi AS b FROM edges_{z} UNION SELECT id_hi, id_lo FROM edges_{z}"),
         f"comp_{z}": (f"links_{z}", f"RECURSIVE links_{z}"),
+        f"sided_{z}": (
+            f"edges_{z} comp_{z}",
+            f"SELECT root, a, b, max(c) AS c FROM (SELECT id_lo AS a, id_hi AS b, confidence AS c FROM edges_{z}"
+            f" UNION ALL SELECT id_hi, id_lo, confidence FROM edges_{z}) JOIN comp_{z} ON node = a GROUP BY ALL",
+        ),
+        # in each component, a round at a time: the free node with most free neighbours, and the surest of these
+        f"greedy_{z}": (
+            f"sided_{z} comp_{z}",
+            f"AS (root, free, picked) AS (SELECT root, list(node), CAST([] AS BIGINT[]) FROM comp_{z} GROUP BY root UNION ALL"
+            " SELECT root, list_filter(free, lambda x: NOT list_contains(picked, x)), picked FROM ("
+            f"SELECT s.root, any_value(s.free) AS free, list_prepend(any_value(anchor), list(l.b ORDER BY l.c DESC, l.b)[:{C.MAX_GROUP - 1}]) AS picked FROM ("
+            "SELECT root, any_value(free) AS free, arg_max(node, d * 10000000000 - node) AS anchor FROM ("
+            f"SELECT g.root, l.a AS node, any_value(g.free) AS free, count(*) AS d FROM greedy_{z} g JOIN sided_{z} l ON l.root = g.root"
+            " WHERE list_contains(g.free, l.a) AND list_contains(g.free, l.b) GROUP BY g.root, l.a) GROUP BY root) s"
+            f" JOIN sided_{z} l ON l.a = s.anchor AND list_contains(s.free, l.b) GROUP BY s.root))",
+        ),
+        f"stars_{z}": (
+            f"greedy_{z}",
+            "SELECT picked[1] AS cluster, unnest(picked) AS node, CAST(generate_subscripts(picked, 1) - 1 AS INTEGER) AS position"
+            f" FROM greedy_{z} WHERE len(picked) > 0",
+        ),
         f"members_{z}": (
             f"comp_{z} lib",
             f"SELECT root AS group_id, row_number() OVER (PARTITION BY root ORDER BY lib.asset_id) - 1 AS position, lib.* FROM comp_{z} JOIN lib ON lib.asset_id = node",
@@ -253,7 +274,10 @@ PARTS["faces"] = (
 
 
 def query(select: str, *names: str, level: str | None = None, extra: dict[str, tuple[str, str]] | None = None) -> str:
-    """select with the named parts, and those they need, in front."""
+    """select with the named parts, and those they need, in front.
+
+    The body of a part is its SELECT, RECURSIVE and the name of a table of links (a, b), or AS and all that follows its name.
+    """
     parts = PARTS | (level_parts(level) if level else {}) | (extra or {})
     done: list[str] = []
 
@@ -275,6 +299,8 @@ def query(select: str, *names: str, level: str | None = None, extra: dict[str, t
                 f"{n}(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM {links} UNION SELECT l.a, min(c.root) FROM {links} l"
                 f" JOIN {n} c ON c.node = l.b JOIN recurring.{n} AS own ON own.node = l.a WHERE c.root < own.root GROUP BY l.a)"
             )
+        elif body.startswith("AS "):
+            said.append(n + body[3:])
         else:
             said.append(f"{n} AS MATERIALIZED ({body})")
     return f"WITH RECURSIVE {', '.join(said)} {select}"

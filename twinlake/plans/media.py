@@ -14,19 +14,29 @@ from twinlake.session import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Tables that one query needs more than once; each query begins with none.
 _tables: dict[tuple, DataFrame] = {}
+_libraries: dict[tuple, DataFrame] = {}
 
 
 def _once(spark: SparkSession, *key, make) -> DataFrame:
-    """A table that several queries of a session start from, written by the first."""
-    full = (spark.sparkContext.applicationId, *key)
-    if full not in _tables:
-        _tables[full] = make()
-    return _tables[full]
+    if key not in _tables:
+        _tables[key] = make()
+    return _tables[key]
+
+
+def library(spark: SparkSession, d: str) -> DataFrame:
+    """The derived library, which is a stored table to the queries: written again only when its inputs change."""
+    inputs = [spark.read.parquet(f"{d}/{t}.parquet").select("_metadata.file_modification_time") for t in ("embeddings", "events")]
+    stamps = [i.agg(F.max("file_modification_time"), F.count(F.lit(1))).first() for i in inputs]
+    key = (spark.sparkContext.applicationId, d, *map(tuple, stamps))
+    if key not in _libraries:
+        _libraries[key] = fixture.library(spark, d)
+    return _libraries[key]
 
 
 def _library(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, d, "library", make=lambda: fixture.library(spark, d))
+    return _once(spark, d, "library", make=lambda: library(spark, d))
 
 
 def _routes(spark: SparkSession, d: str, level: str) -> DataFrame:
@@ -62,7 +72,11 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 def _register(name: str, sql: str | None = None):
     def keep(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            _tables.clear()
+            return f(spark, d)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return f
@@ -287,7 +301,10 @@ for _level in C.LEVELS:
         return star_clusters(_star_edges(spark, d, level), C.MAX_GROUP)
 
     _register(f"connected_components_{_level}", query(f"SELECT node, root AS component FROM comp_{_level}", f"comp_{_level}", level=_level))(_components)
-    _register(f"star_clusters_{_level}")(_stars)
+    _register(
+        f"star_clusters_{_level}",
+        query(f"SELECT cluster, node, position FROM stars_{_level}", f"stars_{_level}", level=_level),
+    )(_stars)
 
 
 @_register(
@@ -447,12 +464,57 @@ def survivors_after_delete(spark, d):
     return review.survivors(_ranked(spark, d), _plan(spark, d)).select("group_id", "asset_id", "rank")
 
 
-@_register("keepers")
+#: As _strict, over star clusters with true sizes, faces being looked for in the contenders only.
+_STARRED = _FACED | {
+    "true_sizes": (
+        "resources",
+        "SELECT asset_id, CAST(sum(file_size) FILTER (type <> 'adjustment') AS BIGINT) AS b, bool_or(type = 'adjustment') AS x FROM resources GROUP BY ALL",
+    ),
+    "members_strict": (
+        "stars_strict lib true_sizes",
+        "SELECT cluster AS group_id, position, lib.* REPLACE (coalesce(CASE WHEN b > 0 THEN b END, byte_size) AS byte_size, coalesce(x, is_edited) AS is_edited)"
+        " FROM stars_strict JOIN lib ON lib.asset_id = node LEFT JOIN true_sizes USING (asset_id)",
+    ),
+    "wide": (
+        "members_strict",
+        f"SELECT group_id, least(count(*), {C.FACE_CONTENDERS}) AS cost FROM members_strict GROUP BY group_id HAVING max(sharpness) > 0"
+        f" AND (max(sharpness) - min(sharpness)) / max(sharpness) > {C.SHARPNESS_SPREAD}::DOUBLE",
+    ),
+    "within": (
+        "wide",
+        f"SELECT group_id FROM (SELECT group_id, coalesce(sum(cost) OVER (ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent"
+        f" FROM wide) WHERE {C.FACE_BUDGET} - spent >= {C.FACE_CONTENDERS}",
+    ),
+    "looked_at": (
+        "faces members_strict within",
+        f"SELECT * FROM faces WHERE asset_id IN (SELECT asset_id FROM members_strict JOIN within USING (group_id) WHERE position < {C.FACE_CONTENDERS})",
+    ),
+    "faced": (_FACED["faced"][0].replace("faces", "looked_at"), _FACED["faced"][1].replace("JOIN faces", "JOIN looked_at")),
+    "bursts": ("members_strict", _BURST),
+    "sure": (
+        "members_strict edges_strict",
+        f"SELECT g.group_id, {_MEAN} AS c FROM edges_strict JOIN members_strict g ON g.asset_id = id_lo JOIN members_strict h ON h.asset_id = id_hi"
+        " WHERE g.group_id = h.group_id GROUP BY ALL",
+    ),
+}
+
+
+@_register(
+    "keepers",
+    query(
+        "SELECT group_id, members, keeper_id, kind, is_burst, floor(coalesce(c, 0.8::DOUBLE) * 1e6 + 0.5) / 1e6 AS confidence, reclaimable_bytes,"
+        " CASE WHEN coalesce(c, 0.8::DOUBLE) >= 0.92 THEN 'Certain' WHEN coalesce(c, 0.8::DOUBLE) >= 0.75 THEN 'Very likely' ELSE 'Possible' END AS confidence_label,"
+        " row_number() OVER (ORDER BY reclaimable_bytes DESC, group_id) AS place"
+        " FROM grp JOIN bursts USING (group_id) LEFT JOIN sure USING (group_id)",
+        "grp", "bursts", "sure", level="strict", extra=_STARRED,
+    ),
+)
 def keepers(spark, d):
     scan = pipeline.run_pipeline(_library(spark, d), "strict", fixture.faces(spark, d), fixture.resources(spark, d))
+    place = F.row_number().over(Window.orderBy(F.desc("reclaimable_bytes"), "group_id"))  # a row a group, shown in this order
     return scan.groups.select(
-        "group_id", "members", "keeper_id", "kind", "is_burst", _r("confidence"), "reclaimable_bytes",
-        A.confidence_label(F.col("confidence")).alias("confidence_label"),
+        "group_id", "members", "keeper_id", "kind", "is_burst", _sixth("confidence"), "reclaimable_bytes",
+        A.confidence_label(F.col("confidence")).alias("confidence_label"), place.alias("place"),
     )
 
 
