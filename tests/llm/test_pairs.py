@@ -57,7 +57,7 @@ def test_probability_jaccard_and_its_estimate():
     assert np.abs(np.array(est) - np.array(want)).max() < 0.1
 
 
-@pytest.mark.parametrize("tile", [512, 2])
+@pytest.mark.parametrize("tile", [2048, 2])
 def test_near_duplicates_equal_brute_force(spark, tile):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))

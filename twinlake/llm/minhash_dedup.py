@@ -14,7 +14,7 @@ from twinlake.operators.graph import connected_components
 from twinlake.session import free_names, partitions, ship_package, written
 
 #: Members of an open bucket, and bytes of their texts, in a block; a block of loose members and one of all meet in a task.
-TILE, TILE_BYTES = 512, 4 << 20
+TILE, TILE_BYTES = 2048, 4 << 20
 
 
 def signatures(documents: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
@@ -54,27 +54,45 @@ def _bags(texts: list[bytes], words: int) -> list[tuple[np.ndarray, np.ndarray]]
 
 
 class Compared:
-    """Exact similarities of one text at a time with all of a list."""
+    """Exact probability Jaccards of one text at a time with all of a list."""
 
     def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], others: np.ndarray) -> None:
-        self.bags, self.others = bags, others
-        self.plain = np.array([(w == 1).all() for _, w in bags])
-        self.size = np.array([len(x) for x, _ in bags])
+        sizes = np.array([len(x) for x, _ in bags])
         _, local = np.unique(np.concatenate([x for x, _ in bags]), return_inverse=True)
-        self.local = np.split(local, np.cumsum(self.size)[:-1])
+        self.local, self.weight = np.split(local, np.cumsum(sizes)[:-1]), [w for _, w in bags]
+        self.n, self.wide = len(others), 1 + max(int(w.max()) for w in self.weight)
         self.flat = np.concatenate([self.local[k] for k in others])
-        self.begins = np.cumsum(self.size[others]) - self.size[others]
+        self.y = np.concatenate([self.weight[k] for k in others])
+        self.owner = np.repeat(np.arange(self.n), sizes[others])
+        self.total = np.array([int(self.weight[k].sum()) for k in others])
         self.mark = np.zeros(local.max() + 1, np.int64)
 
-    def similarities(self, q: int, wanted: np.ndarray) -> np.ndarray:
-        """Of text q with the wanted ones (a mask) of the others; 0 for the rest."""
-        self.mark[self.local[q]] = 1
-        common = np.add.reduceat(self.mark[self.flat], self.begins)
+    def similarities(self, q: int) -> np.ndarray:
+        """Of text q with each of the others.
+
+        Common shingles with equal ratios of their occurrences x and y in the two
+        texts have the same terms up to a factor x, so they are summed by ratio.
+        """
+        self.mark[self.local[q]] = self.weight[q]
+        x = self.mark[self.flat]
         self.mark[self.local[q]] = 0
-        out = np.where(wanted, common / (self.size[q] + self.size[self.others] - common), 0.0)
-        for k in np.flatnonzero(wanted & ~(self.plain[self.others] & self.plain[q])).tolist():
-            out[k] = probability_jaccard(self.bags[q], self.bags[self.others[k]])
-        return out
+        hit = np.flatnonzero(x)
+        x, y, owner = x[hit], self.y[hit], self.owner[hit]
+        used, code = np.unique(x * self.wide + y, return_inverse=True) if self.wide > 1000 else _few(x * self.wide + y)
+        ratio, same = np.unique((used % self.wide) / (used // self.wide), return_inverse=True)
+        at = owner * len(ratio) + same[code]
+        mine, theirs = (np.bincount(at, v, self.n * len(ratio)).reshape(self.n, -1) for v in (x, y))
+        before = (self.weight[q].sum() - mine.sum(1))[:, None] + mine.cumsum(1)
+        after = self.total[:, None] - theirs.cumsum(1)
+        return (mine / (before + after / ratio)).sum(1)
+
+
+def _few(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with return_inverse, for small numbers."""
+    used = np.flatnonzero(np.bincount(code, minlength=1))
+    place = np.zeros(used[-1] + 1 if len(used) else 1, np.int64)
+    place[used] = np.arange(len(used))
+    return used, place[code]
 
 
 def _open_links(members: DataFrame, bands: int, rows: int, words: int, threshold: float) -> DataFrame:
@@ -102,7 +120,7 @@ def _open_links(members: DataFrame, bands: int, rows: int, words: int, threshold
             first = equal.reshape(len(others), bands, rows).all(2).argmax(1)
             near = (root[others] != root[q]) & (first == tile[q][3]) & (equal.sum(1) >= half)
             if near.any():
-                for k in others[_reaches(compared.similarities(q, near), threshold)].tolist():
+                for k in others[near & _reaches(compared.similarities(q), threshold)].tolist():
                     if root[k] != root[q]:
                         found.append((int(root[q]), int(root[k])))
                         root[root == root[k]] = root[q]
@@ -216,7 +234,8 @@ def near_duplicates(
     # texts of candidates only, each from its least row
     held = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", "digest"), "rep")
     held = written(held.withColumn("doc_id", F.col("rep")), "minhash-held", rows=n)
-    texts = docs.join(held, ["doc_id", "digest"]).select("rep", "digest", "raw").dropDuplicates(["rep", "digest"])
+    # the plan for large tables at every size
+    texts = docs.join(held.hint("merge"), ["doc_id", "digest"]).select("rep", "digest", "raw").dropDuplicates(["rep", "digest"])
     texts = written(texts, "minhash-texts")
     links = written(_verified(pairs, texts.select("rep", "raw"), words, threshold), "minhash-links")
     # the texts of one doc_id are one node

@@ -115,7 +115,9 @@ def _sort_blocks(contexts: DataFrame, span: int, block_bytes: int) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    dealt = contexts.select("bucket", "ctx", "bytes").repartition(partitions(contexts.sparkSession), "bucket")
+    # by a hash of the bucket: dealt by the bucket itself, Spark would take over the partitions of the join before
+    # it, and may merge or split these
+    dealt = contexts.select("bucket", "ctx", "bytes").repartition(partitions(contexts.sparkSession), F.xxhash64("bucket"))
     return dealt.sortWithinPartitions("bucket").mapInArrow(work, "ctx binary, low int, high int")
 
 
