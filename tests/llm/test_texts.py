@@ -18,7 +18,7 @@ from twinlake.llm.chunk_bpe import ChunkEncoder, decode_ids, encode_texts  # noq
 from twinlake.llm.host_quality import host_quality  # noqa: E402
 from twinlake.llm.source_mix import mix_sources, source_targets  # noqa: E402
 from twinlake.llm.suffix_blocks import repeated  # noqa: E402
-from twinlake.llm.suffix_dedup import remove_repeats, repeated_intervals  # noqa: E402
+from twinlake.llm.suffix_dedup import _whole_words, remove_repeats, repeated_intervals  # noqa: E402
 from twinlake.llm.token_files import read_token_files, write_token_files  # noqa: E402
 from twinlake.llm.token_prefixes import PrefixCounts, count_prefixes  # noqa: E402
 
@@ -180,6 +180,19 @@ def test_repeats_go_and_nothing_else(spark):
     assert remove_repeats(df.where("false")).count() == 0
 
 
+def test_passages_of_few_words_stay(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    few, many = text(50), text(51)
+    texts = [f"{text(30)} X{few}X {text(9)}", f"{text(30)} Y{few} {text(9)}", f"{text(30)} {many} Q{text(9)}", f"P{many[:-1]}{many[-1]}"]
+    texts += [f"{text(40)} {many} {text(9)}"]
+    got = {r.doc_id: r for r in remove_repeats(_docs(spark, list(enumerate(texts))), 200, as_text=True, least_words=51).collect()}
+    assert got[0].kept == texts[0] and got[1].kept == texts[1]  # 50 words, and those at the ends cut
+    assert many not in got[2].kept and many not in got[4].kept and got[2].kept.startswith(texts[2][:150])
+    assert _whole_words(b"ab cd ef", 0, 8) == 3 and _whole_words(b"ab cd ef", 1, 7) == 1 and _whole_words(b"ab cd ef", 3, 5) == 1
+    assert _whole_words(b"ab cd ef", 2, 6) == 1
+
+
 def test_copies_of_a_text_give_its_contexts_once(spark, monkeypatch):
     rng = random.Random(6)
     text = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(6)) for _ in range(n))

@@ -215,12 +215,21 @@ def _merge(parts: list[dict[str, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _whole_words(t: bytes, low: int, high: int) -> int:
+    """Words between white space that lie in t[low:high] as a whole."""
+    inside = t[low:high]
+    cut = low > 0 and not t[low - 1 : low].isspace() and not t[low : low + 1].isspace()
+    tail = high < len(t) and not t[high : high + 1].isspace() and not t[high - 1 : high].isspace()
+    return max(0, len(inside.split()) - cut - tail)
+
+
 def remove_repeats(
-    documents: DataFrame, span: int = 400, text: str = "text", as_text: bool = False, **options
+    documents: DataFrame, span: int = 400, text: str = "text", as_text: bool = False, least_words: int = 0, **options
 ) -> DataFrame:
     """documents with removed_spans array<struct<low, high>> (bytes, high excluded) and kept (binary).
 
     as_text: kept is a string; characters of which a cut left a part go as a whole.
+    least_words: removed runs that hold fewer whole words stay.
 
     Every byte goes that a string of span bytes covers which also starts anywhere
     else in the table, in the same document or another; overlapping occurrences
@@ -255,7 +264,8 @@ def remove_repeats(
             if not h.is_valid:
                 out.append(None)
                 continue
-            t, merged = t.as_py(), _merge(h.as_py())
+            t = t.as_py()
+            merged = [m for m in _merge(h.as_py()) if not least_words or _whole_words(t, *m) >= least_words]
             at = [0, *(x for s in merged for x in s), len(t)]
             kept = b"".join(t[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
             spans = [{"low": a, "high": b} for a, b in merged]
