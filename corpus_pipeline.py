@@ -18,8 +18,8 @@ from twinlake.llm.suffix_dedup import remove_repeats
 from twinlake.session import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of a passage that is taken out where it occurs again.
-PASSAGE = 200
+#: Strings of so many bytes are looked for, and passages of so many words taken out, that occur again.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur more than once; emptied ones stay, empty.
+    """Documents without the passages of over 50 words that occur more than once; emptied ones stay, empty.
 
-    A passage is a string of PASSAGE bytes: over 50 words of three letters and a
-    space are 203 bytes, so passages of over 50 words are covered.
+    51 words of three letters and their spaces are 203 bytes, so strings of
+    PASSAGE_BYTES cover all but passages of yet shorter words.
     """
-    out = remove_repeats(docs, PASSAGE, as_text=True).withColumn("text", F.col("kept"))
+    out = remove_repeats(docs, PASSAGE_BYTES, as_text=True, least_words=PASSAGE_WORDS).withColumn("text", F.col("kept"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
