@@ -1,13 +1,18 @@
 """Review edits, rescans, stores, sources and streaming ingest."""
 
 import struct
+import threading
+import time
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from twinlake import config as C
-from twinlake.functions import signatures as S
+from twinlake.functions import assets as A, signatures as S
 from twinlake.operators import incremental, review, scoring, vectors
+from twinlake.plans.control import PHASES, Progress, cancel, cancellable
+from twinlake.plans.pipeline import run_pipeline
 from twinlake.schema import FINGERPRINTS
 from twinlake.sources import catalog, images
 from twinlake.sources.store import POINTS, Store
@@ -70,11 +75,22 @@ def test_store_upserts_prunes_and_survives_damage(spark, tmp_path):
     store.save(spark.createDataFrame([row(2, 99.0)], POINTS))
     assert {r.asset_id: r.stamp for r in store.load().collect()} == {1: 0.0, 2: 99.0, 3: 0.0}
     live = spark.createDataFrame([(1,), (2,)], "asset_id long")
-    store.prune(live, complete=False)
+    store.prune(live, kinds=(C.PHOTO, C.VIDEO))
     assert store.count() == 3
-    store.prune(live, complete=True)
+    store.prune(live, kinds=C.ScanSettings().kinds)
     assert store.count() == 2 and store.disk_usage() > 0
+    files = spark.createDataFrame([(-5,), (1,), (2,)], "asset_id long")
+    assert {r.asset_id for r in incremental.prune(files, live.where("asset_id = 1"), C.ScanSettings().kinds).collect()} == {-5, 1}
+    assert Store(spark, store.uri, POINTS, sizes={"shape": 1}).count() == 2
+    assert Store(spark, store.uri, POINTS, sizes={"shape": 480}).count() == 0
     assert Store(spark, store.uri, POINTS, version=C.STORE_VERSION + 1).count() == 0
+    many = spark.createDataFrame([row(k, 0.0) for k in range(40)], POINTS).repartition(4)
+    store.replace(many)
+    torn = sorted((tmp_path / "s").glob("snapshot-*/part-*"))[-1]
+    torn.write_bytes(torn.read_bytes()[:100])
+    for crc in torn.parent.glob(".*.crc"):
+        crc.unlink()
+    assert store.count() == 0
     (tmp_path / "s" / "current.json").write_text("{")
     assert store.count() == 0
     store.save(spark.createDataFrame([row(7, 1.0)], POINTS))
@@ -100,7 +116,8 @@ def test_folder_scan_and_pixels(spark, tmp_path):
     (tmp_path / "bad.png").write_bytes(b"no image")
     (tmp_path / "note.txt").write_text("x")
     rows = catalog.scan_folder(spark, str(tmp_path)).collect()
-    assert [(r.asset_id.split("/")[-1], r.pixel_width, r.pixel_height) for r in rows] == [("a.png", 32, 16)]
+    assert [(r.origin.split("/")[-1], r.pixel_width, r.pixel_height) for r in rows] == [("a.png", 32, 16)]
+    assert rows[0].asset_id < 0
     assert rows[0].byte_size == (tmp_path / "in" / "a.png").stat().st_size
     got = {r.origin.split("/")[-1]: r for r in images.load_pixels(spark, str(tmp_path), edge=16).collect()}
     assert got["bad.png"].status == "undecodable" and got["bad.png"].rgb is None
@@ -108,6 +125,57 @@ def test_folder_scan_and_pixels(spark, tmp_path):
     assert (np.frombuffer(got["a.png"].rgb, np.uint8).reshape(16, 16, 3) == want).all()
 
 
+def test_a_folder_from_scan_to_deletion_plan(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    first = np.kron(rng.integers(0, 256, (8, 8, 3)), np.ones((8, 8, 1), int)).astype(np.uint8)
+    other = np.kron(rng.integers(0, 256, (8, 8, 3)), np.ones((8, 8, 1), int)).astype(np.uint8)
+    for name, x in (("a", first), ("copy of a", np.minimum(first.astype(int) + 3, 255).astype(np.uint8)), ("b", other)):
+        _png(tmp_path / f"{name}.png", x)
+    seen = []
+    records = catalog.scan(spark, "folder", str(tmp_path)).withColumn("stamp", A.stamp())
+    pixels = images.load_pixels(spark, str(tmp_path), edge=16)
+    prints = S.fingerprints(pixels.where("status = 'ready'")).withColumn("keyframes", F.array().cast("array<long>"))
+    library = records.join(prints, "asset_id")
+    scan = run_pipeline(library, "strict", progress=Progress(lambda *x: seen.append(x)))
+    plan = review.deletion_plan(review.default_review(scan.ranked), scan.ranked, scan.groups)
+    gone = plan.join(records.select("asset_id", "origin"), "asset_id").collect()
+    assert [r.sink for r in gone] == ["file"] and gone[0].origin.endswith("a.png")
+    assert {r.sink for r in catalog.split_by_sink(records.select("asset_id")).collect()} == {"file"}
+    assert [s[0] for s in seen if s[3] == s[4]] == list(PHASES) and all(s[3] <= s[4] for s in seen)
+    absent = spark.createDataFrame([(7, True), (8, False), (9, None)], "asset_id long, is_local boolean")
+    states = images.outcomes(absent.union(records.select("asset_id", F.lit(True))), pixels)
+    assert tuple(images.skip_counts(states).first()) == (3, 1, 2)
+    for few in (library.where("false"), library.limit(1)):
+        assert run_pipeline(few, "strict").groups.count() == 0
+
+
+def test_a_scan_is_cancelled(spark):
+    failed = []
+
+    def work():
+        with cancellable(spark, "scan"):
+            try:
+                spark.range(4).repartition(4).mapInPandas(lambda b: (time.sleep(60) or x for x in b), "id long").count()
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    t = threading.Thread(target=work)
+    t.start()
+    for _ in range(60):
+        time.sleep(0.5)
+        cancel(spark, "scan")
+        if not t.is_alive():
+            break
+    t.join(1)
+    assert failed and not t.is_alive()
+
+
+def test_labels_and_payload(spark):
+    sizes = [0, 999, 1000, 1_234_567, 45_600_000, 999_000_000_000]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select(A.byte_label(F.col("n")).alias("t")).collect()
+    assert [r.t for r in rows] == ["0 bytes", "999 bytes", "1.00 kB", "1.23 MB", "45.6 MB", "999 GB"]
+
+
 def test_catalogue_scan_orders_filters_and_classifies(spark, tmp_path):
     rows = [(1, "image", False, False, None, False), (2, "image", True, False, "2024-01-02", False), (3, "video", False, False, "2024-01-01", False), (4, "image", False, True, "2024-01-03", True), (5, "sound", False, False, None, False)]
     df = spark.createDataFrame(rows, "asset_id long, media string, is_screenshot boolean, is_live boolean, day string, is_hidden boolean")

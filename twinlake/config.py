@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Collection
 from dataclasses import asdict, dataclass, field
 
 
@@ -56,6 +57,11 @@ PHOTO, SCREENSHOT, LIVE, VIDEO = 0, 1, 2, 3
 KIND_NAMES = ("photo", "screenshot", "livePhoto", "video")
 
 
+def all_kinds(kinds: Collection[int]) -> bool:
+    """Whether a scan of these kinds sees every asset."""
+    return set(kinds) >= {PHOTO, SCREENSHOT, LIVE, VIDEO}
+
+
 @dataclass(frozen=True)
 class ScanSettings:
     """What a scan looks for; kept as JSON beside its results."""
@@ -84,4 +90,4 @@ class ScanSettings:
         return self != ScanSettings.from_json(stored)
 
     def all_kinds(self) -> bool:
-        return set(self.kinds) >= {PHOTO, SCREENSHOT, LIVE, VIDEO}
+        return all_kinds(self.kinds)

@@ -110,3 +110,22 @@ def resolution_label() -> Column:
 def clock_label(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("long")
     return F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+
+
+def file_id(origin: Column) -> Column:
+    """The id of a file in a folder: a negative number made from its URI; ids of a library are not negative."""
+    return -1 - F.shiftrightunsigned(F.xxhash64(origin), 2)
+
+
+def is_file(asset_id: Column) -> Column:
+    return asset_id < 0
+
+
+def byte_label(n: Column) -> Column:
+    """A size for people: bytes as they are, else three digits of kB, MB, GB or TB, in powers of 1,000."""
+    out = F.concat(n.cast("string"), F.lit(" bytes"))
+    for k, unit in enumerate(("kB", "MB", "GB", "TB"), 1):
+        x = n / 1000**k
+        digits = F.when(x < 9.995, F.format_string("%.2f", F.round(x, 2))).when(x < 99.95, F.format_string("%.1f", F.round(x, 1)))
+        out = F.when(n >= 1000**k, F.concat(F.coalesce(digits, F.format_string("%.0f", F.round(x))), F.lit(f" {unit}"))).otherwise(out)
+    return out

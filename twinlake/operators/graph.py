@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from twinlake.session import written
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of edges (src, dst); component is the least node reached.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each node
@@ -16,11 +16,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     is a grouped minimum plus a join, and each round is written to the shared
     folder, so no task or driver holds a component. Null ends and self loops
     link nothing; repeated edges count once; an empty table gives an empty table.
+    rows: how many edges there are at most, where the caller knows.
     """
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a is not null and b is not null")
     nodes = e.select(F.col("a").alias("node")).union(e.select("b"))
     links = e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = written(links, "links"), None
+    links, before = written(links, "links", rows=rows), None
     n = links.count()
     for _ in range(max_rounds if n else 0):
         # large star: every larger neighbour goes to the least neighbour

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, functions as F
 
 from twinlake import config as C
+from twinlake.functions.assets import is_file
 
 
 def _unchanged(a, b):
@@ -23,13 +26,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "asset_id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def prune(cached: DataFrame, live: DataFrame, complete: bool, key: str = "asset_id") -> DataFrame:
-    """cached without the rows that are live no more; only a complete scan of all kinds knows, and files are left."""
-    if not complete:
+def prune(cached: DataFrame, live: DataFrame, kinds: Collection[int], key: str = "asset_id") -> DataFrame:
+    """cached without the rows that are live no more; only a scan of all kinds knows, and files are left."""
+    if not C.all_kinds(kinds):
         return cached
-    is_file = F.col(key).cast("string").startswith("file:")
     return cached.join(live.select(key), key, "left_semi").unionByName(
-        cached.where(is_file).join(live.select(key), key, "left_anti")
+        cached.where(is_file(F.col(key))).join(live.select(key), key, "left_anti")
     )
 
 

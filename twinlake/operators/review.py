@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from twinlake import config as C
+from twinlake.functions.assets import is_file
 
 
 def default_review(ranked: DataFrame) -> DataFrame:
@@ -55,8 +56,7 @@ def deletion_plan(review: DataFrame, ranked: DataFrame, shown: DataFrame) -> Dat
     marked = review.where("marked").join(shown.select("group_id"), "group_id", "left_semi")
     bytes_of = ranked.select("group_id", "asset_id", "byte_size")
     plan = marked.join(bytes_of, ["group_id", "asset_id"]).select("asset_id", "byte_size").distinct()
-    is_file = F.col("asset_id").cast("string").startswith("file:")
-    return plan.withColumn("sink", F.when(is_file, "file").otherwise("library"))
+    return plan.withColumn("sink", F.when(is_file(F.col("asset_id")), "file").otherwise("library"))
 
 
 def survivors(ranked: DataFrame, deleted: DataFrame) -> DataFrame:

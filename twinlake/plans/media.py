@@ -566,7 +566,7 @@ def upsert(spark, d):
 @_register("prune_stale", query("SELECT asset_id FROM cached WHERE asset_id % 7 <> 0", "cached", extra=_CACHE))
 def prune_stale(spark, d):
     live = _stamped(spark, d).where("asset_id % 7 <> 0")
-    return incremental.prune(_cached(spark, d), live, complete=True).select("asset_id")
+    return incremental.prune(_cached(spark, d), live, C.ScanSettings().kinds).select("asset_id")
 
 
 @_register(

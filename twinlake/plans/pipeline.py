@@ -27,10 +27,12 @@ def confirmed_pairs(
     library: DataFrame, sensitivity: str, lists: DataFrame | None = None, progress: Progress = Progress()
 ) -> DataFrame:
     """(id_lo, id_hi, confidence, via) of all confirmed pairs: by rule, by shape, by neighbourhood."""
-    progress.begin("rules")
+    progress.begin("rules", 2)
     pairs = cand.candidates(library, sensitivity)
     routed = written(verify.routes(pairs, library, sensitivity), "routes")
+    progress.done(1)
     known = written(verify.confirmed(routed, verify.grey_scores(routed, library)), "confirmed")
+    progress.done(2)
     progress.begin("neighbours")
     if lists is None:
         points = vectors.indexable(library).select("asset_id", "shape", "shape_norm")
@@ -49,14 +51,18 @@ def run_pipeline(
 ) -> Scan:
     """Confirmed pairs, star clusters, ranked members and groups of a library."""
     edges = written(confirmed_pairs(library, sensitivity, lists, progress), "edges")
-    progress.begin("clusters")
+    progress.done(1)
+    progress.begin("clusters", 2)
     stars = star_clusters(edges.select(F.col("id_lo").alias("src"), F.col("id_hi").alias("dst"), "confidence"), C.MAX_GROUP)
+    progress.done(1)
     members = stars.withColumnsRenamed({"cluster": "group_id", "node": "asset_id"}).join(library, "asset_id")
     if resources is not None:
         members = scoring.enrich(members, resources)
     members = written(members, "members")
+    progress.done(2)
     progress.begin("scores")
     if faces is not None:
         faces = faces.join(scoring.contenders(members).select("asset_id").distinct(), "asset_id", "left_semi")
     ranked = written(scoring.scored(members, faces), "ranked")
+    progress.done(1)
     return Scan(edges, members, ranked, scoring.groups(ranked, edges))

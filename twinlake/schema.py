@@ -26,3 +26,5 @@ POINTS = _table(
     asset_id=_LONG, shape=T.ArrayType(_INT), shape_norm=_LONG, stamp=_DOUBLE,
     near=T.ArrayType(_table(a=_LONG, s=_DOUBLE, t=_DOUBLE)), near_stamp=_DOUBLE, near_version=_INT,
 )
+#: Lengths of the arrays of a fingerprint; a stored row with others is damaged.
+PRINT_SIZES = {"histogram": 64, "shape": 480}

@@ -50,16 +50,17 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str = "zstd", rows: int | None = None, per: int = FILE_ROWS) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     Cuts the lineage: a lost executor costs the tasks after this point only.
     rows: how many there are at most, where the caller knows; a small table then
-    gets no more files than it fills, and not one for each shuffle partition.
+    gets no more files than it fills, per rows each, and not one for each
+    partition that the job has.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(1 + rows // FILE_ROWS)
+        df = df.coalesce(1 + rows // per)
     path = new_path(spark, tag)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

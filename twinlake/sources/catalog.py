@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from twinlake import config as C
-from twinlake.functions.assets import classify, estimated_bytes
+from twinlake.functions.assets import classify, estimated_bytes, file_id, is_file
 from twinlake.schema import ASSETS
 
-_FILES = T.StructType([T.StructField("asset_id", T.StringType()), *ASSETS.fields[1:]])
+_FILES = T.StructType([*ASSETS.fields, T.StructField("origin", T.StringType())])
 IMAGE_ENDINGS = ("png", "jpg", "jpeg", "gif", "bmp")
 
 
@@ -30,27 +30,29 @@ def scan_catalogue(spark: SparkSession, path: str, kinds=None, form: str = "parq
     return out.select(*ASSETS.names).orderBy(F.asc_nulls_last("creation_ts"), "asset_id")
 
 
-def _plain_uri(name: str):
-    """Readers write a local path with one slash or three."""
-    return F.regexp_replace(F.col(name), "^file:/+", "file:/")
+def plain_uri(name: str):
+    """Readers write a local path with one slash or three, and its blanks as they are or escaped."""
+    one = F.regexp_replace(F.col(name), "^file:/+", "file:/")
+    return F.coalesce(F.try_url_decode(F.replace(one, F.lit("+"), F.lit("%2B"))), one)
 
 
 def scan_folder(spark: SparkSession, path: str, kinds=None) -> DataFrame:
-    """Records of the images below a folder; ids are file: URIs, sizes true, flags false.
+    """Records of the images below a folder, with their URIs as origin; sizes true, flags false.
 
-    Hidden files and what cannot be decoded are left out. Formats: those the JVM
+    An asset_id is made from the URI (file_id), so that a rescan finds it again;
+    two files of one id, which are not to be expected, end the scan. Hidden files and what cannot be decoded are left out. Formats: those the JVM
     decodes (PNG, JPEG, GIF, BMP).
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        _plain_uri("path").alias("origin"), "modificationTime", "length"
+        plain_uri("path").alias("origin"), "modificationTime", "length"
     )
     endings = "(?i).*\\.(" + "|".join(IMAGE_ENDINGS) + ")$"
     listed = listed.where(F.col("origin").rlike(endings) & ~F.col("origin").rlike(r"/\.[^/]*$"))
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
-    size = images.select(_plain_uri("image.origin").alias("origin"), "image.width", "image.height").where("width > 0 and height > 0")
+    size = images.select(plain_uri("image.origin").alias("origin"), "image.width", "image.height").where("width > 0 and height > 0")
     no = F.lit(False)
     rows = listed.join(size, "origin").select(
-        F.col("origin").alias("asset_id"), F.lit(C.PHOTO).alias("kind"),
+        "origin", file_id(F.col("origin")).alias("asset_id"), F.lit(C.PHOTO).alias("kind"),
         F.col("width").alias("pixel_width"), F.col("height").alias("pixel_height"),
         F.lit(None).cast("timestamp_ntz").alias("creation_ts"),
         F.col("modificationTime").cast("timestamp_ntz").alias("modification_ts"),
@@ -59,7 +61,10 @@ def scan_folder(spark: SparkSession, path: str, kinds=None) -> DataFrame:
     )
     if kinds is not None:
         rows = rows.where(F.col("kind").isin(*kinds))
-    return rows.select(*_FILES.names)
+    rows = rows.select(*_FILES.names)
+    if not rows.groupBy("asset_id").count().where("count > 1").isEmpty():
+        raise ValueError("two files have one id")
+    return rows
 
 
 def scan(spark: SparkSession, source: str, path: str, kinds=None) -> DataFrame:
@@ -72,6 +77,5 @@ def scan(spark: SparkSession, source: str, path: str, kinds=None) -> DataFrame:
 
 
 def split_by_sink(ids: DataFrame) -> DataFrame:
-    """(asset_id, sink): file: ids belong to folders, others to the library."""
-    is_file = F.col("asset_id").cast("string").startswith("file:")
-    return ids.select("asset_id", F.when(is_file, "file").otherwise("library").alias("sink"))
+    """(asset_id, sink): ids of files belong to folders, others to the library."""
+    return ids.select("asset_id", F.when(is_file(F.col("asset_id")), "file").otherwise("library").alias("sink"))

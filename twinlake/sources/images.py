@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from twinlake.functions.assets import file_id
 from twinlake.session import ship_package
+from twinlake.sources.catalog import plain_uri
 
 EDGE = 128
 
@@ -29,10 +31,13 @@ def squash(pixels: np.ndarray, edge: int) -> np.ndarray:
 
 
 def load_pixels(spark: SparkSession, path: str, edge: int = EDGE) -> DataFrame:
-    """(origin, status, edge, rgb) of each image below a path: ready, or undecodable without pixels."""
+    """(asset_id, origin, status, edge, rgb) of each image below a path: ready, or undecodable without pixels.
+
+    asset_id is that of the file, as in a scan of the folder.
+    """
     ship_package(spark)
     images = spark.read.format("image").option("recursiveFileLookup", True).load(path)
-    flat = images.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    flat = images.select(plain_uri("image.origin").alias("origin"), "image.width", "image.height", "image.nChannels", "image.data")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -48,9 +53,22 @@ def load_pixels(spark: SparkSession, path: str, edge: int = EDGE) -> DataFrame:
             kind = pa.schema([("origin", pa.string()), ("status", pa.string()), ("edge", pa.int32()), ("rgb", pa.binary())])
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), kind)], schema=kind)
 
-    return flat.mapInArrow(work, "origin string, status string, edge int, rgb binary")
+    out = flat.mapInArrow(work, "origin string, status string, edge int, rgb binary")
+    return out.select(file_id(F.col("origin")).alias("asset_id"), "origin", "status", "edge", "rgb")
+
+
+def outcomes(catalogue: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(asset_id, status) of every asset: that of its pixels, else notDownloaded where is_local is false, else missing."""
+    away = ~F.coalesce("is_local", F.lit(True)) if "is_local" in catalogue.columns else F.lit(False)
+    want = catalogue.select("asset_id", F.when(away, "notDownloaded").otherwise("missing").alias("absent"))
+    return want.join(pixels.select("asset_id", "status"), "asset_id", "left").select("asset_id", F.coalesce("status", "absent").alias("status"))
 
 
-def skip_counts(pixels: DataFrame) -> DataFrame:
-    """How many images could be read and how many not."""
-    return pixels.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+def skip_counts(found: DataFrame) -> DataFrame:
+    """(ready, not_downloaded, unreadable): how many images could be read, and how many not and why, in one row."""
+    s = F.col("status")
+    return found.agg(
+        F.count_if(s == "ready").alias("ready"),
+        F.count_if(s == "notDownloaded").alias("not_downloaded"),
+        F.count_if(s.isin("missing", "undecodable")).alias("unreadable"),
+    )
