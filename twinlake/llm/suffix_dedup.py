@@ -157,12 +157,13 @@ def _repeats(contexts: DataFrame, span: int, block_bytes: int, bucket_contexts:
     out = _sort_blocks(held.where(F.col("n") <= bucket_contexts), span, block_bytes)
     if sizes.where(F.col("n") > bucket_contexts).isEmpty():
         return out
-    halves = written(_halved(held.where(F.col("n") > bucket_contexts), span), "suffix-halves")
+    halves = _halved(held.where(F.col("n") > bucket_contexts), span)
+    halves = written(halves, "suffix-halves", rows=sizes.where(F.col("n") > bucket_contexts).agg(F.sum("n")).first()[0], per=4096)
     rest = [F.any_value(c).alias(c) for c in ("bucket", "anchor", "lo", "hi", "bytes")]
     each = written(halves.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"), *rest), "suffix-halved", rows=halves.count())
     inner = _repeats(each.drop("n"), span, block_bytes, bucket_contexts)
     whole = each.where("n > 1").select("ctx", F.lit(0).alias("low"), (F.octet_length("bytes") - span).alias("high"))
-    found = written(inner.union(whole), "suffix-found")
+    found = written(inner.union(whole), "suffix-found", rows=each.count(), per=4096)
     back = halves.select("parent", "shift", "ctx").join(found, "ctx")
     return out.union(back.select("parent", F.col("low") + F.col("shift"), F.col("high") + F.col("shift")))
 
@@ -182,16 +183,18 @@ def repeated_intervals(
     ship_package(docs.sparkSession)
     gram = span // 2
     often = _buckets(docs, span, gram).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    often = written(often, "suffix-often")
-    runs = written(_runs(docs, span, gram).join(often, "bucket", "left_semi"), "suffix-runs")
+    some = 32 * docs.count()  # a text has some tens of runs
+    often = written(often, "suffix-often", rows=some)
+    runs = written(_runs(docs, span, gram).join(often, "bucket", "left_semi"), "suffix-runs", rows=some)
     each = runs.groupBy("ctx").agg(
         F.count(F.lit(1)).alias("n"), F.min("bucket").alias("bucket"), F.min(F.struct("doc", "anchor", "first", "last")).alias("rep")
     )
     n = runs.count()
     each = written(each, "suffix-contexts", rows=n)
     mixed = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("bucket")
-    wanted = each.join(written(mixed, "suffix-mixed", rows=n), "bucket").select("ctx", "bucket", "rep.*")
-    texts = written(_contexts(docs, wanted, span, gram), "suffix-texts")
+    mixed = written(mixed, "suffix-mixed", rows=n)
+    wanted = each.join(mixed, "bucket").select("ctx", "bucket", "rep.*")
+    texts = written(_contexts(docs, wanted, span, gram), "suffix-texts", rows=n)
     found = _repeats(texts, span, block_bytes, bucket_contexts).groupBy("ctx").agg(
         F.collect_set(F.struct("low", "high")).alias("parts")  # at most gram + 1 starts, so a few hundred intervals
     )
@@ -248,7 +251,8 @@ def remove_repeats(
     long = F.octet_length(raw) >= span
     docs = documents.where(long).select(F.unhex(F.md5(raw)).alias("doc"), raw.alias("raw"))
     # partial aggregation: a text leaves a map task once
-    docs = written(docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.any_value("raw").alias("raw")), "suffix-docs")
+    docs = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.any_value("raw").alias("raw"))
+    docs = written(docs, "suffix-docs", rows=documents.count(), per=2048)
     copied = docs.where("n > 1").select("doc", F.lit(0).alias("low"), F.octet_length("raw").alias("high"))
     found = repeated_intervals(docs.select("doc", "raw"), span, **options).union(copied)
 
