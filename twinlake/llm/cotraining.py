@@ -294,6 +294,7 @@ def train(
     meta = list(meta)
     good = (F.min("quality") >= 1) & (F.max(F.coalesce("toxic", F.lit(0))) < 1)
     known = labels.where(F.col(doc_id).isNotNull() & F.col("quality").isNotNull()).groupBy(doc_id).agg(good.cast("double").alias("y"))
+    known = written(known, "cotraining-known")
     present = documents.select(doc_id).distinct()
     sample = known.join(present, doc_id, "left_semi").orderBy(F.xxhash64(F.col(doc_id), F.lit("sample")), doc_id).limit(labelled)
     base = _collect(documents, sample, doc_id, text, meta)
@@ -339,8 +340,9 @@ def train(
     views = learn()
     learnt = {"text": set(), "meta": set()}
     for k in range(rounds):
-        scored = _score(documents.select(doc_id, text, *meta), views, text, meta, [doc_id]).where(F.col(doc_id).isNotNull())
-        scored = written(scored.join(known, doc_id, "left_anti"), "cotraining-scores")  # the corpus is scored once a round
+        # the corpus is scored once a round, without moving it
+        scored = written(_score(documents.select(doc_id, text, *meta), views, text, meta, [doc_id]), "cotraining-scores")
+        scored = scored.where(F.col(doc_id).isNotNull()).join(known, doc_id, "left_anti")
         chosen = {}
         for teacher, own, pupil in (("p_text", "p_meta", "meta"), ("p_meta", "p_text", "text")):
             by_hash = scored.orderBy(F.xxhash64(F.col(doc_id), F.lit(f"{pupil} {k}")), doc_id)

@@ -129,7 +129,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, uri: str, end_i
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     # rows of one doc_id, and those without, are many files' if they are many
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(partitions(spark), "doc_id", F.substring("text", 1, 12)).sortWithinPartitions("doc_id", "text")
     files = written(dealt.mapInArrow(work, "shard int, name string, docs long, ids long"), "token-files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
