@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -217,33 +218,112 @@ def test_cotraining_without_labels_and_with_odd_rows(spark):
     assert quality_scores(docs.where("false"), labels).count() == 0
 
 
-def test_pipeline_keeps_the_contract(spark, tmp_path):
+def _planted(spark, folder):
+    """Documents with near copies, passages of 60 and of 40 words in several, nulls, empty texts and repeated doc_ids; the texts."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, short = text(60), text(40)
+    rows = []
+    for k in range(120):
+        t = text(rng.randint(60, 120))
+        if k % 10 == 1:
+            t = f"{t} {passage} {text(20)}"
+        if k % 10 == 2:
+            t = f"{t} {short} {text(20)}"
+        if k % 10 == 3:  # labelled bad
+            t = " ".join(w + "$$$" for w in t.split())
+        rows.append((k, t))
+    rows += [(1000 + k, rows[k][1].replace(rows[k][1].split()[50], "other", 1)) for k in range(0, 40, 2)]  # near copies
+    rows += [(2000, None), (2001, ""), (2002, " \n"), (7, rows[7][1]), (None, text(80))]
+    table = [(k, t, "en", f"s{(k or 0) % 2}", len(t or "")) for k, t in rows]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    labels = [(k, int(k % 10 != 3), 0) for k in range(0, 120)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def _without_passages(texts, span, least):
+    """Texts without maximal runs of repeated span-byte strings that hold least whole words."""
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + span] for r in raws for i in range(len(r) - span + 1))
+    out = []
+    for r in raws:
+        gone = [False] * len(r)
+        for i in range(len(r) - span + 1):
+            if seen[r[i : i + span]] > 1:
+                gone[i : i + span] = [True] * span
+        kept, i = b"", 0
+        while i < len(r):
+            j = i
+            while j < len(r) and gone[j] == gone[i]:
+                j += 1
+            words = [m.span() for m in re.finditer(rb"\S+", r)]
+            if not gone[i] or sum(i <= a and b <= j for a, b in words) < least:
+                kept += r[i:j]
+            i = j
+        out.append(kept.decode("utf-8", "ignore"))
+    return out
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     import corpus_pipeline
     from tokenizers import Tokenizer
 
-    docs, labels, _ = _labelled(spark, 240)
-    docs = docs.drop("score")
-    copies = docs.where("doc_id < 40").selectExpr("doc_id + 1000 AS doc_id", "text", "lang", "source", "n_chars")
-    docs.unionByName(copies).write.parquet(str(tmp_path / "documents.parquet"))
-    labels.write.parquet(str(tmp_path / "labels.parquet"))
-    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    state, texts = rows, {}
+    _planted(spark, str(tmp_path))
+    state = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = state
-        state = stage(spark, before, str(tmp_path))
+        state = stage(spark, state, str(tmp_path))
         assert state.columns == corpus_pipeline.COLUMNS
         state.write.parquet(str(tmp_path / name.split()[0]))
         state = spark.read.parquet(str(tmp_path / name.split()[0]))
-        texts[name] = {r.doc_id: r.text for r in state.collect()}
-    quality, near, passages, mixed = texts.values()
-    scored = quality_scores(rows, spark.read.parquet(str(tmp_path / "labels.parquet"))).where("kept")
-    assert set(quality) == {r.doc_id for r in scored.collect()}
-    assert set(near) == {k for k in quality if k < 1000 or k - 1000 not in quality}
-    assert set(passages) == set(near) and all(passages[k] == near[k] for k in near)
-    assert set(mixed) <= set(passages)
+        rows[name] = [(r.doc_id, r.text, r.source, r.n_chars) for r in state.collect()]
+    quality, near, passages, mixed = rows.values()
+    # 1: what is labelled bad goes, what is labelled good stays
+    kept = {k for k, *_ in quality}
+    assert all((k in kept) == (k % 10 != 3) for k in range(120))
+    # 2: one of each class by brute force
+    bags = [(k, _bag(t or "")) for k, t, *_ in quality if k is not None]
+    ids = sorted({k for k, _ in bags})
+    linked = [(a, b) for a, x in bags for b, y in bags if a < b and x and y and _jp(x, y) >= 0.8]
+    want = _classes(ids, linked)
+    assert Counter(k for k, *_ in near) == Counter(k for k, *_ in quality if k is None or want[k] == k)
+    assert sum(a != b for a, b in linked) >= 15
+    # 3: long passages go, short ones stay
+    texts = [t for _, t, *_ in near]
+    expected = _without_passages(texts, corpus_pipeline.PASSAGE_BYTES, corpus_pipeline.PASSAGE_WORDS)
+    assert sorted((k, e) for (k, *_), e in zip(near, expected) if k is not None) == sorted((k, t) for k, t, *_ in passages if k is not None)
+    assert sum(e != (t or "") for e, t in zip(expected, texts)) >= 5
+    assert all(n == len(t) for _, t, _, n in passages)
+    # 4: whole copies and a first part of each document, as many words as each source is to give
+    words = Counter()
+    for _, t, source, _ in passages:
+        words[source] += len(t.split())
+    first, second = sorted(words)
+    total = sum(words.values())
+    target = {first: min(total / 3, 3 * words[first]), second: min(2 * total / 3, 3 * words[second])}
+    target = {first: min(3 * words[first], total - target[second]), second: min(3 * words[second], total - target[first])}
+    taken, of = Counter(), {}
+    for k, t, *_ in passages:
+        of.setdefault(k, set()).add(" ".join(t.split()))
+    for k, t, source, _ in mixed:
+        taken[source] += len(t.split())
+        assert any(full.startswith(" ".join(t.split())) for full in of[k])
+    assert all(abs(taken[s] - target[s]) <= 1 for s in words)
+    # 5: the library's ids
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     final = corpus_pipeline.STAGES[-1][1](spark, state, str(tmp_path)).collect()
-    want = Counter((r.doc_id, tuple(lib.encode(r.text, add_special_tokens=False).ids)) for r in state.collect())
+    want = Counter((k, tuple(lib.encode(t, add_special_tokens=False).ids)) for k, t, *_ in mixed)
     assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in final) == want
     assert all(r.n_tokens == len(r.ids) // 4 for r in final)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
