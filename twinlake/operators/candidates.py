@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from twinlake import config as C
 from twinlake.functions.assets import aspect_ratio, hamming, keyframe_distance, overlap, same_moment
 
-#: Assets of one luma range that meet one task's rows of the other side.
+#: Assets of one band that meet one task's rows of the other side.
 BLOCK = 4096
 
 
@@ -29,22 +29,37 @@ def _luma_range(luma: Column) -> Column:
     return F.floor(luma / (C.LUMA_TOLERANCE + 1e-4)).cast("int")
 
 
-def luma_pairs(left: DataFrame, right: DataFrame, condition) -> DataFrame:
-    """Pairs (a_*, b_*) of rows whose mean luma is within tolerance and that satisfy condition.
+def banded_pairs(left: DataFrame, right: DataFrame, band: Column, condition: Column) -> DataFrame:
+    """Pairs (a, b) of rows of the same or adjacent bands (a whole number of each row) that satisfy condition.
 
-    Ranges of luma make the band a hash join. There are few ranges, so each is
-    cut further: left rows take one of n blocks, right rows go to all n, n being
-    set by how many rows the range has; no task holds a range.
+    Bands make a tolerance a hash join. One band can hold a large part of all
+    rows, so each is cut further: left rows take one of n blocks, right rows go
+    to all n, n being set by how many rows the band has; no task holds a band.
     """
-    size = left.groupBy(_luma_range(F.col("mean_luma")).alias("range")).agg(F.count(F.lit(1)).alias("n"))
-    size = size.select("range", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))  # a row a range, nine at most
-    a = left.select(F.struct("*").alias("a"), _luma_range(F.col("mean_luma")).alias("range")).join(size, "range")
+    size = left.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    size = size.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    a = left.select(F.struct("*").alias("a"), band.alias("band")).join(size, "band")
     a = a.withColumn("block", F.pmod(F.xxhash64("a.asset_id"), "blocks").cast("int")).drop("blocks")
-    near = F.array(*(_luma_range(F.col("mean_luma")) + d for d in (-1, 0, 1)))
-    b = right.select(F.struct("*").alias("b"), F.explode(near).alias("range")).join(size, "range")
-    b = b.select("b", "range", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    near = F.array(*(band + d for d in (-1, 0, 1)))
+    b = right.select(F.struct("*").alias("b"), F.explode(near).alias("band")).join(size, "band")
+    b = b.select("b", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return a.join(b, (a["band"] == b["band"]) & (a["block"] == b["block"]) & condition).select("a", "b")
+
+
+def luma_pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    """Pairs (a, b) of rows whose mean luma is within tolerance and that satisfy condition."""
     gate = F.abs(F.col("a.mean_luma") - F.col("b.mean_luma")) <= C.LUMA_TOLERANCE
-    return a.join(b, (a["range"] == b["range"]) & (a["block"] == b["block"]) & gate & condition).select("a", "b")
+    return banded_pairs(left, right, _luma_range(F.col("mean_luma")), gate & condition)
+
+
+def with_similarity(pairs: DataFrame, assets: DataFrame) -> DataFrame:
+    """(id_lo, id_hi, hash_distance, histogram_similarity): histograms are fetched for pairs only."""
+    hist = assets.select("asset_id", "histogram")
+    pairs = pairs.join(hist.select(F.col("asset_id").alias("id_lo"), F.col("histogram").alias("ha")), "id_lo")
+    pairs = pairs.join(hist.select(F.col("asset_id").alias("id_hi"), F.col("histogram").alias("hb")), "id_hi")
+    n = F.aggregate("ha", F.lit(0), lambda s, x: s + x)
+    pairs = pairs.withColumn("histogram_similarity", overlap(F.col("ha"), F.col("hb"), n))
+    return pairs.select("id_lo", "id_hi", "hash_distance", "histogram_similarity")
 
 
 def aspect_close(tolerance: float) -> Column:
@@ -70,14 +85,7 @@ def still_candidates(library: DataFrame, sensitivity: str) -> DataFrame:
         F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"),
         hamming(F.col("a.dhash"), F.col("b.dhash")).alias("hash_distance"),
     )
-    hist = stills.select("asset_id", "histogram")
-    pairs = pairs.join(hist.select(F.col("asset_id").alias("id_lo"), F.col("histogram").alias("ha")), "id_lo")
-    pairs = pairs.join(hist.select(F.col("asset_id").alias("id_hi"), F.col("histogram").alias("hb")), "id_hi")
-    n = F.aggregate("ha", F.lit(0), lambda s, x: s + x)
-    pairs = pairs.withColumn("histogram_similarity", overlap(F.col("ha"), F.col("hb"), n))
-    return pairs.where(F.col("histogram_similarity") >= t.histogram_floor).select(
-        "id_lo", "id_hi", "hash_distance", "histogram_similarity"
-    )
+    return with_similarity(pairs, stills).where(F.col("histogram_similarity") >= t.histogram_floor)
 
 
 def moment_pairs(catalogue: DataFrame) -> DataFrame:
@@ -88,9 +96,7 @@ def moment_pairs(catalogue: DataFrame) -> DataFrame:
     """
     window = F.floor(F.unix_micros(F.col("creation_ts").cast("timestamp")) / (C.SAME_MOMENT_S * 1_000_000)).cast("long")
     t = catalogue.where("creation_ts is not null").select("asset_id", "creation_ts", window.alias("window"))
-    a = t.select("window", F.struct("asset_id", "creation_ts").alias("a"))
-    b = t.select(F.explode(F.array(*(F.col("window") + k for k in (-1, 0, 1)))).alias("window"), F.struct("asset_id", "creation_ts").alias("b"))
-    p = a.join(b, "window").where((F.col("a.asset_id") < F.col("b.asset_id")) & same_moment("a.creation_ts", "b.creation_ts"))
+    p = banded_pairs(t, t, F.col("window"), (F.col("a.asset_id") < F.col("b.asset_id")) & same_moment("a.creation_ts", "b.creation_ts"))
     return p.select(F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"))
 
 
@@ -102,20 +108,15 @@ def durations_match(a: Column, b: Column) -> Column:
 def video_candidates(library: DataFrame, sensitivity: str) -> DataFrame:
     """As still_candidates, for clips in the same or adjacent whole seconds of duration whose keyframes agree."""
     t = C.LEVELS[sensitivity]
-    clips = library.where(F.col("kind") == C.VIDEO).select("asset_id", "duration", "keyframes", "histogram")
-    second = F.col("duration").cast("long")
-    a = clips.select(F.struct("*").alias("a"), second.alias("second"))
-    b = clips.select(F.struct("*").alias("b"), F.explode(F.array(second - 1, second, second + 1)).alias("second"))
+    clips = library.where(F.col("kind") == C.VIDEO)
+    thin = clips.select("asset_id", "duration", "keyframes")
+    mean = keyframe_distance(F.col("a.keyframes"), F.col("b.keyframes"))
     close = (F.col("a.asset_id") < F.col("b.asset_id")) & durations_match(F.col("a.duration"), F.col("b.duration"))
-    pairs = a.join(b, "second").where(close)
-    pairs = pairs.withColumn("mean", keyframe_distance(F.col("a.keyframes"), F.col("b.keyframes")))
-    n = F.aggregate("a.histogram", F.lit(0), lambda s, x: s + x)
-    return pairs.where(F.col("mean") <= t.video_hash_accept).select(
-        F.col("a.asset_id").alias("id_lo"),
-        F.col("b.asset_id").alias("id_hi"),
-        F.round("mean").cast("int").alias("hash_distance"),
-        overlap(F.col("a.histogram"), F.col("b.histogram"), n).alias("histogram_similarity"),
+    pairs = banded_pairs(thin, thin, F.col("duration").cast("long"), close & (mean <= t.video_hash_accept))
+    pairs = pairs.select(
+        F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"), F.round(mean).cast("int").alias("hash_distance")
     )
+    return with_similarity(pairs, clips)
 
 
 def candidates(library: DataFrame, sensitivity: str) -> DataFrame:
