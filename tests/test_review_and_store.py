@@ -1,5 +1,6 @@
 """Review edits, rescans, stores, sources and streaming ingest."""
 
+import json
 import struct
 import threading
 import time
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from twinlake import config as C
-from twinlake.functions import assets as A, signatures as S
+from twinlake.functions import assets as A, export, signatures as S
 from twinlake.operators import incremental, review, scoring, vectors
 from twinlake.plans.control import PHASES, Progress, cancel, cancellable
 from twinlake.plans.pipeline import run_pipeline
@@ -171,6 +172,9 @@ def test_a_scan_is_cancelled(spark):
 
 
 def test_labels_and_payload(spark):
+    row = spark.createDataFrame([(1, [1], 1, 2.0, [(7, 0.5, 3.0)], 2.0, 1)], POINTS)
+    said = json.loads(row.select(export.payload().alias("p")).first().p)
+    assert said == {"asset": 1, "stamp": 2.0, "near_stamp": 2.0, "near_version": 1, "near": [{"a": 7, "s": 0.5, "t": 3.0}]}
     sizes = [0, 999, 1000, 1_234_567, 45_600_000, 999_000_000_000]
     rows = spark.createDataFrame([(n,) for n in sizes], "n long").select(A.byte_label(F.col("n")).alias("t")).collect()
     assert [r.t for r in rows] == ["0 bytes", "999 bytes", "1.00 kB", "1.23 MB", "45.6 MB", "999 GB"]

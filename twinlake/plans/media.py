@@ -10,7 +10,10 @@ from twinlake.operators import candidates as cand, incremental, review, scoring,
 from twinlake.operators.graph import connected_components, star_clusters
 from twinlake.plans import fixture, pipeline
 from twinlake.plans.fixture_sql import query
-from twinlake.session import written
+from twinlake.schema import FINGERPRINTS, PRINT_SIZES
+from twinlake.session import new_path, written
+from twinlake.sources import catalog
+from twinlake.sources.store import Store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -101,14 +104,37 @@ _MEAN = "CAST(sum(CAST(floor(confidence * 1e10 + 0.5::DOUBLE) AS BIGINT)) AS DOU
 _RECORD = "asset_id, kind, pixel_width, pixel_height, creation_ts, duration, is_favorite, burst_id, is_edited, is_hdr, byte_size"
 
 
+def _scanned(spark: SparkSession, d: str, kinds=None) -> DataFrame:
+    """The derived catalogue as a library keeps it, written and scanned."""
+    c = fixture.catalogue(spark, d)
+    media = F.when(F.col("kind") == C.VIDEO, "video").otherwise("image")
+    raw = c.withColumns({"media": media, "is_screenshot": F.col("kind") == C.SCREENSHOT, "is_live": F.col("kind") == C.LIVE})
+    hidden = raw.limit(1).withColumns({"asset_id": F.lit(-1).cast("long"), "is_hidden": F.lit(True)})
+    path = new_path(spark, "catalogue")
+    raw.withColumn("is_hidden", F.lit(False)).unionByName(hidden).drop("kind", "byte_size").write.parquet(path)
+    return catalog.scan(spark, "library", path, kinds)
+
+
 @_register("scan_records", query(f"SELECT {_RECORD} FROM assets", "assets"))
 def scan_records(spark, d):
-    return fixture.catalogue(spark, d).select(*_RECORD.split(", ")).orderBy(F.asc_nulls_last("creation_ts"), "asset_id")
+    return _scanned(spark, d).select(*_RECORD.split(", "))
 
 
 @_register("kind_filter", query("SELECT asset_id, kind FROM assets WHERE kind IN (1, 3)", "assets"))
 def kind_filter(spark, d):
-    return fixture.catalogue(spark, d).where(F.col("kind").isin(C.SCREENSHOT, C.VIDEO)).select("asset_id", "kind")
+    return _scanned(spark, d, [C.SCREENSHOT, C.VIDEO]).select("asset_id", "kind")
+
+
+_UNIT = " ".join(
+    f"WHEN byte_size >= 1e{e} THEN CASE WHEN byte_size / 1e{e} < 9.995 THEN printf('%.2f', round(byte_size / 1e{e}, 2))"
+    f" WHEN byte_size / 1e{e} < 99.95 THEN printf('%.1f', round(byte_size / 1e{e}, 1)) ELSE printf('%.0f', round(byte_size / 1e{e})) END || ' {u}'"
+    for e, u in ((12, "TB"), (9, "GB"), (6, "MB"), (3, "kB"))
+)
+
+
+@_register("size_labels", query(f"SELECT asset_id, CASE {_UNIT} ELSE byte_size || ' bytes' END AS label FROM assets", "assets"))
+def size_labels(spark, d):
+    return fixture.catalogue(spark, d).select("asset_id", A.byte_label(F.col("byte_size")).alias("label"))
 
 
 @_register(
@@ -441,8 +467,22 @@ def _edits(ranked: DataFrame) -> DataFrame:
 
 def _plan(spark, d) -> DataFrame:
     ranked = _ranked(spark, d)
-    marks = review.apply_edits(review.default_review(ranked), _edits(ranked))
-    return review.deletion_plan(marks, ranked, review.visible(_groups(spark, d), [C.PHOTO, C.VIDEO]))
+    return review.deletion_plan(_marks(spark, d), ranked, review.visible(_groups(spark, d), [C.PHOTO, C.VIDEO]))
+
+
+def _marks(spark, d) -> DataFrame:
+    ranked = _ranked(spark, d)
+    return review.apply_edits(review.default_review(ranked), _edits(ranked))
+
+
+@_register("review_marks", _strict("SELECT group_id, asset_id, marked FROM marks", "marks"))
+def review_marks(spark, d):
+    return _marks(spark, d)
+
+
+@_register("keeps_nothing", _strict("SELECT group_id, bool_and(marked) AS keeps_nothing FROM marks GROUP BY group_id", "marks"))
+def keeps_nothing(spark, d):
+    return review.keeps_nothing(_marks(spark, d))
 
 
 @_register("deletion_plan", _strict("SELECT asset_id, byte_size, 'library' AS sink FROM gone", "gone"))
@@ -563,6 +603,25 @@ def upsert(spark, d):
     return incremental.upsert(_cached(spark, d), new).select("asset_id", F.round("stamp", 3).alias("stamp"))
 
 
+@_register(
+    "vector_sync",
+    query("SELECT s.asset_id FROM stamped s LEFT JOIN cached c USING (asset_id) WHERE c.stamp IS NULL OR abs(s.stamp - c.stamp) >= 0.5", "stamped", "cached", extra=_CACHE),
+)
+def vector_sync(spark, d):
+    """Points that have to be written again."""
+    return incremental.to_write(_cached(spark, d), _stamped(spark, d)).select("asset_id")
+
+
+@_register("store_scan", query("SELECT asset_id, dhash, histogram FROM lib WHERE asset_id % 3 <> 0 UNION ALL SELECT asset_id, 0, histogram FROM lib WHERE asset_id % 3 = 0", "lib"))
+def store_scan(spark, d):
+    """A store of fingerprints written, brought up to date and read back; every third asset was signed again since."""
+    lib = _library(spark, d).select(*FINGERPRINTS.names)
+    store = Store(spark, new_path(spark, "store"), FINGERPRINTS, sizes=PRINT_SIZES)
+    store.replace(lib)
+    store.save(lib.where("asset_id % 3 = 0").withColumn("dhash", F.lit(0).cast("long")))
+    return store.load().select("asset_id", "dhash", "histogram")
+
+
 @_register("prune_stale", query("SELECT asset_id FROM cached WHERE asset_id % 7 <> 0", "cached", extra=_CACHE))
 def prune_stale(spark, d):
     live = _stamped(spark, d).where("asset_id % 7 <> 0")
