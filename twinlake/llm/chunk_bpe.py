@@ -119,22 +119,31 @@ class ChunkEncoder:
         at = 0
         for text, own in group:
             lo, hi = np.searchsorted(cuts, (at + SHORTEST, at + len(own)))
-            if self.vocab.odd(text) or len(self.vocab.parts(text)) > 1:
+            if self.vocab.odd(text):
                 yield self.vocab.encode(text)
-            elif not text:
-                yield np.zeros(0, np.uint32)
+            elif len(parts := self.vocab.parts(text)) > 1:  # special strings are words of their own, at odd places
+                yield np.concatenate([self._special(p) if k % 2 else self._whole(p.encode(), cut_points(p.encode())) for k, p in enumerate(parts)])
             else:
-                chunks, begin = [], 0
-                for c in (cuts[lo:hi] - at).tolist():
-                    while c < len(own) and own[c] & 0xC0 == 0x80:
-                        c += 1
-                    if c - begin >= SHORTEST and c < len(own):
-                        chunks.append(own[begin:c].decode())
-                        begin = c
-                chunks.append(own[begin:].decode())
-                yield np.concatenate(self._plain(chunks)) if len(chunks) > 1 else self._chunk(chunks[0]).ids
+                yield self._whole(own, cuts[lo:hi] - at)
             at += len(own)
 
+    def _special(self, text: str) -> np.ndarray:
+        return np.array([self.vocab.special[text]], np.uint32)
+
+    def _whole(self, own: bytes, cuts: np.ndarray) -> np.ndarray:
+        """Ids of a text without special strings, chunk by chunk."""
+        if not own:
+            return np.zeros(0, np.uint32)
+        chunks, begin = [], 0
+        for c in cuts.tolist():
+            while c < len(own) and own[c] & 0xC0 == 0x80:
+                c += 1
+            if c - begin >= SHORTEST and c < len(own):
+                chunks.append(own[begin:c].decode())
+                begin = c
+        chunks.append(own[begin:].decode())
+        return np.concatenate(self._plain(chunks)) if len(chunks) > 1 else self._chunk(chunks[0]).ids
+
 
 _encoders: dict[int, ChunkEncoder] = {}
 
