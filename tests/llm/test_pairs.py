@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from twinlake.llm import cotraining, shingles
+from twinlake.llm.batches import segments as batches_segments
 from twinlake.llm.cotraining import _collect, features, quality_scores, train
 from twinlake.llm.minhash_dedup import _open_links, near_duplicates
 from twinlake.llm.shingles import prob_min_hash, probability_jaccard, weighted_shingles
@@ -189,6 +191,20 @@ def test_cotraining_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_long_texts_are_hashed_by_segments(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(400)).encode(), b"x" * 5000 + b" y!\n" + b"z" * 9000, b"", b" \n"]
+    whole = weighted_shingles(texts), features(texts, [("s",)] * 4)
+    cut = lambda t, most=0: batches_segments(t, 700)
+    monkeypatch.setattr(shingles, "segments", cut)
+    monkeypatch.setattr(shingles, "TOGETHER", 700)
+    monkeypatch.setattr(cotraining, "segments", cut)
+    parts = weighted_shingles(texts), features(texts, [("s",)] * 4)
+    assert all((a == b).all() for a, b in zip(whole[0], parts[0], strict=True))
+    assert np.allclose(whole[1][2], parts[1][2]) and sorted(zip(*whole[1][:2])) == sorted(zip(*parts[1][:2]))
+    assert b"".join(batches_segments(texts[0], 700)) == texts[0] and max(map(len, batches_segments(texts[0], 700))) < 720
+
+
 def test_metadata_values_are_told_apart_whole():
     rows = [("news.example.com", "en"), ("blog.example.com", "en"), ("a-host.example", "news.example.com")]
     hashed = features([b"x"] * 3, rows)[3]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_SPACE = re.compile(rb"[\t\n\x0b\x0c\r ]")
 #: Bytes of the measured columns in a piece, but for a single row that is longer.
 TOGETHER = 1 << 20
 
@@ -30,6 +32,18 @@ def pieces(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Reco
     release()
 
 
+def segments(text: bytes, most: int = TOGETHER) -> list[bytes]:
+    """text in segments of about `most` bytes, cut behind ASCII white space; a longer stretch without any is one segment."""
+    out, at = [], 0
+    while len(text) - at > most:
+        found = _SPACE.search(text, at + most - 1)
+        if found is None:
+            break
+        out.append(text[at : found.end()])
+        at = found.end()
+    return [*out, text[at:]] if at < len(text) or not out else out
+
+
 def release() -> None:
     """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from twinlake.llm.batches import pieces
+from twinlake.llm.batches import pieces, segments
 from twinlake.llm.suffix_blocks import mix
 from twinlake.session import free_names, ship_package, written
 
@@ -26,6 +26,8 @@ BINS = 16
 PENALTY = {"text": 1e-3, "meta": 1e-4}
 #: A view is sure of a document at this probability of its class.
 SURE = 0.9
+#: Bytes of text whose tokens are found together; its arrays fit a processor's cache.
+PART = 1 << 18
 #: (row, feature) pairs that a step of a regression works on together, so that the driver makes no large arrays.
 PIECE = 1 << 18
 
@@ -37,17 +39,14 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(texts: list[bytes], meta: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(text index of each token, token hashes, numbers of each text, metadata features of each row).
+def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index of each token, token hashes, counts of each text).
 
-    Tokens are runs of letters and digits, lower case, and runs of other signs.
-    Numbers: length, shares of capitals, digits, signs and white space, mean token
-    length, share of distinct tokens, lines, share of tokens of signs.
+    Counts: bytes, capitals, digits, signs, white space, line ends, tokens, bytes of tokens, tokens of signs.
     """
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     sizes = np.array([len(t) + 1 for t in texts])
     ends = np.cumsum(sizes)
-    begin_of = ends - sizes
     kind = _KIND[raw]
     edge = np.r_[True, kind[1:] != kind[:-1]]
     first = np.flatnonzero(edge & (kind > 0))
@@ -56,37 +55,46 @@ def features(texts: list[bytes], meta: list[tuple]) -> tuple[np.ndarray, np.ndar
     with np.errstate(over="ignore"):
         if len(first):
             length = last - first
-            inside = kind > 0
-            letters = _LOWER[raw[inside]].astype(np.uint64) + np.uint64(1)
+            letters = _LOWER[raw[kind > 0]].astype(np.uint64) + np.uint64(1)
             begin = np.cumsum(length) - length
             power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(length.max()), _BASE)])
             h = mix(np.add.reduceat(letters * power[np.arange(len(letters)) - np.repeat(begin, length)], begin))
         else:
             length, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     owner = np.searchsorted(ends, first, side="right")
+    # of each text, how many of its bytes are of each class; the end that was put to it does not count
+    classes = (raw >= 65) & (raw <= 90), (raw >= 48) & (raw <= 57), kind == 2, kind == 0, raw == 10
+    of_bytes = [np.add.reduceat(c.view(np.uint8), ends - sizes, dtype=np.int64) - k for c, k in zip(classes, (0, 0, 0, 1, 1))]
+    of_tokens = [np.bincount(owner, w, minlength=n) for w in (None, length, kind[first] == 2)]
+    return owner, h, np.stack([sizes - 1, *of_bytes, *of_tokens], axis=1).astype(np.float64)
+
+
+def features(texts: list[bytes], meta: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(text index of each token, token hashes, numbers of each text, metadata features of each row).
+
+    Tokens are runs of letters and digits, lower case, and runs of other signs.
+    Numbers: length, shares of capitals, digits, signs and white space, mean token
+    length, share of distinct tokens, lines, share of tokens of signs. Long texts
+    are counted by segments.
+    """
+    parts = [(k, s) for k, t in enumerate(texts) for s in segments(t, PART)]
+    found, low, size = [], 0, 0
+    for k, (_, s) in enumerate(parts):
+        size += len(s)
+        if size > PART or k == len(parts) - 1:
+            owner, h, counts = _counts([s for _, s in parts[low : k + 1]])
+            text = np.array([i for i, _ in parts[low : k + 1]])
+            found.append((text[owner], h, text, counts))
+            low, size = k + 1, 0
+    owner, h, text, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    counts = np.stack([np.bincount(text, c, minlength=len(texts)) for c in counts.T])
+    length, capitals, digits, signs, white, lines, many, token_bytes, sign_tokens = counts
     short = np.uint64(20)  # enough to count the distinct tokens of one text
     distinct = np.unique(owner.astype(np.uint64) << short | h >> np.uint64(44))
-    distinct = np.bincount((distinct >> short).astype(np.int64), minlength=n)
-
-    def share(mask: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(mask.astype(np.int64), begin_of) / np.maximum(1, sizes - 1)
-
-    many = np.bincount(owner, minlength=n)
-    signs = np.bincount(owner, kind[first] == 2, minlength=n)
-    numbers = np.stack(
-        [
-            np.log1p(sizes - 1),
-            share((raw >= 65) & (raw <= 90)),
-            share((raw >= 48) & (raw <= 57)),
-            share(kind == 2),
-            share(kind == 0),
-            np.bincount(owner, length, minlength=n) / np.maximum(1, many),
-            distinct / np.maximum(1, many),
-            np.log1p(np.add.reduceat((raw == 10).astype(np.int64), begin_of)),
-            signs / np.maximum(1, many),
-        ],
-        axis=1,
-    )
+    distinct = np.bincount((distinct >> short).astype(np.int64), minlength=len(texts))
+    share = [x / np.maximum(1, length) for x in (capitals, digits, signs, white + 1)]
+    per_token = [x / np.maximum(1, many) for x in (token_bytes, distinct, sign_tokens)]
+    numbers = np.stack([np.log1p(length), *share, *per_token[:2], np.log1p(lines + 1), per_token[2]], axis=1)
     hashed = []
     for row in meta:
         keys = [f"{k}={v}".encode() for k, v in enumerate(row)]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from twinlake.llm.batches import TOGETHER, segments
 from twinlake.llm.suffix_blocks import mix
 
 _SPACE = np.zeros(256, bool)
@@ -14,36 +15,60 @@ _BASE, _GOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _long_word(raw: bytes) -> np.uint64:
+    """What word_hashes sums for one word, a piece at a time."""
+    total = np.uint64(0)
+    for at in range(0, len(raw), TOGETHER):
+        piece = np.frombuffer(raw, np.uint8)[at : at + TOGETHER].astype(np.uint64) + np.uint64(1)
+        power = np.multiply.accumulate(np.r_[np.uint64(pow(int(_BASE), at, 1 << 64)), np.full(len(piece) - 1, _BASE)])
+        total += (piece * power).sum(dtype=np.uint64)
+    return total
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word between ASCII white space, in order; so much memory for any length."""
+    out = [np.zeros(0, np.uint64)]
+    with np.errstate(over="ignore"):
+        for part in segments(text):
+            if len(part) > 2 * TOGETHER:  # hardly any white space
+                words = part.split()
+                h = np.array([_long_word(w) for w in words], np.uint64)
+                size = np.array([len(w) for w in words], np.uint64)
+            else:
+                raw = np.frombuffer(part + b"\n", np.uint8)
+                space = _SPACE[raw]
+                first = np.flatnonzero(~space & np.r_[True, space[:-1]])
+                if not len(first):
+                    continue
+                size = np.flatnonzero(space & np.r_[False, ~space[:-1]]) - first
+                begin = np.cumsum(size) - size
+                place = np.arange(int(size.sum())) - np.repeat(begin, size)
+                power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(size.max()), _BASE)])
+                h = np.add.reduceat((raw[~space].astype(np.uint64) + np.uint64(1)) * power[place], begin)
+            out.append(mix(h + size.astype(np.uint64)))
+    return np.concatenate(out)
+
+
 def weighted_shingles(texts: Sequence[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, shingle, occurrences), by text and shingle.
 
     Words lie between ASCII white space. A text with fewer words than a shingle
     takes has one shingle of all of them, a text without words has none.
     """
-    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    ends_of_text = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[raw]
-    first = np.flatnonzero(~space & np.r_[True, space[:-1]])
-    if not len(first):
+    # short texts are hashed together, the ends of each being told by its count of words
+    joined = word_hashes(b"\n".join(texts))
+    count = np.array([len(t.split()) for t in texts], np.int64)
+    if not len(joined):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    last = np.flatnonzero(space & np.r_[False, ~space[:-1]])
-    size = last - first
-    letters = raw[~space]
-    begin = np.cumsum(size) - size
-    place = np.arange(len(letters)) - np.repeat(begin, size)
     with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(size.max()), _BASE)])
-        h = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * power[place], begin)
-        h = mix(h + size.astype(np.uint64))
-        owner = np.searchsorted(ends_of_text, first, side="right")
-        count = np.bincount(owner, minlength=len(texts))
+        owner = np.repeat(np.arange(len(texts)), count)
         held = np.minimum(count, words)  # words of a shingle of this text
-        at = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+        at = np.arange(len(joined)) - np.repeat(np.cumsum(count) - count, count)
         heads = np.flatnonzero(at <= (count - held)[owner])
         gram = held[owner[heads]].astype(np.uint64) * _GOLD
         for k in range(words):
             inside = k < held[owner[heads]]
-            nxt = np.where(inside, h[np.minimum(heads + k, len(h) - 1)], np.uint64(0))
+            nxt = np.where(inside, joined[np.minimum(heads + k, len(joined) - 1)], np.uint64(0))
             gram = mix(gram * _BASE + nxt)
     doc = owner[heads]
     order = np.lexsort((gram, doc))
