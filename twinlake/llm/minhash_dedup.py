@@ -218,7 +218,7 @@ def near_duplicates(
     n = signed.count()
     # partial aggregation: a text leaves a map task once, however many rows hold it
     least = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "sig")).alias("r"))
-    reps = written(least.select("digest", F.col("r.doc_id").alias("rep"), "r.size", "r.sig"), "minhash-classes", rows=n)
+    reps = written(least.select("digest", F.col("r.doc_id").alias("rep"), "r.size", "r.sig"), "minhash-classes", rows=n, per=8192)
     of_doc = signed.select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
     of_doc = written(of_doc, "minhash-nodes", rows=n)
     keys = F.transform(

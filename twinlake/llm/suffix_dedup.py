@@ -258,7 +258,7 @@ def remove_repeats(
 
     cols = [c for c in documents.columns if c not in ("removed_spans", "kept")]
     doc, hit, cut_, whole = free_names(documents.columns, "doc", "hit", "cut", "raw")
-    found = written(found.groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("low", "high")).alias(hit)), "suffix-hits", rows=docs.count())
+    found = written(found.groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("low", "high")).alias(hit)), "suffix-hits", rows=docs.count(), per=2048)
     kind = pa.struct([("removed_spans", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))), ("kept", pa.string() if as_text else pa.binary())])
 
     @F.arrow_udf(f"removed_spans array<struct<low: int, high: int>>, kept {'string' if as_text else 'binary'}")
