@@ -67,10 +67,16 @@ class Vocabulary:
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.pieces = regex.compile(PATTERN)
         self.by_rank = _by_rank(said)
-        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={}) if self.by_rank else None
+        own = {"mergeable_ranks": self.ids, "special_tokens": {}}
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, **own) if self.by_rank else None
+        self.uncut = tiktoken.Encoding("uncut", pat_str="(?s).+", **own) if self.by_rank else None
 
     def piece(self, raw: bytes) -> list[int]:
         """BPE of one short string as it is, not cut into words."""
+        try:
+            return self.uncut.encode_ordinary(raw.decode())
+        except UnicodeDecodeError:  # a part of a character
+            pass
         parts, none = [raw[k : k + 1] for k in range(len(raw))], len(self.ids) + len(self.special)
         while len(parts) > 1:
             rank, at = min((self.ids.get(a + b, none), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))

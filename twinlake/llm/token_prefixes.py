@@ -36,14 +36,18 @@ class Table:
         with np.errstate(over="ignore"):
             return (((keys ^ (keys >> np.uint64(31))) * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def put(self, key: int, value: int) -> None:
-        if 2 * self.used > 1 << self.bits:
-            self.__init__(self.bits)
-        at = int(self._slots(np.array([key], np.uint64))[0])
-        while self.values[at] >= 0 and self.keys[at] != key:
-            at = (at + 1) % (1 << self.bits)
-        self.used += self.values[at] < 0
-        self.keys[at], self.values[at] = key, value
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds different keys that are absent; a full table starts anew."""
+        if 2 * (self.used + len(keys)) > 1 << self.bits:
+            self.__init__(max(self.bits, (4 * len(keys)).bit_length()))
+        self.used += len(keys)
+        at, todo = self._slots(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.values[at[todo]] < 0]
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[won]], self.values[at[won]] = keys[won], values[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            at[todo] = (at[todo] + 1) % (1 << self.bits)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values, -1 for keys that are absent."""
@@ -79,12 +83,13 @@ class PrefixCounts:
         with np.errstate(over="ignore"):
             self.letter = (np.arange(1, 257, dtype=np.uint64) * _SPREAD) ^ _B
             self.power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(SHORT, _B)])
-            for raw, i in vocab.ids.items():
-                if len(raw) <= SHORT:
-                    h = np.uint64(0)
-                    for x in raw:
-                        h = h * _B + self.letter[x]
-                    self.tokens.put(int(h), i)
+            short = [(raw, i) for raw, i in vocab.ids.items() if len(raw) <= SHORT]
+            sizes = np.array([len(raw) for raw, _ in short])
+            text = np.frombuffer(b"".join(raw.ljust(SHORT, b"\0") for raw, _ in short), np.uint8).reshape(-1, SHORT)
+            h = np.zeros(len(short), np.uint64)
+            for k in range(SHORT):
+                h = np.where(k < sizes, h * _B + self.letter[text[:, k]], h)
+            self.tokens.put(h, np.array([i for _, i in short], np.int32))
 
     def _forget(self) -> None:
         """Word -> its row in: tokens, characters, and where its counts begin."""
@@ -96,15 +101,15 @@ class PrefixCounts:
         """Whether BPE leaves the tokens of key as they are, side by side."""
         a, b = (key >> 32) - 1, key & 0xFFFFFFFF
         left = self.vocab.bytes[a] if a >= 0 else b""
-        got = self.vocab.piece(left + self.vocab.bytes[b]) == ([a, b] if a >= 0 else [b])
-        self.apart.put(key, int(got))
-        return got
+        return self.vocab.piece(left + self.vocab.bytes[b]) == ([a, b] if a >= 0 else [b])
 
     def _stay_apart(self, keys: np.ndarray) -> np.ndarray:
         known = self.apart.get(keys)
         if (new := known < 0).any():
             some, back = np.unique(keys[new], return_inverse=True)
-            known[new] = np.array([self._test(int(k)) for k in some])[back]
+            found = np.array([self._test(int(k)) for k in some], np.int32)
+            self.apart.put(some, found)
+            known[new] = found[back]
         return known > 0
 
     def _short(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
