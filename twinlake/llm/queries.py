@@ -1,6 +1,7 @@
 """The registered queries of the llm operators, and their SQL."""
 
 from twinlake.llm.chunk_bpe import op9_bpe_chunk_reuse
+from twinlake.llm.conversation_repair import op12_conversation_repair
 from twinlake.llm.cotraining import op10_cotraining
 from twinlake.llm.host_quality import OP6_SQL, op6_host_quality
 from twinlake.llm.minhash_dedup import op8_prob_minhash
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_prob_minhash": op8_prob_minhash,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
     "op10_cotraining": op10_cotraining,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLES: dict[str, str] = {"op3_vector_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mix": OP5_SQL, "op6_host_quality": OP6_SQL}
