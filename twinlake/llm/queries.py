@@ -11,6 +11,7 @@ from twinlake.llm.token_files import op7_token_files
 from twinlake.llm.token_prefixes import op2_token_counts
 from twinlake.llm.vector_dedup import OP3_SQL, op3_vector_dedup
 from twinlake.llm.warc import OP4_SQL, op4_warc
+from twinlake.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
     "op10_cotraining": op10_cotraining,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {"op3_vector_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mix": OP5_SQL, "op6_host_quality": OP6_SQL}
