@@ -4,6 +4,7 @@ from twinlake.llm.chunk_bpe import op9_bpe_chunk_reuse
 from twinlake.llm.conversation_repair import op12_conversation_repair
 from twinlake.llm.cotraining import op10_cotraining
 from twinlake.llm.host_quality import OP6_SQL, op6_host_quality
+from twinlake.llm.html_extract import op11_html_extract
 from twinlake.llm.minhash_dedup import op8_prob_minhash
 from twinlake.llm.source_mix import OP5_SQL, op5_source_mix
 from twinlake.llm.suffix_dedup import op1_suffix_array_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_prob_minhash": op8_prob_minhash,
     "op9_bpe_chunk_reuse": op9_bpe_chunk_reuse,
     "op10_cotraining": op10_cotraining,
+    "op11_html_extract": op11_html_extract,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_whitening": op13_whitening,
 }
