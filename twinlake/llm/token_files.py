@@ -84,10 +84,11 @@ def read_documents(uri: str, name: str) -> Iterator[tuple[list[int | None], np.n
         blocks = pa.ipc.open_stream(f.read(n_blocks)).read_all()
         docs = pa.ipc.open_stream(f.read(n_docs)).read_all()
         keys, sizes = docs["doc_id"].to_pylist(), docs["ids"].to_numpy()
-        ends = [*blocks["offset"].to_pylist()[1:], at]
+        starts = blocks["offset"].to_pylist()
+        ends = [*starts, at][1:]  # none in the file of an empty range
         upto = np.cumsum(sizes)
         held, size, done, before = [], 0, 0, 0
-        for a, b in zip(blocks["offset"].to_pylist(), ends, strict=True):
+        for a, b in zip(starts, ends, strict=True):
             f.seek(a)
             held.append(_unblock(f.read(b - a)))
             size += len(held[-1])
