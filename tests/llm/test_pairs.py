@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from twinlake.llm.minhash_dedup import _open_links, near_duplicates
 from twinlake.llm.shingles import prob_min_hash, probability_jaccard, weighted_shingles
 from twinlake.llm.vector_dedup import near_vectors
 from twinlake.llm.warc import archive, parse, read_warc, record, records, write_warc
+from twinlake.session import shared_dir
 
 
 def _bag(t, n=5):
@@ -343,3 +345,18 @@ def test_pipeline_of_nothing(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_few_long_texts_are_signed_in_as_many_tasks_as_they_have_files(spark, tmp_path):
+    """Tasks follow the width of the table, not the number of its rows: 160 texts of 230 KB in 16 files."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(str(x) for x in rng.integers(0, 10**6, 33_000))) for k in range(160)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(16).write.parquet(f"{tmp_path}/d")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")
+    try:
+        out = near_duplicates(spark.read.parquet(f"{tmp_path}/d"))
+        assert out.where("kept").count() == 160
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    signed = max(Path(shared_dir(spark).removeprefix("file:")).rglob("minhash-signatures-*"), key=lambda p: p.stat().st_mtime)
+    assert len(list(signed.glob("*.parquet"))) >= 16

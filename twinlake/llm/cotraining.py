@@ -303,7 +303,6 @@ def train(
     good = (F.min("quality") >= 1) & (F.max(F.coalesce("toxic", F.lit(0))) < 1)
     known = labels.where(F.col(doc_id).isNotNull() & F.col("quality").isNotNull()).groupBy(doc_id).agg(good.cast("double").alias("y"))
     known = written(known, "cotraining-known", rows=labels.count())
-    size = documents.count()
     present = documents.select(doc_id).distinct()
     sample = known.join(present, doc_id, "left_semi").orderBy(F.xxhash64(F.col(doc_id), F.lit("sample")), doc_id).limit(labelled)
     base = _collect(documents, sample, doc_id, text, meta)
@@ -351,7 +350,7 @@ def train(
     for k in range(rounds):
         # the corpus is scored once a round, without moving it
         scored = _score(documents.select(doc_id, text, *meta), views, text, meta, [doc_id])
-        scored = written(scored, "cotraining-scores", rows=size, per=4096)
+        scored = written(scored, "cotraining-scores")
         scored = scored.where(F.col(doc_id).isNotNull()).join(known, doc_id, "left_anti")
         chosen = {}
         for teacher, own, pupil in (("p_text", "p_meta", "meta"), ("p_meta", "p_text", "text")):

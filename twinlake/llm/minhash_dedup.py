@@ -213,8 +213,8 @@ def near_duplicates(
     raw = F.encode(F.col(text), "UTF-8")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), raw.alias("raw"))
     docs = docs.where("doc_id is not null and octet_length(raw) > 0").select("doc_id", F.unhex(F.md5("raw")).alias("digest"), "raw")
-    # a task signs some thousand texts at least, and verifies some thousand pairs
-    signed = written(signatures(docs, bands, rows, words), "minhash-signatures", rows=documents.count(), per=4096)
+    # as many tasks sign texts, fetch and verify them as the tables have partitions: the sizes of texts differ
+    signed = written(signatures(docs, bands, rows, words), "minhash-signatures")
     n = signed.count()
     # partial aggregation: a text leaves a map task once, however many rows hold it
     least = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "sig")).alias("r"))
@@ -237,14 +237,13 @@ def near_duplicates(
     held = written(held.withColumn("doc_id", F.col("rep")), "minhash-held", rows=n)
     # the plan for large tables at every size
     texts = docs.join(held.hint("merge"), ["doc_id", "digest"]).select("rep", "digest", "raw").dropDuplicates(["rep", "digest"])
-    texts = written(texts, "minhash-texts", rows=held.count(), per=4096)
-    n_pairs = pairs.count()
-    links = written(_verified(pairs, texts.select("rep", "raw"), words, threshold), "minhash-links", rows=n_pairs, per=4096)
+    texts = written(texts, "minhash-texts")
+    links = written(_verified(pairs, texts.select("rep", "raw"), words, threshold), "minhash-links")
     # the texts of one doc_id are one node
     own = of_doc.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     same = of_doc.join(written(own, "minhash-own", rows=n), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
     edges = links.union(same).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    parts = connected_components(edges, rows=n_pairs + n)
+    parts = connected_components(edges)
     parts = written(parts.withColumnsRenamed({"node": "rep", "component": "part"}), "minhash-parts", rows=n)
     # buckets in several parts, but for those of two, which are settled
     sided = placed.where("n > 2").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
@@ -265,10 +264,9 @@ def near_duplicates(
     members = query.select(*cols, "digest").union(base.select(*cols, "digest"))
     members = members.join(reps.select("rep", "digest", "sig"), ["rep", "digest"]).join(texts, ["rep", "digest"])
     if not state.isEmpty():
-        loose = state.agg(F.sum("all")).first()[0]
         more = _open_links(members.select(*cols, "sig", "raw"), bands, rows, words, threshold)
-        more = written(more, "minhash-more", rows=loose, per=4096)
-        wider = connected_components(more.select(F.col("a").alias("src"), F.col("b").alias("dst")), rows=more.count())
+        more = written(more, "minhash-more")
+        wider = connected_components(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         parts = of_doc.select("rep").distinct().join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
         parts = parts.join(wider.withColumnsRenamed({"node": "part", "component": "whole"}), "part", "left")
         parts = written(parts.select("rep", F.coalesce("whole", "part").alias("part")), "minhash-wider", rows=n)

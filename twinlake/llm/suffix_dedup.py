@@ -158,12 +158,12 @@ def _repeats(contexts: DataFrame, span: int, block_bytes: int, bucket_contexts:
     if sizes.where(F.col("n") > bucket_contexts).isEmpty():
         return out
     halves = _halved(held.where(F.col("n") > bucket_contexts), span)
-    halves = written(halves, "suffix-halves", rows=sizes.where(F.col("n") > bucket_contexts).agg(F.sum("n")).first()[0], per=4096)
+    halves = written(halves, "suffix-halves")
     rest = [F.any_value(c).alias(c) for c in ("bucket", "anchor", "lo", "hi", "bytes")]
-    each = written(halves.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"), *rest), "suffix-halved", rows=halves.count())
+    each = written(halves.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"), *rest), "suffix-halved")
     inner = _repeats(each.drop("n"), span, block_bytes, bucket_contexts)
     whole = each.where("n > 1").select("ctx", F.lit(0).alias("low"), (F.octet_length("bytes") - span).alias("high"))
-    found = written(inner.union(whole), "suffix-found", rows=each.count(), per=4096)
+    found = written(inner.union(whole), "suffix-found")
     back = halves.select("parent", "shift", "ctx").join(found, "ctx")
     return out.union(back.select("parent", F.col("low") + F.col("shift"), F.col("high") + F.col("shift")))
 
@@ -185,7 +185,7 @@ def repeated_intervals(
     often = _buckets(docs, span, gram).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     some = 32 * docs.count()  # a text has some tens of runs
     often = written(often, "suffix-often", rows=some)
-    runs = written(_runs(docs, span, gram).join(often, "bucket", "left_semi"), "suffix-runs", rows=some)
+    runs = written(_runs(docs, span, gram).join(often, "bucket", "left_semi"), "suffix-runs")
     each = runs.groupBy("ctx").agg(
         F.count(F.lit(1)).alias("n"), F.min("bucket").alias("bucket"), F.min(F.struct("doc", "anchor", "first", "last")).alias("rep")
     )
@@ -194,7 +194,7 @@ def repeated_intervals(
     mixed = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("bucket")
     mixed = written(mixed, "suffix-mixed", rows=n)
     wanted = each.join(mixed, "bucket").select("ctx", "bucket", "rep.*")
-    texts = written(_contexts(docs, wanted, span, gram), "suffix-texts", rows=n)
+    texts = written(_contexts(docs, wanted, span, gram), "suffix-texts")
     found = _repeats(texts, span, block_bytes, bucket_contexts).groupBy("ctx").agg(
         F.collect_set(F.struct("low", "high")).alias("parts")  # at most gram + 1 starts, so a few hundred intervals
     )
@@ -252,13 +252,13 @@ def remove_repeats(
     docs = documents.where(long).select(F.unhex(F.md5(raw)).alias("doc"), raw.alias("raw"))
     # partial aggregation: a text leaves a map task once
     docs = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.any_value("raw").alias("raw"))
-    docs = written(docs, "suffix-docs", rows=documents.count(), per=2048)
+    docs = written(docs, "suffix-docs")
     copied = docs.where("n > 1").select("doc", F.lit(0).alias("low"), F.octet_length("raw").alias("high"))
     found = repeated_intervals(docs.select("doc", "raw"), span, **options).union(copied)
 
     cols = [c for c in documents.columns if c not in ("removed_spans", "kept")]
     doc, hit, cut_, whole = free_names(documents.columns, "doc", "hit", "cut", "raw")
-    found = written(found.groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("low", "high")).alias(hit)), "suffix-hits", rows=docs.count(), per=2048)
+    found = written(found.groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("low", "high")).alias(hit)), "suffix-hits")
     kind = pa.struct([("removed_spans", pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))), ("kept", pa.string() if as_text else pa.binary())])
 
     @F.arrow_udf(f"removed_spans array<struct<low: int, high: int>>, kept {'string' if as_text else 'binary'}")
