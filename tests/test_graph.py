@@ -4,7 +4,11 @@ import random
 
 import pytest
 
-from twinlake.operators.graph import connected_components, star_clusters
+from pyspark.sql import functions as F
+
+from twinlake.operators import graph
+from twinlake.operators.graph import connected_components, hub_limit, star_clusters, with_least
+from twinlake.session import written
 
 
 def _components(edges):
@@ -80,3 +84,51 @@ def test_stars_alike_in_tasks_and_in_rounds(spark, cap):
         anchors.setdefault(c, []).append(n)
         assert n == c or frozenset((c, n)) in near
     assert all(2 <= len(x) <= cap for x in anchors.values())
+
+
+def test_stars_of_random_graphs_in_ranges(spark):
+    """Many components too large for a task of three edges: rounds, ranges and pieces give the sequential result."""
+    for seed, n, m in ((8, 90, 110),):
+        edges = _random_edges(seed, n, m)
+        df = spark.createDataFrame(edges, "src long, dst long, confidence double").repartition(3)
+        got = {(r.cluster, r.node, r.position) for r in star_clusters(df, 4, 12).collect()}
+        assert got == _stars(edges, 4)
+
+
+def test_stars_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """10,000 nodes in ascending order: one anchor waits for the other, but ranges go on by themselves."""
+    rounds = []
+    real = graph._everywhere
+    monkeypatch.setattr(graph, "_everywhere", lambda *a: rounds.append(1) or real(*a))
+    n = 10_000
+    df = spark.range(n).selectExpr("id as src", "id + 1 as dst", "0.5D as confidence")
+    got = {(r.cluster, r.node, r.position) for r in star_clusters(df, 60, 2000).collect()}
+    # the inner nodes have two neighbours; of these the least comes first, and so on: 1 takes 0 and 2, 4 takes 3 and 5
+    want = set()
+    for k in range(1, n, 3):
+        want |= {(k, k, 0), (k, k - 1, 1), (k, k + 1, 2)}
+    if n % 3 == 1:
+        want |= {(n - 1, n - 1, 0), (n - 1, n, 1)}
+    assert len(rounds) < 10
+    assert got == want
+
+
+def test_a_star_of_a_million_edges_stays_spread(spark):
+    """The edges of a hub are joined where they lie, in the final plan too."""
+    n = 1_000_000
+    links = written(spark.range(n, numPartitions=8).selectExpr("id + 1 as a", "0L as b"), "test-star")
+    both = links.union(links.select(F.col("b"), F.col("a")))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "test-least")
+    hung = with_least(both.where("b > a"), least, hub_limit(2 * n, 8))
+    rows = [r["count"] for r in hung.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == n and max(rows) <= 2 * n / 8
+    plan = hung._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
+    assert least.where(F.col("n") > hub_limit(2 * n, 8)).count() == 1
+
+
+def test_components_of_hubs_and_chains(spark):
+    edges = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(30)] + [(2999, 5000)] + [(9000, 9000 + k) for k in range(2000)]
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    got = {r.node: r.component for r in connected_components(df).collect()}
+    assert got == _components(edges)
