@@ -2,128 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from twinlake import config as C
 from twinlake.functions.assets import aspect_ratio, degenerate, overlap
-from twinlake.functions.signatures import rotation
-from twinlake.session import partitions, ship_package
-
-#: Vectors of a block; two blocks meet in one task.
-BLOCK = 4096
-
+from twinlake.operators.reach import block_scores
 
 def indexable(library: DataFrame) -> DataFrame:
     """Stills with a shape, neither black nor white."""
     return library.where((F.size("keyframes") == 0) & (F.col("shape_norm") > 0) & ~degenerate(F.col("mean_luma")))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[np.ndarray]]]:
-    """((i, j), [side, asset_id, norm, shape matrix]) of each run of rows of one pair of blocks; no value becomes a Python object."""
-    key, parts = None, []
-    for b in batches:
-        i, j = b.column("i").to_numpy(), b.column("j").to_numpy()
-        shapes = b.column("shape").flatten().to_numpy().reshape(b.num_rows, -1)
-        rows = [b.column("query").to_numpy(zero_copy_only=False), b.column("asset_id").to_numpy(), b.column("shape_norm").to_numpy(), shapes]
-        heads = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])]).tolist() if b.num_rows else []
-        for low, high in zip(heads, [*heads[1:], b.num_rows], strict=True):
-            here = (int(i[low]), int(j[low]))
-            if parts and here != key:
-                yield key, [np.concatenate(c) for c in zip(*parts, strict=True)]
-                parts = []
-            key = here
-            parts.append([r[low:high] for r in rows])
-    if parts:
-        yield key, [np.concatenate(c) for c in zip(*parts, strict=True)]
-
-
-def _best(query: np.ndarray, point: np.ndarray, score: np.ndarray, limit: int | None) -> np.ndarray:
-    """Places of the limit best points of each query, ties by point; all without a limit."""
-    if limit is None:
-        return np.arange(len(query))
-    order = np.lexsort((point, -score, query))
-    q = query[order]
-    head = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
-    rank = np.arange(len(q)) - np.repeat(head, np.diff(np.r_[head, len(q)]))
-    return order[rank < limit]
-
-
-def block_scores(
-    queries: DataFrame, points: DataFrame | None, floor: float, turns: int = 4, limit: int | None = None
-) -> DataFrame:
-    """(query, point, turn, score) with cosine of the turned query and the point >= floor.
-
-    queries, points: (asset_id, shape, shape_norm); points None: the queries
-    themselves. Both sides are cut into blocks; each pair of blocks is one
-    product of matrices in one task, in single precision, and what reaches the
-    floor but for its error is then scored exactly. Among themselves, two blocks
-    meet once: turn r of one against the other is turn -r of the other against
-    it. limit: of each query, turn and block only so many best leave the task.
-    """
-    ship_package(queries.sparkSession)
-    own = points is None
-    nq, npt = queries.count(), (0 if own else points.count())
-    bq = max(1, -(-nq // BLOCK))
-    bp = bq if own else max(1, -(-npt // BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("asset_id"), F.lit(n)).cast("int")
-    cols = ("asset_id", "shape", "shape_norm")
-    across = lambda n, low=F.lit(0): F.explode(F.sequence(low, F.lit(n - 1)))
-    if own:
-        q = queries.select(*cols, block(bq).alias("i")).select(*cols, "i", across(bq, F.col("i")).alias("j"), F.lit(True).alias("query"))
-        p = queries.select(*cols, block(bq).alias("j"))
-        p = p.select(*cols, F.explode(F.sequence(F.lit(0), F.col("j"))).alias("i"), "j", F.lit(False).alias("query"))
-    else:
-        q = queries.select(*cols, block(bq).alias("i"), across(bp).alias("j"), F.lit(True).alias("query"))
-        p = points.select(*cols, across(bq).alias("i"), block(bp).alias("j"), F.lit(False).alias("query"))
-
-    def solve(key: tuple[int, int], side: np.ndarray, ids: np.ndarray, norms: np.ndarray, shapes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = np.flatnonzero(side), np.flatnonzero(~side)
-        if not len(a) or not len(b):
-            return
-        length = np.sqrt(norms.astype(np.float64))
-        unit = (shapes / length[:, None]).astype(np.float32)
-        for turn in range(turns):
-            place, sign = rotation(turn)
-            other = unit[b].T
-            for low in range(0, len(a), 512):
-                k = a[low : low + 512]
-                m, n = np.nonzero((unit[k][:, place] * sign.astype(np.float32)) @ other >= floor - 1e-4)
-                m, n = k[m], b[n]
-                exact = np.empty(len(m))
-                for at in range(0, len(m), 1 << 14):
-                    s = slice(at, at + (1 << 14))
-                    # integers below 2 ** 53: the products are exact
-                    turned = shapes[m[s]][:, place].astype(np.float64) * sign
-                    exact[s] = np.einsum("ij,ij->i", turned, shapes[n[s]].astype(np.float64))
-                exact /= np.sqrt(norms[m].astype(np.float64) * norms[n].astype(np.float64))
-                fine = exact >= floor
-                m, n, exact = m[fine], n[fine], exact[fine]
-                ways = [(m, n, turn)] + [(n, m, -turn % turns)] * (own and key[0] != key[1])
-                for x, y, t in ways:
-                    best = _best(ids[x], ids[y], exact, limit)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[x][best]), pa.array(ids[y][best]), pa.array(np.full(len(best), t, np.int32)), pa.array(exact[best])],
-                        names=["query", "point", "turn", "score"],
-                    )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _runs(batches):
-            yield from solve(key, *rows)
-
-    dealt = q.unionByName(p).repartition(max(partitions(queries.sparkSession), bq), "i", "j").sortWithinPartitions("i", "j")
-    return dealt.mapInArrow(work, "query long, point long, turn int, score double")
-
-
 def nearest(queries: DataFrame, points: DataFrame, limit: int = C.NEIGHBOUR_LIMIT, floor: float = C.NEIGHBOUR_FLOOR) -> DataFrame:
     """(query, point, score): for each turn the limit + 1 best points, itself then left out, the best turn of each.
 
-    Equal scores go by id. With the same DataFrame on both sides every pair is scored once.
+    Equal scores go by id. With the same DataFrame on both sides every pair is
+    scored once. Exact: pairs are left out only where the angles to pivots rule
+    them out (operators/reach.py).
     """
     scores = block_scores(queries, None if queries is points else points, floor, limit=limit + 1)
+    return best_turns(scores, limit)
+
+
+def best_turns(scores: DataFrame, limit: int = C.NEIGHBOUR_LIMIT) -> DataFrame:
+    """(query, point, score) from scores of turns: for each turn the limit + 1 best, the query left out, the best turn of each."""
     ranked = Window.partitionBy("query", "turn").orderBy(F.desc("score"), "point")
     top = scores.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit + 1)
     return top.where("query <> point").groupBy("query", "point").agg(F.max("score").alias("score"))
