@@ -13,7 +13,7 @@ from twinlake.functions.signatures import rotation
 from twinlake.session import partitions, ship_package, written
 
 #: Vectors a pivot should have, pivots at most, and vectors from which they are chosen, for each pivot.
-CELL, PIVOTS, DRAWN = 64, 2048, 4
+CELL, PIVOTS, DRAWN = 32, 2048, 8
 #: Width of a shell in radians.
 SHELL = 0.14
 #: Vectors of a block and of a tile; queries that meet a tile in one task.

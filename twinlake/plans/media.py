@@ -8,11 +8,13 @@ from twinlake import config as C
 from twinlake.functions import assets as A, export, signatures as S
 from twinlake.operators import candidates as cand, incremental, review, scoring, vectors, verify
 from twinlake.operators.graph import connected_components, star_clusters
+from twinlake.operators.neighbour_index import NeighbourIndex
 from twinlake.plans import fixture, pipeline
 from twinlake.plans.fixture_sql import query
 from twinlake.schema import FINGERPRINTS, PRINT_SIZES
 from twinlake.session import new_path, written
 from twinlake.sources import catalog
+from twinlake.sources.parts import Buckets
 from twinlake.sources.store import Store
 
 QUERIES: dict = {}
@@ -622,6 +624,28 @@ def store_scan(spark, d):
     return store.load().select("asset_id", "dhash", "histogram")
 
 
+@_register("bucket_upsert", query("SELECT asset_id, dhash, mean_luma FROM lib WHERE asset_id % 50 <> 0 AND asset_id % 7 <> 3 UNION ALL SELECT asset_id, 1, mean_luma FROM lib WHERE asset_id % 50 = 0 AND asset_id % 7 <> 3", "lib"))
+def bucket_upsert(spark, d):
+    """A table in buckets after an upsert of every fiftieth asset and a deletion of every seventh."""
+    lib = _library(spark, d).select("asset_id", "dhash", "mean_luma")
+    store = Buckets(spark, new_path(spark, "buckets"), lib.schema)
+    store.save(lib)
+    store.save(lib.where("asset_id % 50 = 0").withColumn("dhash", F.lit(1).cast("long")))
+    store.drop(lib.where("asset_id % 7 = 3"))
+    return store.load()
+
+
+@_register("index_search", query("SELECT query, point, round(score, 6) AS score FROM lists WHERE query % 40 = 0", "lists"))
+def index_search(spark, d):
+    """Neighbours of a fortieth of the points in a stored index, which was built of others and brought up to date."""
+    points = vectors.indexable(_library(spark, d)).select("asset_id", "shape", "shape_norm")
+    index = NeighbourIndex(spark, new_path(spark, "index"))
+    turned = points.withColumn("shape", F.reverse("shape"))
+    index.build(points.where("asset_id % 3 <> 0").unionByName(turned.where("asset_id % 3 = 0")))
+    index.update(points.where("asset_id % 3 = 0"))
+    return index.nearest(points.where("asset_id % 40 = 0")).select("query", "point", _r("score"))
+
+
 @_register("prune_stale", query("SELECT asset_id FROM cached WHERE asset_id % 7 <> 0", "cached", extra=_CACHE))
 def prune_stale(spark, d):
     live = _stamped(spark, d).where("asset_id % 7 <> 0")
