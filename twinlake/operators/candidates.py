@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twinlake import config as C
@@ -9,6 +11,8 @@ from twinlake.functions.assets import aspect_ratio, hamming, keyframe_distance,
 
 #: Assets of one band that meet one task's rows of the other side.
 BLOCK = 4096
+#: Parts of a hash: of so many, one is equal in two hashes that differ in fewer bits.
+PARTS = 11
 
 
 def clip_fingerprints(frames: DataFrame) -> DataFrame:
@@ -67,23 +71,75 @@ def aspect_close(tolerance: float) -> Column:
     return F.abs(a - b) / F.greatest(a, b) <= tolerance
 
 
+def gate_keys(thin: DataFrame, sensitivity: str) -> tuple[DataFrame, DataFrame, Column]:
+    """(left, right, condition): rows of stills under keys that every pair past the gates shares, and what is left to test.
+
+    thin: (asset_id, dhash, mean_luma, aspect). Keys are
+    - half ranges of the luma: the right row is in the range of the left one or
+      in one of the two above it, so a pair meets in one order only;
+    - ranges of the logarithm of the aspect, as wide as the tolerance, and the
+      ones beside;
+    - where at most PARTS - 1 bits may differ, the hash in PARTS parts: one of
+      them has to be equal, and the first that is counts. With more bits than
+      that, parts would be too short to tell anything, and the numbers of set
+      bits, which may differ as much, too.
+    No pair is lost; a row has a few copies, whatever the number of rows.
+    """
+    t = C.LEVELS[sensitivity]
+    half = F.floor(F.col("mean_luma") * (2 / (C.LUMA_TOLERANCE + 1e-4))).cast("int")
+    wide = F.floor(F.log("aspect") / (-math.log(1 - t.aspect_tolerance) + 1e-9)).cast("int")
+    parted = t.hash_reject < PARTS
+    at = [k * 64 // PARTS for k in range(PARTS + 1)]
+    piece = lambda h, k: F.shiftrightunsigned(h, at[k]).bitwiseAND((1 << at[k + 1] - at[k]) - 1).cast("int")
+    pieces = F.array(*(F.struct(F.lit(k).alias("part"), piece(F.col("dhash"), k).alias("bits")) for k in range(PARTS)))
+    whole = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("bits")))
+
+    def under(rows: DataFrame, low: Column, aspect: Column) -> DataFrame:
+        row = F.struct("asset_id", "dhash", "mean_luma", "aspect", half.alias("luma_key")).alias("row")
+        keyed = rows.select(row, low.alias("luma_key"), aspect.alias("aspect_key"), (pieces if parted else whole).alias("parts"))
+        keyed = keyed.withColumn("luma_key", F.explode("luma_key")).withColumn("aspect_key", F.explode("aspect_key"))
+        return keyed.select("row", "luma_key", "aspect_key", F.explode("parts").alias("p")).select("row", "luma_key", "aspect_key", "p.*")
+
+    left = under(thin, F.array(half), F.array(wide))
+    right = under(thin, F.array(*(half - k for k in range(3))), F.array(*(wide + k for k in (-1, 0, 1))))
+    a, b = F.col("a.dhash"), F.col("b.dhash")
+    test = (
+        ((F.col("a.luma_key") < F.col("b.luma_key")) | (F.col("a.asset_id") < F.col("b.asset_id")))
+        & (hamming(a, b) <= t.hash_reject)
+        & (F.abs(F.col("a.mean_luma") - F.col("b.mean_luma")) <= C.LUMA_TOLERANCE)
+        & aspect_close(t.aspect_tolerance)
+    )
+    if parted:
+        other = a.bitwiseXOR(b)
+        for k in range(PARTS - 1):
+            test &= (F.col("part") <= k) | (piece(other, k) != 0)
+    return left, right, test
+
+
+KEYS = ["luma_key", "aspect_key", "part", "bits"]
+
+
 def still_candidates(library: DataFrame, sensitivity: str) -> DataFrame:
     """(id_lo, id_hi, hash_distance, histogram_similarity) of all pairs of stills past the gates.
 
-    Luma, aspect and hash are tested in the join; histograms are fetched for the
-    pairs that are left. Exhaustive: a banded index would lose pairs.
+    Luma, aspect and hash are tested in the join, under keys that lose no pair
+    (gate_keys); rows of a key with many are dealt in blocks, so no task holds a
+    key. Histograms are fetched for the pairs that are left.
     """
     t = C.LEVELS[sensitivity]
     stills = library.where(F.col("kind") != C.VIDEO)
     thin = stills.select("asset_id", "dhash", "mean_luma", aspect_ratio().alias("aspect"))
-    gates = (
-        (F.col("a.asset_id") < F.col("b.asset_id"))
-        & aspect_close(t.aspect_tolerance)
-        & (hamming(F.col("a.dhash"), F.col("b.dhash")) <= t.hash_reject)
-    )
-    pairs = luma_pairs(thin, thin, gates).select(
-        F.col("a.asset_id").alias("id_lo"), F.col("b.asset_id").alias("id_hi"),
-        hamming(F.col("a.dhash"), F.col("b.dhash")).alias("hash_distance"),
+    left, right, test = gate_keys(thin, sensitivity)
+    size = left.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    large = F.broadcast(size.where("blocks > 1"))  # fewer than the rows of left / BLOCK
+    of = F.coalesce("blocks", F.lit(1))
+    a = left.withColumnRenamed("row", "a").join(large, KEYS, "left")
+    a = a.withColumn("block", F.pmod(F.xxhash64("a.asset_id"), of).cast("int")).drop("blocks")
+    b = right.withColumnRenamed("row", "b").join(large, KEYS, "left")
+    b = b.withColumn("block", F.explode(F.sequence(F.lit(0), of - 1))).drop("blocks")
+    low, high = F.col("a.asset_id"), F.col("b.asset_id")
+    pairs = a.join(b, [*KEYS, "block"]).where(test).select(
+        F.least(low, high).alias("id_lo"), F.greatest(low, high).alias("id_hi"), hamming(F.col("a.dhash"), F.col("b.dhash")).alias("hash_distance")
     )
     return with_similarity(pairs, stills).where(F.col("histogram_similarity") >= t.histogram_floor)
 
