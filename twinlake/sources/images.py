@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from twinlake.functions.assets import file_id
 from twinlake.session import ship_package
 from twinlake.sources.catalog import plain_uri
+from twinlake.sources.headers import orientation, upright
+from twinlake.sources.shared_files import reader
 
 EDGE = 128
 
@@ -33,22 +35,25 @@ def squash(pixels: np.ndarray, edge: int) -> np.ndarray:
 def load_pixels(spark: SparkSession, path: str, edge: int = EDGE) -> DataFrame:
     """(asset_id, origin, status, edge, rgb) of each image below a path: ready, or undecodable without pixels.
 
-    asset_id is that of the file, as in a scan of the folder.
+    asset_id is that of the file, as in a scan of the folder. A JPEG file whose
+    EXIF data turn or mirror it is put upright first.
     """
     ship_package(spark)
     images = spark.read.format("image").option("recursiveFileLookup", True).load(path)
-    flat = images.select(plain_uri("image.origin").alias("origin"), "image.width", "image.height", "image.nChannels", "image.data")
+    flat = images.select(plain_uri("image.origin").alias("origin"), F.col("image.origin").alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("origin", "width", "height", "nChannels", "data")), strict=True)
+            rows = zip(*(b.column(c).to_pylist() for c in ("origin", "path", "width", "height", "nChannels", "data")), strict=True)
             out = []
-            for origin, w, h, n, data in rows:
+            for origin, path, w, h, n, data in rows:
                 if not data or min(w, h) <= 0 or len(data) != w * h * n:
                     out.append((origin, "undecodable", edge, None))
                     continue
                 raw = np.frombuffer(data, np.uint8).reshape(h, w, n)
                 rgb = np.repeat(raw, 3, axis=2) if n == 1 else raw[:, :, 2::-1]  # stored blue first
+                if origin.lower().endswith((".jpg", ".jpeg")):
+                    rgb = upright(rgb, orientation(reader(path)[0]))
                 out.append((origin, "ready", edge, squash(rgb, edge).tobytes()))
             kind = pa.schema([("origin", pa.string()), ("status", pa.string()), ("edge", pa.int32()), ("rgb", pa.binary())])
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), kind)], schema=kind)

@@ -28,3 +28,16 @@ def read_file(uri: str, name: str):
     """A random-access file."""
     system, top = open_folder(uri)
     return system.open_input_file(f"{top}/{name}")
+
+
+def reader(uri: str):
+    """read(at, n) and the length of a file named by a URI, for files of which little is needed."""
+    # readers of Spark write one slash where a URI has three
+    system, name = open_folder(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    f = system.open_input_file(name)
+
+    def read(at: int, n: int) -> bytes:
+        f.seek(min(at, f.size()))
+        return f.read(n)
+
+    return read, f.size()
