@@ -193,12 +193,15 @@ def test_op10(spark, folder, monkeypatch):
         if hashes is None:
             continue
         z = [sum(v.text.w[place[h]] for h in hashes if h in place) + v.text.b]
-        _, _, numbers, hashed = cotraining.features([t.encode()], [(f"s{r.doc_id % 3}" if r.doc_id % 4 else None, "en" if r.doc_id % 2 else None)])
+        owner, every, numbers, hashed = cotraining.features([t.encode()], [(f"s{r.doc_id % 3}" if r.doc_id % 4 else None, "en" if r.doc_id % 2 else None)])
         bins = [int((v.edges[k] <= numbers[0, k]).sum()) for k in range(len(v.edges))]
         at = [*hashed[0].tolist(), *((1 << cotraining.META_BITS) + k * (cotraining.BINS + 1) + b for k, b in enumerate(bins))]
         z.append(sum(v.meta.w[i] for i in at) + v.meta.b)
-        c = [x * p[0] + p[1] for x, p in zip(z, v.platt)]
-        want = (squash(c[0]), squash(c[1]), squash(c[0] * v.both[0] + c[1] * v.both[1] + v.both[2]))
+        taught = [sum(v.taught[0][int(h) >> 64 - cotraining.TAUGHT_BITS] for h in every) / (1 + len(every))]
+        taught.append(sum(v.taught[1][i] for i in at) / (1 + len(at)))
+        c = [x * p[0] + y * p[1] + p[2] for x, y, p in zip(z, taught, v.platt)]
+        four = [a * w for x, y, p in zip(z, taught, v.platt) for a, w in ((x, p[0]), (y, p[1]))]
+        want = (squash(c[0]), squash(c[1]), squash(sum(a * b for a, b in zip(four, v.both)) + v.both[4]))
         assert tuple(r[1:4]) == pytest.approx(want, abs=1e-9) and r.kept == (want[2] >= 0.5)
 
 

@@ -11,7 +11,7 @@ import pytest
 
 from twinlake.llm import cotraining, shingles
 from twinlake.llm.batches import segments as batches_segments
-from twinlake.llm.cotraining import _collect, features, quality_scores, train
+from twinlake.llm.cotraining import _chosen, _collect, _taught, _vocabulary, features, log_odds, quality_scores, train
 from twinlake.llm.minhash_dedup import _open_links, near_duplicates
 from twinlake.llm.shingles import prob_min_hash, probability_jaccard, weighted_shingles
 from twinlake.llm.vector_dedup import near_vectors
@@ -221,9 +221,69 @@ def test_labelled_documents_are_those_at_hand_and_count_once(spark):
     texts = [(k, f"text {j}", "s", "en") for k in (1, 2) for j in range(50)]
     rows = spark.createDataFrame(texts, "doc_id long, text string, source string, lang string")
     ids = spark.createDataFrame([(1, 1.0), (2, 0.0)], "doc_id long, y double")
-    once, again = (_collect(r, ids, "doc_id", "text", ["source", "lang"]) for r in (rows, rows.orderBy("text")))
+    chosen = [_chosen(r, ids, "doc_id", "text", ["source", "lang"]) for r in (rows, rows.orderBy("text"))]
+    words = np.sort(features([b"text 0 1 2 3 4 5 6 7 8 9 10 11 12 13"], [()])[1])
+    once, again = (_collect(c, words, "doc_id", "text", ["source", "lang"]) for c in chosen)
     assert once["id"].tolist() == [1, 2] and once["y"].tolist() == [1.0, 0.0]
-    assert all((a == b).all() for a, b in zip(once["tokens"], again["tokens"], strict=True))
+    assert all((a == b).all() for a, b in zip(once["places"], again["places"], strict=True))
+
+
+def test_tokens_are_counted_by_documents(spark, monkeypatch):
+    texts = ["a a b", "a b c", "a b", "a", "a d d d d d d", "b"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    of = lambda *w: sorted(int(features([x.encode()], [()])[1][0]) for x in w)
+    assert _vocabulary(df, "text").tolist() == of("a")
+    monkeypatch.setattr(cotraining, "LEAST_DOCS", 4)
+    assert _vocabulary(df, "text").tolist() == of("a", "b")
+    monkeypatch.setattr(cotraining, "WORDS", 1)
+    assert _vocabulary(df, "text").tolist() == of("a")
+
+
+def _two_views(spark, n=4000, seed=2):
+    """Sources that tell the class in 19 of 20 documents, words of which each is in few, and 300 labels."""
+    rng = random.Random(seed)
+    docs, labels, bad = [], [], set()
+    for k in range(n):
+        wrong = rng.random() < 0.5
+        source = rng.randrange(10) + 10 * (wrong != (rng.random() < 0.05))
+        words = [f"{'evil' if wrong else 'good'}{rng.randrange(1500)}" for _ in range(5)] + [f"w{rng.randrange(300)}" for _ in range(25)]
+        rng.shuffle(words)
+        docs.append((k, " ".join(words), "en", f"s{source}"))
+        bad |= {k} if wrong else set()
+        if k < 300:
+            labels.append((k, int(not wrong), 0))
+    return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), bad
+
+
+def test_a_round_in_plain_python(spark):
+    docs, labels, _ = _two_views(spark, 600)
+    views = train(docs, labels, rounds=0)
+    own = np.arange(300)
+    text_odds, meta_odds, many = _taught(docs.repartition(3), views, own, "doc_id", "text", ["source", "lang"])
+    counts = {v: [Counter(), Counter()] for v in ("text", "meta")}
+    labelled = {"text": [0, 0], "meta": [0, 0]}
+    for r in docs.collect():
+        owner, h, numbers, hashed = features([r.text.encode()], [(r.source, r.lang)])
+        p_text, p_meta, _ = (float(x[0]) for x in views.score(owner, h, numbers, hashed))
+        at = {"text": [int(x) >> 64 - cotraining.TAUGHT_BITS for x in h], "meta": cotraining._meta_rows(hashed, numbers, views.edges)[0].tolist()}
+        for pupil, teacher, other in (("text", p_meta, p_text), ("meta", p_text, p_meta)):
+            side = 0 if teacher >= 0.9 and other >= 0.5 else 1 if teacher <= 0.1 and other < 0.5 else None
+            if side is not None and r.doc_id not in own:
+                counts[pupil][side].update(at[pupil])
+                labelled[pupil][side] += 1
+    assert many == {k: tuple(v) for k, v in labelled.items()} and sum(many["text"]) > 50
+    for pupil, odds in (("text", text_odds), ("meta", meta_odds)):
+        g, b = (np.array([counts[pupil][s][k] for k in range(len(odds))], float) for s in (0, 1))
+        assert np.allclose(odds, log_odds(g, b))
+
+
+def test_two_rounds_beat_none_where_views_can_teach(spark):
+    docs, labels, bad = _two_views(spark)
+    share = {}
+    for rounds in (0, 2):
+        out = [r for r in quality_scores(docs, labels, rounds=rounds).collect() if r.doc_id >= 300]
+        share[rounds] = sum(r.kept == (r.doc_id not in bad) for r in out) / len(out)
+    assert share[2] > share[0] + 0.01, share
 
 
 def test_cotraining_without_labels_and_with_odd_rows(spark):

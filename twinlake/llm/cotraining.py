@@ -14,8 +14,10 @@ from twinlake.llm.batches import pieces, segments
 from twinlake.llm.suffix_blocks import mix
 from twinlake.session import free_names, ship_package, written
 
-#: Labelled documents that a token must occur in to be a feature; so the text model has a bounded size.
-LEAST_DOCS = 5
+#: Labelled documents that a token must occur in to be a feature of the regression, and such tokens at most, the commonest first.
+LEAST_DOCS, WORDS = 5, 1 << 15
+#: Bits of a token's hash that name its bucket in what a view is taught.
+TAUGHT_BITS = 17
 #: Numbers of a text that features() gives.
 NUMBERS = 9
 #: Hashed values of the metadata view.
@@ -178,26 +180,62 @@ def _platt(z: np.ndarray, y: np.ndarray, columns: int) -> np.ndarray:
 
 @dataclass
 class Views:
-    """Two classifiers, their calibrations and their combination."""
+    """Two classifiers, what each was taught, their calibrations and their combination.
+
+    A view has two scores: its regression on the labelled documents, and what it
+    was taught: the mean of the log odds of a document's features among those that
+    the other view was sure of. platt weighs both,
+    so the weight of what was taught comes from labelled documents held back.
+    """
 
     words: np.ndarray
     text: Linear
     meta: Linear
     edges: np.ndarray
+    taught: tuple[np.ndarray, np.ndarray]
     platt: tuple[np.ndarray, np.ndarray]
     both: np.ndarray
 
+    def scores(self, owner, h, numbers, hashed) -> list[np.ndarray]:
+        """Of the text and the metadata view: a row a document of (regression, taught)."""
+        n = len(hashed)
+        r, c = _flat(_meta_rows(hashed, numbers, self.edges))
+        out = []
+        buckets = (h >> np.uint64(64 - TAUGHT_BITS)).astype(np.int64)
+        for plain, at, f, odds in (
+            (self.text.logits(*among(owner, h, self.words), n), owner, buckets, self.taught[0]),
+            (self.meta.logits(r, c, n), r, c, self.taught[1]),
+        ):
+            many = np.bincount(at, minlength=n)
+            out.append(np.stack([plain, np.bincount(at, odds[f], minlength=n) / (1 + many)], 1))
+        return out
+
     def score(self, owner, h, numbers, hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of the text view, the metadata view and both."""
-        n = len(hashed)
-        z = [self.text.logits(*among(owner, h, self.words), n)]
-        z.append(self.meta.logits(*_flat(_meta_rows(hashed, numbers, self.edges)), n))
-        return self.combined(z)
+        return self.combined(self.scores(owner, h, numbers, hashed))
 
     def combined(self, z: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        c = [x * p[0] + p[1] for x, p in zip(z, self.platt, strict=True)]
-        both = np.stack(c, 1) @ self.both[:2] + self.both[2]
-        return _sigmoid(c[0]), _sigmoid(c[1]), _sigmoid(both)
+        c = [x @ p[:2] + p[2] for x, p in zip(z, self.platt, strict=True)]
+        return _sigmoid(c[0]), _sigmoid(c[1]), _sigmoid(parted(z, self.platt) @ self.both[:4] + self.both[4])
+
+
+def parted(z: list[np.ndarray], platt: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The calibrated views in their two parts each: the views agree more on what they taught each other, so it gets weights of its own."""
+    return np.concatenate([x * p[:2] for x, p in zip(z, platt, strict=True)], 1)
+
+
+def sure_of(teacher: np.ndarray, pupil: np.ndarray) -> np.ndarray:
+    """1 and -1 where the teacher is SURE of good and of bad and the pupil does not lean the other way, else 0."""
+    return ((teacher >= SURE) & (pupil >= 0.5)).astype(np.int8) - ((teacher <= 1 - SURE) & (pupil < 0.5))
+
+
+def log_odds(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Log odds of each feature by its share of all of either class; 0 for what neither has, and where a class has none."""
+    g, b = good.sum(), bad.sum()
+    if not g or not b:
+        return np.zeros(len(good))
+    e = 1 / min(g, b)
+    return np.log((good / g + e) / (bad / b + e))
 
 
 def among(owner: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,17 +248,6 @@ def among(owner: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarr
     return both // len(words), both % len(words)
 
 
-def _places(tokens: list[np.ndarray], words: np.ndarray) -> list[np.ndarray]:
-    """Places among words, which ascend, of the distinct tokens of each row; row by row."""
-    if not len(words):
-        return [np.zeros(0, np.int32)] * len(tokens)
-    out = []
-    for t in tokens:
-        at = np.minimum(np.searchsorted(words, t), len(words) - 1)
-        out.append(at[words[at] == t].astype(np.int32))
-    return out
-
-
 SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in ("p_text", "p_meta", "score")])
 
 
@@ -242,39 +269,115 @@ def _score(documents: DataFrame, views: Views, text: str, meta: list[str], keep:
     return documents.mapInArrow(work, T.StructType([*(documents.schema[c] for c in keep), *SCORES.fields]))
 
 
-def _collect(documents: DataFrame, ids: DataFrame, doc_id: str, text: str, meta: list[str]) -> dict:
-    """Features of a bounded set of documents, ids with their numbers y, on the driver.
+def _chosen(documents: DataFrame, ids: DataFrame, doc_id: str, text: str, meta: list[str]) -> DataFrame:
+    """(doc_id, text, *meta, y) of a bounded set of documents, ids with their classes y, written.
 
     Of the rows that repeat an id, the one of least text hash stands for it.
     """
+    chosen = documents.select(doc_id, text, *meta).join(F.broadcast(ids), doc_id)
+    least, row = free_names([doc_id, text, *meta], "least", "row")
+    first = F.min(F.struct(F.xxhash64(text).alias(least), text, *meta, "y")).alias(row)
+    return written(chosen.groupBy(doc_id).agg(first).select(doc_id, *(F.col(row)[c].alias(c) for c in (text, *meta, "y"))), "cotraining-chosen")
+
+
+def _vocabulary(chosen: DataFrame, text: str) -> np.ndarray:
+    """Hashes of the tokens of LEAST_DOCS of the chosen documents, ascending: counted on the cluster, WORDS at most."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, text):
+            owner, h, _, _ = _features(b, text, [])
+            own = np.unique(np.stack([owner.astype(np.uint64), h]), axis=1)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["h"])
+
+    count = chosen.select(text).mapInArrow(work, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS)
+    return np.sort(count.orderBy(F.desc("n"), "h").limit(WORDS).select("h").toArrow()["h"].to_numpy().view(np.uint64))
+
+
+def _collect(chosen: DataFrame, words: np.ndarray, doc_id: str, text: str, meta: list[str]) -> dict:
+    """Features of the chosen documents on the driver: at most WORDS places a document, however long it is."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text):
             owner, h, numbers, hashed = _features(b, text, meta)
-            cuts = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            tokens = [np.unique(h[i:j]) for i, j in zip(cuts, cuts[1:])]
+            row, place = among(owner, h, words)
+            cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
+            places = [place[i:j].astype(np.int32) for i, j in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays(
                 [b.column(doc_id), b.column("y")]
-                + [pa.array([x.tobytes() for x in col], pa.binary()) for col in (tokens, numbers, hashed)],
-                names=["doc_id", "y", "tokens", "numbers", "hashed"],
+                + [pa.array([x.tobytes() for x in col], pa.binary()) for col in (places, numbers, hashed)],
+                names=["doc_id", "y", "places", "numbers", "hashed"],
             )
 
-    chosen = documents.select(doc_id, text, *meta).join(F.broadcast(ids), doc_id)
-    least, row = free_names([doc_id, text, *meta], "least", "row")
-    first = F.min(F.struct(F.xxhash64(text).alias(least), text, *meta, "y")).alias(row)
-    chosen = chosen.groupBy(doc_id).agg(first).select(doc_id, *(F.col(row)[c].alias(c) for c in (text, *meta, "y")))
-    got = chosen.mapInArrow(work, "doc_id long, y double, tokens binary, numbers binary, hashed binary").toArrow()
+    got = chosen.mapInArrow(work, "doc_id long, y double, places binary, numbers binary, hashed binary").toArrow()
     got = got.sort_by([("doc_id", "ascending")])
     read = lambda c, kind: [np.frombuffer(x, kind) for x in got[c].to_pylist()]
     return {
         "id": got["doc_id"].to_numpy(),
         "y": got["y"].to_numpy(),
-        "tokens": read("tokens", np.uint64),
+        "places": read("places", np.int32),
         "numbers": np.array(read("numbers", np.float64)).reshape(len(got), NUMBERS),
         "hashed": read("hashed", np.int32),
     }
 
 
+def _taught(documents: DataFrame, views: Views, own: np.ndarray, doc_id: str, text: str, meta: list[str]) -> tuple[np.ndarray, np.ndarray, dict]:
+    """What either view is to be taught, in one pass over all documents but those of the ids own.
+
+    Each view labels all that it is sure of for the other (sure_of); the other's
+    features of these are counted by class, a task its own and then all, so the
+    driver gets a row a feature. Also how many documents were labelled, by (pupil, class).
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((views, own))
+    sizes = (1 << TAUGHT_BITS), (1 << META_BITS) + len(views.edges) * (BINS + 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, labelled = shared.value
+        # a place behind the features counts the documents
+        sums = [np.zeros((2, n + 1), np.int64) for n in sizes]
+        for b in pieces(batches, text):
+            owner, h, numbers, hashed = _features(b, text, meta)
+            p_text, p_meta, _ = model.score(owner, h, numbers, hashed)
+            ids = b.column(doc_id)
+            new = ~np.isin(ids.fill_null(0).to_numpy(), labelled) | ids.is_null().to_numpy(zero_copy_only=False)
+            r, c = _flat(_meta_rows(hashed, numbers, model.edges))
+            for view, (said, at, f) in enumerate((
+                (sure_of(p_meta, p_text), owner, (h >> np.uint64(64 - TAUGHT_BITS)).astype(np.int64)),
+                (sure_of(p_text, p_meta), r, c),
+            )):
+                for side, sign in enumerate((1, -1)):
+                    chosen = new & (said == sign)
+                    sums[view][side, :-1] += np.bincount(f[chosen[at]], minlength=sizes[view])
+                    sums[view][side, -1] += chosen.sum()
+        for view, s in enumerate(sums):
+            k = np.flatnonzero(s.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), view)), pa.array(k), pa.array(s[0, k]), pa.array(s[1, k])], names=["view", "k", "good", "bad"])
+
+    some = documents.select(F.col(doc_id).cast("long").alias(doc_id), text, *meta).mapInArrow(work, "view long, k long, good long, bad long")
+    got = some.groupBy("view", "k").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
+    view, k, good, bad = (got[c].to_numpy() for c in ("view", "k", "good", "bad"))
+    out, many = [], {}
+    for v, n in enumerate(sizes):
+        g, w = np.zeros(n + 1), np.zeros(n + 1)
+        g[k[view == v]], w[k[view == v]] = good[view == v], bad[view == v]
+        many[("text", "meta")[v]] = int(g[-1]), int(w[-1])
+        out.append(log_odds(g[:-1], w[:-1]))
+    return *out, many
+
+
+def _own_scores(chosen: DataFrame, views: Views, doc_id: str, text: str, meta: list[str]) -> list[np.ndarray]:
+    """scores() of the chosen documents by ascending id."""
+    shared = chosen.sparkSession.sparkContext.broadcast(views)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, text):
+            z = shared.value.scores(*_features(b, text, meta))
+            yield pa.RecordBatch.from_arrays([b.column(doc_id), *(pa.array(x) for v in z for x in v.T)], names=["id", "a", "b", "c", "d"])
+
+    got = chosen.mapInArrow(work, "id long, a double, b double, c double, d double").toArrow().sort_by([("id", "ascending")])
+    a, b, c, d = (got[x].to_numpy() for x in "abcd")
+    return [np.stack([a, b], 1), np.stack([c, d], 1)]
+
+
 def train(
     documents: DataFrame,
     labels: DataFrame,
@@ -283,19 +386,18 @@ def train(
     meta: tuple[str, ...] = ("source", "lang"),
     rounds: int = 2,
     labelled: int = 12_000,
-    confident: int = 400,
-    pseudo_weight: float = 0.02,
 ) -> Views | None:
     """Co-trains the two views; None where the labels hold fewer than two classes.
 
     labels (doc_id, quality, toxic): a document is good if its quality is 1 and
     it is not toxic. At most `labelled` labelled ids that documents holds, those
     of the least hashes, are used, a fifth of them for calibration; an id on
-    several rows is learnt from the one of least text hash. In each round both
-    views score the whole corpus, and each labels all unlabelled documents that
-    it is SURE of for the other, unless that one leans the other way. As the fit is of a bounded sample, it takes
-    `confident` of either class of them, by hash, which weigh pseudo_weight of a
-    labelled document; those of earlier rounds stay.
+    several rows is learnt from the one of least text hash. Each view is a
+    regression on these. In each round both views look at the whole corpus, and
+    each labels every other document that it is SURE of for the other, unless
+    that one leans the other way. These are as many as there are; the pupil
+    learns from the counts of their features, and the weight of that beside its
+    regression is fitted on the labelled documents held back for calibration.
     """
     spark = documents.sparkSession
     ship_package(spark)
@@ -305,7 +407,9 @@ def train(
     known = written(known, "cotraining-known", rows=labels.count())
     present = documents.select(doc_id).distinct()
     sample = known.join(present, doc_id, "left_semi").orderBy(F.xxhash64(F.col(doc_id), F.lit("sample")), doc_id).limit(labelled)
-    base = _collect(documents, sample, doc_id, text, meta)
+    chosen = _chosen(documents, sample, doc_id, text, meta)
+    words = _vocabulary(chosen, text)
+    base = _collect(chosen, words, doc_id, text, meta)
     if len(set(base["y"].tolist())) < 2:
         return None
     with np.errstate(over="ignore"):
@@ -314,59 +418,26 @@ def train(
         held = np.zeros(len(held), bool)
     fit, check = np.flatnonzero(~held), np.flatnonzero(held) if held.any() else np.arange(len(held))
     edges = np.quantile(base["numbers"][fit], np.arange(1, BINS + 1) / (BINS + 1), axis=0).T
-    pick = lambda rows, k: [rows[i] for i in k]
-    every = np.concatenate(pick(base["tokens"], fit))
-    every.sort()
-    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
-    words = every[first[np.diff(np.r_[first, len(every)]) >= LEAST_DOCS]]
-    del every, first
-    base["tokens"] = _places(base["tokens"], words)
     width = {"text": len(words), "meta": (1 << META_BITS) + len(edges) * (BINS + 1)}
-    extra = {"text": [], "meta": []}  # pseudo-labelled documents for each view: features, and numbers y of some of the rows
-
-    def rows_of(view: str, some: dict, k) -> tuple[np.ndarray, np.ndarray]:
-        if view == "meta":
-            return _flat(pick(_meta_rows(some["hashed"], some["numbers"], edges), k))
-        return _flat(pick(some["tokens"], k))
-
-    def learn() -> Views:
-        def one(view: str) -> Linear:
-            (r, c), y, w = rows_of(view, base, fit), base["y"][fit], np.ones(len(fit))
-            for more, k, said in extra[view]:
-                r2, c2 = rows_of(view, more, k)
-                r, c = np.r_[r, r2 + len(y)], np.r_[c, c2]
-                y, w = np.r_[y, said], np.r_[w, np.full(len(said), pseudo_weight)]
-            return Linear.fit(r, c, width[view], y, w, PENALTY[view])
-
-        views = Views(words, one("text"), one("meta"), edges, (np.array([1.0, 0.0]),) * 2, np.array([1.0, 1.0, 0.0]))
+
+    def one(view: str) -> Linear:
+        rows = base["places"] if view == "text" else _meta_rows(base["hashed"], base["numbers"], edges)
+        return Linear.fit(*_flat([rows[i] for i in fit]), width[view], base["y"][fit], np.ones(len(fit)), PENALTY[view])
+
+    none = np.zeros(1 << TAUGHT_BITS), np.zeros(width["meta"])
+    views = Views(words, one("text"), one("meta"), edges, none, (np.array([1.0, 0.0, 0.0]),) * 2, np.array([1.0, 1.0, 1.0, 1.0, 0.0]))
+
+    def calibrate(views: Views) -> None:
         y = base["y"][check]
-        z = [m.logits(*rows_of(v, base, check), len(check)) for v, m in (("text", views.text), ("meta", views.meta))]
-        views.platt = tuple(_platt(x, y, 1) for x in z)
-        views.both = _platt(np.stack([x * p[0] + p[1] for x, p in zip(z, views.platt, strict=True)], 1), y, 2)
-        return views
-
-    views = learn()
-    learnt = {"text": set(), "meta": set()}
-    for k in range(rounds):
-        # the corpus is scored once a round, without moving it
-        scored = _score(documents.select(doc_id, text, *meta), views, text, meta, [doc_id])
-        scored = written(scored, "cotraining-scores")
-        scored = scored.where(F.col(doc_id).isNotNull()).join(known, doc_id, "left_anti")
-        chosen = {}
-        for teacher, own, pupil in (("p_text", "p_meta", "meta"), ("p_meta", "p_text", "text")):
-            by_hash = scored.orderBy(F.xxhash64(F.col(doc_id), F.lit(f"{pupil} {k}")), doc_id)
-            agreed = (F.col(teacher) >= SURE) & (F.col(own) >= 0.5), (F.col(teacher) <= 1 - SURE) & (F.col(own) < 0.5)
-            for y, sure in zip((1.0, 0.0), agreed):
-                chosen |= {(pupil, r[0]): y for r in by_hash.where(sure).select(doc_id).limit(confident).collect()}
-        chosen = {key: y for key, y in chosen.items() if key[1] not in learnt[key[0]]}
-        ids = spark.createDataFrame([(i, 0.0) for i in sorted({i for _, i in chosen})], f"{doc_id} long, y double")
-        more = _collect(documents, ids, doc_id, text, meta)
-        more["tokens"] = _places(more["tokens"], words)
-        for pupil, seen in learnt.items():
-            at = [i for i, name in enumerate(more["id"].tolist()) if (pupil, name) in chosen]
-            extra[pupil].append((more, at, np.array([chosen[pupil, more["id"][i]] for i in at])))
-            seen |= {i for p, i in chosen if p == pupil}
-        views = learn()
+        z = [x[check] for x in _own_scores(chosen, views, doc_id, text, meta)]
+        views.platt = tuple(_platt(x, y, 2) for x in z)
+        views.both = _platt(parted(z, views.platt), y, 4)
+
+    calibrate(views)
+    for _ in range(rounds):
+        *taught, _ = _taught(documents, views, base["id"], doc_id, text, meta)
+        views = Views(words, views.text, views.meta, edges, tuple(taught), views.platt, views.both)
+        calibrate(views)
     return views
 
 
