@@ -67,8 +67,9 @@ def mix_sources(
     Each document gets a hash-random key, of its doc_id and text. Within a
     source, keys are cut into 16**digits ranges, by default as many as leave some
     RANGE_ROWS rows to a range even where one source has them all; sums of the
-    ranges give each range its offset, and only inside a range are rows sorted,
-    so no task holds a source. The result is the same for any digits. The words before
+    ranges give each range its offset, and only inside a range are keys sorted,
+    equal ones as one with their number, so no task holds a source or all copies
+    of a row. The result is the same for any digits. The words before
     a document then tell how much of it falls into the budget: whole epochs
     first, then documents in order of key, the last one cut at the exact word.
 
@@ -85,20 +86,26 @@ def mix_sources(
     rows = documents.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"), *more
     ).withColumn("part", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    rows = written(rows, "mix-rows")
+    # equal rows may be any number: each part of the table numbers its own
+    rows = written(rows.withColumn("shard", F.spark_partition_id()), "mix-rows")
     if digits is None:
         digits = max(1, math.ceil(math.log(max(1, rows.count()) / RANGE_ROWS, 16)))
     rows = rows.withColumn("range", F.substring("key", 1, digits))
-    sums = written(rows.groupBy("part", "source", "range").agg(F.sum("size").alias("sum")), "mix-ranges")
+    alike = ["part", "range", "key", "shard"]
+    groups = rows.groupBy("source", *alike).agg(F.max("size").alias("each"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.withColumn("sum", F.col("each") * F.col("n")), "mix-groups")
+    sums = written(groups.groupBy("part", "source", "range").agg(F.sum("sum").alias("sum")), "mix-ranges")
     targets = source_targets(sums.groupBy("source").agg(F.sum("sum").alias("size")), weights, cap)
     targets = targets.select(
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("part"), F.col("size").alias("source_size"), "target"
     )
-    ahead = Window.partitionBy("part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sums.select("part", "range", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead")).join(targets, "part")
-    inside = Window.partitionBy("part", "range").orderBy("key", "doc_id", "size")
-    upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = rows.withColumn("upto", upto).join(ranges, ["part", "range"])
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda w: F.coalesce(F.sum("sum").over(before(w)), F.lit(0))
+    ranges = sums.select("part", "range", sum_before(Window.partitionBy("part").orderBy("range")).alias("ahead")).join(targets, "part")
+    inside = Window.partitionBy("part", "range").orderBy("key", "shard")
+    places = groups.select(*alike, sum_before(inside).alias("inside")).join(ranges, ["part", "range"])
+    place = F.row_number().over(Window.partitionBy(*alike).orderBy("doc_id")) - 1
+    out = rows.withColumn("upto", place * F.col("size")).join(places, alike).withColumn("upto", F.col("upto") + F.col("inside") + F.col("size"))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     out = out.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
