@@ -4,6 +4,7 @@ import json
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,12 +16,13 @@ from tokenizers import Tokenizer  # noqa: E402
 from twinlake.llm import simple8b, suffix_dedup  # noqa: E402
 from twinlake.llm.bpe import Vocabulary, read_vocabulary  # noqa: E402
 from twinlake.llm.chunk_bpe import ChunkEncoder, decode_ids, encode_texts  # noqa: E402
-from twinlake.llm.host_quality import host_quality  # noqa: E402
+from twinlake.llm.host_quality import beta_priors, host_quality  # noqa: E402
 from twinlake.llm.source_mix import mix_sources, source_targets  # noqa: E402
 from twinlake.llm.suffix_blocks import repeated  # noqa: E402
 from twinlake.llm.suffix_dedup import _whole_words, remove_repeats, repeated_intervals  # noqa: E402
 from twinlake.llm.token_files import read_token_files, write_token_files  # noqa: E402
 from twinlake.llm.token_prefixes import PrefixCounts, count_prefixes  # noqa: E402
+from twinlake.session import shared_dir  # noqa: E402
 
 PATH = P.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(PATH)
@@ -227,6 +229,23 @@ def test_mix_meets_its_budgets(spark):
     assert mix_sources(df.where("false")).count() == 0
 
 
+def test_copies_of_a_row_are_told_apart_in_many_tasks(spark, monkeypatch):
+    """A third of all rows are equal: they go into the windows as one row a part of the table, and each gets its share."""
+    rows = [(k, "a b c d", "s") for k in range(600)] + [(7, "one two three", "s")] * 400 + [(None, "x y", "t")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    got = mix_sources(df, weights=(1, 1)).collect()
+    total = Counter()
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        total[r.source] += r.taken
+    assert len(got) == 1200 and total == {"s": 3600 - 1200 + 400, "t": 1200}
+    part = sum(0 < r.taken < r.size for r in got)
+    assert part <= 1  # one row of all is cut
+    tables = [p for p in Path(shared_dir(spark).removeprefix("file:")).glob("mix-groups-*")]
+    newest = max(tables, key=lambda p: p.stat().st_mtime)
+    assert spark.read.parquet(f"file:{newest}").where("n > 1").count() >= 8
+
+
 def test_targets_share_what_caps_leave(spark):
     sizes = spark.createDataFrame([("a", 900), ("b", 10), ("c", 20)], "source string, size long")
     got = {r.source: r.target for r in source_targets(sizes).collect()}
@@ -255,6 +274,33 @@ def test_quality_rules(spark):
     assert host_quality(df.where("false")).count() == 0
 
 
+def test_priors_leave_chance_out(spark):
+    """Rates of hosts drawn from a beta distribution, most of them with one to three pages."""
+    rng = np.random.default_rng(9)
+    for a, b in ((2.0, 6.0), (0.3, 0.9)):
+        n = rng.integers(1, 4, 20_000)
+        rate = rng.beta(a, b, len(n))
+        k = rng.binomial(n, rate)
+        hosts = spark.createDataFrame([(int(x), int(y), 0) for x, y in zip(n, k)], "n long, bad long, never long")
+        got = beta_priors(hosts, ["bad", "never"])
+        assert abs(got["bad"][0] - a / (a + b)) < 0.01 and 0.8 < got["bad"][1] / (a + b) < 1.25
+        assert got["never"] == (0.0, 1e6)
+    same = spark.createDataFrame([(50, 10, 0)] * 40, "n long, bad long, never long")
+    assert beta_priors(same, ["bad"])["bad"] == (0.2, 1e6)
+    assert beta_priors(same.where("false"), ["bad"])["bad"] == (0.0, 1e6)
+
+
+def test_a_host_is_rejected_by_any_rule(spark):
+    good = [" ".join(f"w{k * 31 + j}" for j in range(40)) for k in range(400)]
+    rows = [(k, t, f"h{k % 20}") for k, t in enumerate(good)]
+    rows += [(1000 + k, t.replace(" ", " # "), "signs.example") for k, t in enumerate(good[:60])] + [(2000, good[0], "signs.example")]
+    rows += [(3000 + k, "Next\n" * 4 + t, "lines.example") for k, t in enumerate(good[:60])]
+    out = {r.doc_id: r for r in host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(out[k].kept for k in range(400))
+    assert not out[2000].base_failed and not out[2000].kept and out[2000].host_rate > 0.5
+    assert not any(out[3000 + k].kept or out[3000 + k].base_failed for k in range(60))
+
+
 def test_a_bad_host_loses_its_good_documents(spark):
     good = " ".join(f"w{k}" for k in range(30))
     rows = [(k, good if k % 50 == 0 else "bad", "bad.example") for k in range(200)]

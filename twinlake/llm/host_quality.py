@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from twinlake.session import free_names, written
@@ -60,6 +62,49 @@ def rule_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return p.select(*have, F.coalesce(covered["n"], F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
+#: What a document fails by, beside the base rules: signs for so many words, and repeated lines.
+SYMBOL_PERCENT, DUPLICATE_LINES = 10, 3
+
+
+def rules(least_words: int = 10, repeat_percent: int = 20) -> dict[str, F.Column]:
+    """Whether a document fails each rule, from its counts."""
+    words = F.col("n_words")
+    return {
+        "short": words < least_words,
+        "repeats": 100 * F.col("n_repeat_words") > repeat_percent * words,
+        "symbols": 100 * F.col("n_symbols") > SYMBOL_PERCENT * words,
+        "lines": F.col("n_dup_lines") >= DUPLICATE_LINES,
+    }
+
+
+def beta_priors(hosts: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """(mean, strength) of the beta distribution that hosts' true rates of each rule come from.
+
+    hosts: (n, and failures by the names). By moments with weights n (Kleinman,
+    1973): of the spread of the observed rates around their mean, what a binomial
+    of n trials has by itself is taken out first. What is left, as a share of
+    m * (1 - m), is 1 / (strength + 1): hosts of a page or two, whose rates are 0
+    or 1 by chance, make no weak prior. Strength is between 0.01 and a million.
+    """
+    n, known = F.col("n"), [F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("all"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares")]
+    for r in names:
+        known += [F.sum(r).alias(f"{r}_k"), F.sum(F.col(r).cast("double") * F.col(r) / n).alias(f"{r}_q")]
+    got = hosts.agg(*known).first()  # a few numbers
+    out = {}
+    for r in names:
+        if not got["all"]:
+            out[r] = 0.0, 1e6
+            continue
+        every = float(got["all"])
+        m = got[f"{r}_k"] / every
+        spread = got[f"{r}_q"] / every - m * m
+        chance = (got["hosts"] - 1) / every
+        room = m * (1 - m) * (1 - got["squares"] / every**2 - chance)
+        share = (spread - m * (1 - m) * chance) / room if room > 0 else 0.0
+        out[r] = m, min(max(1 / share - 1, 0.01), 1e6) if share > 1e-6 else 1e6
+    return out
+
+
 def host_quality(
     documents: DataFrame,
     host: str = "source",
@@ -71,11 +116,12 @@ def host_quality(
     """documents, without the text, with the counts, base_failed, host_rate and kept.
 
     base_failed: fewer than least_words words, or more than repeat_percent of
-    them in five-word windows that occur twice or more. Failures are counted by
-    host; a beta prior fitted to all hosts' rates by their mean and variance
-    shrinks each rate, so that hosts with few documents lean on the rest. A
-    document is kept if it did not fail and its host's shrunk rate is at most
-    host_limit.
+    them in five-word windows that occur twice or more. Failures of each of
+    rules(), these two and signs and repeated lines, are counted by host. For
+    each rule a beta prior is fitted to all hosts (beta_priors) and shrinks the
+    hosts' rates, so that hosts with few documents lean on the rest. host_rate is
+    the highest of a host's shrunk rates; a document is kept if it did not fail
+    the base rules and host_rate is at most host_limit.
 
     Null and empty texts have no words and fail. Documents without a host are a
     host of their own. Texts of any length count whole; equal rows count each.
@@ -84,19 +130,15 @@ def host_quality(
     """
     new = ("base_failed", "host_rate", "kept")
     rows = rule_counts(documents.drop(*new), text)
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    rows = written(rows.withColumn("base_failed", failed), "quality-counts")
+    tests = rules(least_words, repeat_percent)
+    rows = written(rows.withColumn("base_failed", tests["short"] | tests["repeats"]), "quality-counts")
     keyed = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n"))
     (key,) = free_names([*rows.columns, "host_rate"], "key")
-    hosts = rows.groupBy(keyed.alias(key)).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failed")
-    )
-    rate = F.col("failed") / F.col("n")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers
-    m, v = m or 0.0, v or 0.0
-    strength = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1e6
-    shrunk = (F.col("failed") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
-    verdicts = written(hosts.select(key, shrunk.alias("host_rate")), "quality-hosts")  # a plain table: a hot host's join can be split
+    counts = [F.count_if(test).alias(name) for name, test in tests.items()]
+    hosts = written(rows.groupBy(keyed.alias(key)).agg(F.count(F.lit(1)).alias("n"), *counts), "quality-hosts")
+    priors = beta_priors(hosts, list(tests))
+    shrunk = [(F.col(r) + F.lit(m * strength)) / (F.col("n") + F.lit(strength)) for r, (m, strength) in priors.items()]
+    verdicts = written(hosts.select(key, F.greatest(*shrunk).alias("host_rate")), "quality-verdicts")  # a plain table: a hot host's join can be split
     out = rows.withColumn(key, keyed).join(verdicts, key).drop(key)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
 
@@ -129,10 +171,18 @@ f AS (
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN r USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM b GROUP BY source),
-m AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM h),
-p AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1e6 END AS s FROM m),
-x AS (SELECT source, (failed + m * s) / (n + s) AS rate FROM h, p)
+h AS (
+  SELECT source, count(*) AS n, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule,
+         unnest([count(*) FILTER (n_words < 10), count(*) FILTER (100 * n_repeat_words > 20 * n_words),
+                 count(*) FILTER (100 * n_symbols > 10 * n_words), count(*) FILTER (n_dup_lines >= 3)]) AS k
+  FROM b GROUP BY source),
+m AS (
+  SELECT rule, sum(k) / sum(n) AS m, sum(k::DOUBLE * k / n) / sum(n) - (sum(k) / sum(n)) ^ 2 AS spread,
+         (count(*) - 1) / sum(n) AS chance, 1 - sum(n::DOUBLE * n) / sum(n)::DOUBLE ^ 2 - (count(*) - 1) / sum(n) AS room
+  FROM h GROUP BY rule),
+e AS (SELECT rule, m, CASE WHEN m * (1 - m) * room > 0 THEN (spread - m * (1 - m) * chance) / (m * (1 - m) * room) ELSE 0 END AS share FROM m),
+p AS (SELECT rule, m, CASE WHEN share > 1e-6 THEN least(greatest(1 / share - 1, 0.01), 1e6) ELSE 1e6 END AS s FROM e),
+x AS (SELECT source, max((k + m * s) / (n + s)) AS rate FROM h JOIN p USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
 FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
 """
