@@ -53,7 +53,7 @@ def test_no_pair_is_lost(spark, monkeypatch, sensitivity, block):
 def test_few_of_the_pairs_are_compared(spark, sensitivity, share):
     df, _ = library(spark, 6, 2000)
     thin = df.select("asset_id", "dhash", "mean_luma", cand.aspect_ratio().alias("aspect"))
-    left, right, _ = cand.gate_keys(thin, sensitivity)
+    left, right = cand.gate_keys(thin, sensitivity)
     count = lambda t, n: t.groupBy(*cand.KEYS).agg(F.count(F.lit(1)).alias(n))
     compared = count(left, "x").join(count(right, "y"), cand.KEYS).agg(F.sum(F.col("x") * F.col("y"))).first()[0]
     band = cand._luma_range(F.col("mean_luma"))

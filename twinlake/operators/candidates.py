@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twinlake import config as C
-from twinlake.functions.assets import aspect_ratio, hamming, keyframe_distance, overlap, same_moment
+from twinlake.functions.assets import aspect_ratio, keyframe_distance, overlap, same_moment
+from twinlake.session import partitions, ship_package
 
 #: Assets of one band that meet one task's rows of the other side.
 BLOCK = 4096
+#: Rows of the left side that are compared at once.
+TILE = 256
 #: Parts of a hash: of so many, one is equal in two hashes that differ in fewer bits.
 PARTS = 11
 
@@ -66,81 +72,128 @@ def with_similarity(pairs: DataFrame, assets: DataFrame) -> DataFrame:
     return pairs.select("id_lo", "id_hi", "hash_distance", "histogram_similarity")
 
 
-def aspect_close(tolerance: float) -> Column:
-    a, b = F.col("a.aspect"), F.col("b.aspect")
-    return F.abs(a - b) / F.greatest(a, b) <= tolerance
+KEYS = ["luma_key", "aspect_key", "part", "bits"]
+PAIR = "id_lo long, id_hi long, hash_distance int"
 
 
-def gate_keys(thin: DataFrame, sensitivity: str) -> tuple[DataFrame, DataFrame, Column]:
-    """(left, right, condition): rows of stills under keys that every pair past the gates shares, and what is left to test.
+def gate_keys(thin: DataFrame, sensitivity: str) -> tuple[DataFrame, DataFrame]:
+    """(left, right): rows of stills under KEYS that every pair past the gates shares, left and right.
 
     thin: (asset_id, dhash, mean_luma, aspect). Keys are
     - half ranges of the luma: the right row is in the range of the left one or
-      in one of the two above it, so a pair meets in one order only;
+      in one of the two above it, so a pair meets in one order only, or, in one
+      range, in both;
     - ranges of the logarithm of the aspect, as wide as the tolerance, and the
       ones beside;
     - where at most PARTS - 1 bits may differ, the hash in PARTS parts: one of
       them has to be equal, and the first that is counts. With more bits than
       that, parts would be too short to tell anything, and the numbers of set
       bits, which may differ as much, too.
-    No pair is lost; a row has a few copies, whatever the number of rows.
+    No pair is lost; a row has a few copies, whatever the number of rows. home is
+    a row's own luma key.
     """
     t = C.LEVELS[sensitivity]
     half = F.floor(F.col("mean_luma") * (2 / (C.LUMA_TOLERANCE + 1e-4))).cast("int")
     wide = F.floor(F.log("aspect") / (-math.log(1 - t.aspect_tolerance) + 1e-9)).cast("int")
-    parted = t.hash_reject < PARTS
-    at = [k * 64 // PARTS for k in range(PARTS + 1)]
-    piece = lambda h, k: F.shiftrightunsigned(h, at[k]).bitwiseAND((1 << at[k + 1] - at[k]) - 1).cast("int")
-    pieces = F.array(*(F.struct(F.lit(k).alias("part"), piece(F.col("dhash"), k).alias("bits")) for k in range(PARTS)))
+    at = _cuts()
+    piece = lambda k: F.shiftrightunsigned("dhash", at[k]).bitwiseAND((1 << at[k + 1] - at[k]) - 1).cast("int")
+    pieces = F.array(*(F.struct(F.lit(k).alias("part"), piece(k).alias("bits")) for k in range(PARTS)))
     whole = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("bits")))
 
-    def under(rows: DataFrame, low: Column, aspect: Column) -> DataFrame:
-        row = F.struct("asset_id", "dhash", "mean_luma", "aspect", half.alias("luma_key")).alias("row")
-        keyed = rows.select(row, low.alias("luma_key"), aspect.alias("aspect_key"), (pieces if parted else whole).alias("parts"))
-        keyed = keyed.withColumn("luma_key", F.explode("luma_key")).withColumn("aspect_key", F.explode("aspect_key"))
-        return keyed.select("row", "luma_key", "aspect_key", F.explode("parts").alias("p")).select("row", "luma_key", "aspect_key", "p.*")
-
-    left = under(thin, F.array(half), F.array(wide))
-    right = under(thin, F.array(*(half - k for k in range(3))), F.array(*(wide + k for k in (-1, 0, 1))))
-    a, b = F.col("a.dhash"), F.col("b.dhash")
-    test = (
-        ((F.col("a.luma_key") < F.col("b.luma_key")) | (F.col("a.asset_id") < F.col("b.asset_id")))
-        & (hamming(a, b) <= t.hash_reject)
-        & (F.abs(F.col("a.mean_luma") - F.col("b.mean_luma")) <= C.LUMA_TOLERANCE)
-        & aspect_close(t.aspect_tolerance)
-    )
-    if parted:
-        other = a.bitwiseXOR(b)
-        for k in range(PARTS - 1):
-            test &= (F.col("part") <= k) | (piece(other, k) != 0)
-    return left, right, test
+    def under(low: Column, aspect: Column) -> DataFrame:
+        keyed = thin.select("*", half.alias("home"), low.alias("luma_key"), aspect.alias("aspect_key"), (pieces if _parted(sensitivity) else whole).alias("p"))
+        for c in ("luma_key", "aspect_key", "p"):
+            keyed = keyed.withColumn(c, F.explode(c))
+        return keyed.select("asset_id", "dhash", "mean_luma", "aspect", "home", "luma_key", "aspect_key", "p.part", "p.bits")
 
+    return under(F.array(half), F.array(wide)), under(F.array(*(half - k for k in range(3))), F.array(*(wide + k for k in (-1, 0, 1))))
+
+
+def _cuts() -> list[int]:
+    return [k * 64 // PARTS for k in range(PARTS + 1)]
+
+
+def _parted(sensitivity: str) -> bool:
+    return C.LEVELS[sensitivity].hash_reject < PARTS
+
+
+def _gated(left: list[np.ndarray], right: list[np.ndarray], part: int, sensitivity: str) -> Iterator[pa.RecordBatch]:
+    """PAIR rows of the pairs of one key past the gates; sides are (asset_id, dhash, mean_luma, aspect, home)."""
+    t, at = C.LEVELS[sensitivity], _cuts()
+    ids, hashes, luma, aspect, home = left
+    ids_, hashes_, luma_, aspect_, home_ = right
+    for low in range(0, len(ids), TILE):
+        s = slice(low, low + TILE)
+        # the hash tells most pairs apart; the other gates see what it leaves
+        other = hashes[s, None] ^ hashes_[None, :]
+        i, j = np.nonzero(np.bitwise_count(other) <= t.hash_reject)
+        other = other[i, j]
+        i += low
+        fine = (home[i] < home_[j]) | (ids[i] < ids_[j])
+        fine &= (np.abs(luma[i] - luma_[j]) <= C.LUMA_TOLERANCE) & (np.abs(aspect[i] - aspect_[j]) / np.maximum(aspect[i], aspect_[j]) <= t.aspect_tolerance)
+        if _parted(sensitivity):
+            for k in range(part):
+                fine &= (other >> np.uint64(at[k])) & np.uint64((1 << at[k + 1] - at[k]) - 1) != 0
+        i, j, other = i[fine], j[fine], other[fine]
+        columns = np.minimum(ids[i], ids_[j]), np.maximum(ids[i], ids_[j]), np.bitwise_count(other).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id_lo", "id_hi", "hash_distance"])
 
-KEYS = ["luma_key", "aspect_key", "part", "bits"]
+
+def gated_pairs(thin: DataFrame, sensitivity: str) -> DataFrame:
+    """PAIR rows of all pairs of stills (asset_id, dhash, mean_luma, aspect) past the gates.
+
+    Rows meet under gate_keys, those of keys with many in blocks of BLOCK, so no
+    task holds a key; in a task, hashes are compared as two vectors of words.
+    """
+    spark = thin.sparkSession
+    ship_package(spark)
+    left, right = gate_keys(thin, sensitivity)
+    size = left.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    large = F.broadcast(size.where("blocks > 1"))  # fewer than the rows of left / BLOCK
+    of = F.coalesce("blocks", F.lit(1))
+    a = left.join(large, KEYS, "left").withColumn("block", F.pmod(F.xxhash64("asset_id"), of).cast("int"))
+    b = right.join(large, KEYS, "left").withColumn("block", F.explode(F.sequence(F.lit(0), of - 1)))
+    own = ["asset_id", "dhash", "mean_luma", "aspect", "home"]
+    key = [*KEYS, "block"]
+    both = a.select(*key, F.lit(True).alias("left"), *own).union(b.select(*key, F.lit(False).alias("left"), *own))
+
+    def solve(run: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        side = run[len(key)]
+        rows = [c.view(np.uint64) if k == 1 else c for k, c in enumerate(run[len(key) + 1 :])]
+        if side.any() and not side.all():
+            yield from _gated([c[side] for c in rows], [c[~side] for c in rows], int(run[2][0]), sensitivity)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for x in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in x.columns]
+            edge = np.zeros(x.num_rows, bool)
+            for c in columns[: len(key)]:
+                edge[1:] |= c[1:] != c[:-1]
+            heads = [0, *np.flatnonzero(edge).tolist()] if x.num_rows else []
+            for low, high in zip(heads, [*heads[1:], x.num_rows], strict=True):
+                if held and any(h[-1] != c[low] for h, c in zip(held[-1], columns[: len(key)], strict=False)):
+                    yield from solve([np.concatenate(c) for c in zip(*held, strict=True)])
+                    held = []
+                held.append([c[low:high] for c in columns])
+        if held:
+            yield from solve([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    dealt = both.repartition(partitions(spark), *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(work, PAIR)
 
 
 def still_candidates(library: DataFrame, sensitivity: str) -> DataFrame:
     """(id_lo, id_hi, hash_distance, histogram_similarity) of all pairs of stills past the gates.
 
-    Luma, aspect and hash are tested in the join, under keys that lose no pair
-    (gate_keys); rows of a key with many are dealt in blocks, so no task holds a
-    key. Histograms are fetched for the pairs that are left.
+    Luma, aspect and hash are tested first (gated_pairs); histograms are fetched
+    for the pairs that are left.
     """
     t = C.LEVELS[sensitivity]
     stills = library.where(F.col("kind") != C.VIDEO)
-    thin = stills.select("asset_id", "dhash", "mean_luma", aspect_ratio().alias("aspect"))
-    left, right, test = gate_keys(thin, sensitivity)
-    size = left.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    large = F.broadcast(size.where("blocks > 1"))  # fewer than the rows of left / BLOCK
-    of = F.coalesce("blocks", F.lit(1))
-    a = left.withColumnRenamed("row", "a").join(large, KEYS, "left")
-    a = a.withColumn("block", F.pmod(F.xxhash64("a.asset_id"), of).cast("int")).drop("blocks")
-    b = right.withColumnRenamed("row", "b").join(large, KEYS, "left")
-    b = b.withColumn("block", F.explode(F.sequence(F.lit(0), of - 1))).drop("blocks")
-    low, high = F.col("a.asset_id"), F.col("b.asset_id")
-    pairs = a.join(b, [*KEYS, "block"]).where(test).select(
-        F.least(low, high).alias("id_lo"), F.greatest(low, high).alias("id_hi"), hamming(F.col("a.dhash"), F.col("b.dhash")).alias("hash_distance")
-    )
+    # a still without a hash or luma is near none
+    thin = stills.select("asset_id", "dhash", "mean_luma", aspect_ratio().alias("aspect")).dropna()
+    pairs = gated_pairs(thin, sensitivity)
     return with_similarity(pairs, stills).where(F.col("histogram_similarity") >= t.histogram_floor)
 
 

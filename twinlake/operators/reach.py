@@ -18,6 +18,8 @@ CELL, PIVOTS, DRAWN = 32, 2048, 8
 SHELL = 0.14
 #: Vectors of a block and of a tile; queries that meet a tile in one task.
 BLOCK, TILE, QUERIES = 1024, 4096, 8192
+#: Share of a tile's blocks from which its queries are multiplied with all of it.
+DENSE = 0.2
 #: What rounding can take from an angle, in radians, or add to a cosine in single precision.
 SLACK, SINGLE = 1e-6, 1e-4
 POINT = "asset_id long, shape array<int>, shape_norm long, cell int, angle double, spread long"
@@ -284,15 +286,19 @@ def scored(queries: DataFrame, points: DataFrame | None, search: Search, floor:
             at, sign = rotation(turn)
             turned = unit[a][:, at] * sign.astype(np.float32)
             found = []
-            for k in range(low, high):
-                r = p[np.searchsorted(of, k) : np.searchsorted(of, k, side="right")]
-                q = np.flatnonzero(bits[:, turn, k - low])
+            want = bits[:, turn].astype(bool)
+            # where most is reached one large product is quicker than many small ones, and gives the same
+            groups = [(low, high)] if want.mean() > DENSE else [(k, k + 1) for k in range(low, high)]
+            for first, last in groups:
+                r = p[np.searchsorted(of, first) : np.searchsorted(of, last)]
+                q = np.flatnonzero(want[:, first - low : last - low].any(1))
                 if not len(r) or not len(q):
                     continue
-                other = unit[r].T
+                other, place = unit[r].T, block[r] - low
                 for s in range(0, len(q), 512):
                     m, n = np.nonzero(turned[q[s : s + 512]] @ other >= floor - SINGLE)
-                    found.append((a[q[s + m]], r[n]))
+                    fine = want[q[s + m], place[n]]
+                    found.append((a[q[s + m[fine]]], r[n[fine]]))
             if not found:
                 continue
             m, n = (np.concatenate(c) for c in zip(*found, strict=True))
