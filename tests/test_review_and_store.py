@@ -146,6 +146,7 @@ def test_a_folder_from_scan_to_deletion_plan(spark, tmp_path):
     absent = spark.createDataFrame([(7, True), (8, False), (9, None)], "asset_id long, is_local boolean")
     states = images.outcomes(absent.union(records.select("asset_id", F.lit(True))), pixels)
     assert tuple(images.skip_counts(states).first()) == (3, 1, 2)
+    assert tuple(run_pipeline(library.limit(1), "strict", found=states).skipped.first()) == (3, 1, 2)
     for few in (library.where("false"), library.limit(1)):
         assert run_pipeline(few, "strict").groups.count() == 0
 

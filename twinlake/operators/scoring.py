@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinlake import config as C
 from twinlake.functions.assets import pixel_count, resolution_label, seconds_between
+from twinlake.session import partitions, written
 
 def _group():
     return Window.partitionBy("group_id")
@@ -170,3 +171,19 @@ def summary(of_groups: DataFrame, scanned: int | Column) -> DataFrame:
         F.coalesce(F.sum(F.col("members") - 1), F.lit(0)).alias("duplicates"),
         F.coalesce(F.sum("reclaimable_bytes"), F.lit(0)).alias("reclaimable_bytes"),
     ).withColumn("assets_scanned", F.lit(scanned))
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """rows with their place, from 1, in an order that leaves no ties.
+
+    Rows are dealt by ranges of the order; a range's rows are numbered in its task
+    and put behind those of the ranges before it, of which only the sizes meet.
+    """
+    part = "__part"
+    t = rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn(part, F.spark_partition_id())
+    t = written(t, "numbered")
+    sizes = t.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    ahead = F.broadcast(sizes.select(part, F.coalesce(before, F.lit(0)).alias("__ahead")))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return t.withColumn(name, own).join(ahead, part).withColumn(name, (F.col(name) + F.col("__ahead")).cast("int")).drop(part, "__ahead")

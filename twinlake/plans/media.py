@@ -553,10 +553,9 @@ _STARRED = _FACED | {
 )
 def keepers(spark, d):
     scan = pipeline.run_pipeline(_library(spark, d), "strict", fixture.faces(spark, d), fixture.resources(spark, d))
-    place = F.row_number().over(Window.orderBy(F.desc("reclaimable_bytes"), "group_id"))  # a row a group, shown in this order
-    return scan.groups.select(
+    return scoring.numbered(scan.groups, F.desc("reclaimable_bytes"), F.asc("group_id")).select(
         "group_id", "members", "keeper_id", "kind", "is_burst", _sixth("confidence"), "reclaimable_bytes",
-        A.confidence_label(F.col("confidence")).alias("confidence_label"), place.alias("place"),
+        A.confidence_label(F.col("confidence")).alias("confidence_label"), "place",
     )
 
 

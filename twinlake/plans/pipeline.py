@@ -11,16 +11,18 @@ from twinlake.operators import candidates as cand, scoring, vectors, verify
 from twinlake.operators.graph import star_clusters
 from twinlake.plans.control import Progress
 from twinlake.session import written
+from twinlake.sources import images
 
 
 @dataclass
 class Scan:
-    """Tables of one scan; each is written once."""
+    """Tables of one scan; each is written once. skipped: how many assets could not be read, and why."""
 
     edges: DataFrame
     members: DataFrame
     ranked: DataFrame
     groups: DataFrame
+    skipped: DataFrame | None = None
 
 
 def confirmed_pairs(
@@ -48,8 +50,13 @@ def run_pipeline(
     resources: DataFrame | None = None,
     lists: DataFrame | None = None,
     progress: Progress = Progress(),
+    found: DataFrame | None = None,
 ) -> Scan:
-    """Confirmed pairs, star clusters, ranked members and groups of a library."""
+    """Confirmed pairs, star clusters, ranked members and groups of a library.
+
+    found: (asset_id, status) of all assets of the catalogue (images.outcomes),
+    of which the scan then says how many it had to leave out.
+    """
     edges = written(confirmed_pairs(library, sensitivity, lists, progress), "edges")
     progress.done(1)
     progress.begin("clusters", 2)
@@ -65,4 +72,5 @@ def run_pipeline(
         faces = faces.join(scoring.contenders(members).select("asset_id").distinct(), "asset_id", "left_semi")
     ranked = written(scoring.scored(members, faces), "ranked")
     progress.done(1)
-    return Scan(edges, members, ranked, scoring.groups(ranked, edges))
+    skipped = written(images.skip_counts(found), "skipped") if found is not None else None
+    return Scan(edges, members, ranked, scoring.groups(ranked, edges), skipped)
