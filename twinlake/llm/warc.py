@@ -134,6 +134,7 @@ def plan_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
         F.sha2(F.encode(body, "UTF-8"), 256).alias("digest"), F.octet_length(body).cast("long").alias("length"),
     )
     thin = p.where((F.col("length") >= least_bytes) & F.col("page_id").isNotNull()).select("digest", "page_id")
+    thin = written(thin, "warc-digests")  # so that groups and revisits do not hash the pages again
     many = thin.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     many = written(many.where("first < last").select("digest", "first"), "warc-copies")  # plain, so a hot digest can be split
     revisits = written(thin.join(many, "digest").where("page_id > first").distinct(), "warc-revisits")
