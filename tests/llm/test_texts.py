@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 P = pytest.importorskip("public_tokenizers")
+from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from twinlake.llm import simple8b, suffix_dedup  # noqa: E402
@@ -21,7 +22,7 @@ from twinlake.llm.source_mix import mix_sources, source_targets  # noqa: E402
 from twinlake.llm.suffix_blocks import repeated  # noqa: E402
 from twinlake.llm.suffix_dedup import _whole_words, remove_repeats, repeated_intervals  # noqa: E402
 from twinlake.llm.token_files import read_token_files, write_token_files  # noqa: E402
-from twinlake.llm.token_prefixes import PrefixCounts, count_prefixes  # noqa: E402
+from twinlake.llm.token_prefixes import PrefixCounts, chars_within, count_prefixes, tokens_of_prefix  # noqa: E402
 from twinlake.session import shared_dir  # noqa: E402
 
 PATH = P.path("byte_bpe_50k.json")
@@ -144,6 +145,23 @@ def _intervals(texts, span):
     return out
 
 
+def test_questions_to_a_stored_table_of_prefixes(spark, tmp_path):
+    """Truncations and budgets, one a row, from counts that were written; nothing is encoded again."""
+    texts = [*(t[:400] for t in ODD), None]
+    df = spark.createDataFrame([(k, t, (7 * k) % 23 - 1) for k, t in enumerate(texts)], "doc_id long, text string, ask int")
+    count_prefixes(df, PATH, table=True).drop("text").write.parquet(f"{tmp_path}/prefixes")
+    stored = spark.read.parquet(f"{tmp_path}/prefixes")
+    ask = F.col("ask")
+    rows = stored.select("doc_id", "ask", tokens_of_prefix(F.col("prefix_counts"), ask).alias("tokens"), chars_within(F.col("prefix_counts"), ask).alias("chars")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id] or ""
+        assert r.tokens == len(_ids(t[: max(r.ask, 0)])), r
+        assert r.chars == max((k for k in range(1, len(t) + 1) if len(_ids(t[:k])) <= r.ask), default=0), r
+    none = stored.select(tokens_of_prefix(F.lit(None).cast("binary"), ask).alias("a"), chars_within(F.lit(None).cast("binary"), ask).alias("b")).first()
+    assert none.a is None and none.b is None
+
+
 @pytest.mark.parametrize("letters", [2, 3, 20])
 def test_repeated_windows_by_cover_ranks(letters):
     rng = np.random.default_rng(letters)

@@ -8,7 +8,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from twinlake.llm.batches import release
 from twinlake.llm.bpe import Vocabulary, read_vocabulary, vocabulary
@@ -295,6 +295,37 @@ def count_prefixes(
     return documents.select(*cols, count(F.col(text)).alias(found)).select(*cols, f"{found}.*")
 
 
+def tokens_of_prefix(prefix_counts: F.Column, chars: F.Column) -> F.Column:
+    """Tokens of a text cut behind so many characters, from its stored prefix_counts; all of it where it has no more.
+
+    No characters, and an empty table, are 0 tokens. A look at four bytes, by
+    built-in functions.
+    """
+    at = F.least(chars.cast("long"), (F.octet_length(prefix_counts) / 4).cast("long"))
+    raw = F.hex(F.substring(prefix_counts, (4 * at - 3).cast("int"), F.lit(4)))
+    back = F.concat(*(F.substring(raw, k, 2) for k in (7, 5, 3, 1)))  # the least byte is stored first
+    return F.when(at > 0, F.conv(back, 16, 10).cast("long")).when(at <= 0, F.lit(0).cast("long"))
+
+
+def chars_within(prefix_counts: F.Column, budget: F.Column) -> F.Column:
+    """Characters of the longest prefix of at most budget tokens, from stored prefix_counts; null where either is.
+
+    Budgets can differ from row to row. A longer prefix can have fewer tokens
+    than a shorter one, so the last that fits is looked for, not the first that
+    does not. Needs ship_package where no operator has run yet.
+    """
+
+    @F.arrow_udf(T.LongType())
+    def last_within(counts: pa.Array, most: pa.Array) -> pa.Array:
+        out = []
+        for raw, n in zip(counts, most.to_pylist(), strict=True):
+            fit = np.flatnonzero(np.frombuffer(raw.as_py(), "<u4") <= n) if raw.is_valid and n is not None else None
+            out.append(None if fit is None else int(fit[-1]) + 1 if len(fit) else 0)
+        return pa.array(out, pa.int64())
+
+    return last_within(prefix_counts, budget)
+
+
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     """Token totals and the 1,024-token cut of all documents."""
     import public_tokenizers
