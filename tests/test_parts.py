@@ -4,12 +4,14 @@ import os
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_reach import frame, shapes
 
 from twinlake.operators import incremental, reach, vectors
 from twinlake.operators.neighbour_index import NeighbourIndex, refreshed
-from twinlake.schema import POINTS
+from twinlake.schema import FINGERPRINTS, POINTS
 from twinlake.sources.parts import Buckets
+from twinlake.streaming.ingest import rescan
 
 
 def _files(folder: Path) -> dict:
@@ -92,4 +94,28 @@ def test_index_of_nothing_and_built_again(spark, tmp_path):
     assert index.points().count() == 30 and 0 < index.nearest(frame(spark, x)).count() < n
     index.update(frame(spark, x).where("asset_id = 40"), gone=frame(spark, x).where("asset_id < 29"))
     assert sorted(r.asset_id for r in index.points().collect()) == [29, 40]
-    assert reach.shells(index.points()).agg({"n": "sum"}).first()[0] == 2
+    assert reach.shells(index.points()).agg({"n": "sum"}).first()[0] == 2 == index.count()
+    index.clear()
+    assert index.count() == 0 == index.nearest(frame(spark, x)).count()
+    index.build(frame(spark, x))
+    assert index.count() == 60
+
+
+def test_a_rescan_into_buckets(spark, tmp_path):
+    """What is signed again is all that is written again, and its points lose their lists."""
+    prints = Buckets(spark, (tmp_path / "prints").as_uri(), FINGERPRINTS, buckets=20)
+    points = Buckets(spark, (tmp_path / "points").as_uri(), POINTS, buckets=20)
+    raw = lambda k: bytes((k * 7 + i * (k % 5 + 1)) % 256 for i in range(768))
+    pixels = lambda ids, more=0: spark.createDataFrame([(k, 16, raw(k + more)) for k in ids], "asset_id long, edge int, rgb binary")
+    stamps = lambda ids, t: spark.createDataFrame([(k, t) for k in ids], "asset_id long, stamp double")
+    assert rescan(pixels(range(40)), stamps(range(40), 0.0), prints, points) == 40
+    points.save(points.load().withColumn("near_version", F.lit(1)))
+    before = {n: _files(tmp_path / n) for n in ("prints", "points")}
+    assert rescan(pixels(range(40), 3), stamps([1, 2], 9.0).union(stamps(range(3, 40), 0.2)), prints, points) == 2
+    for n in ("prints", "points"):
+        changed = {os.path.dirname(f) for f, _ in set(before[n].items()) ^ set(_files(tmp_path / n).items())}
+        assert 1 <= len(changed) <= 2
+    assert {r.asset_id for r in points.load().where("near_version is null").collect()} == {1, 2}
+    assert prints.load().count() == 40 == points.load().count()
+    assert {r.stamp for r in prints.load().where("asset_id in (1, 2)").collect()} == {9.0}
+    assert rescan(pixels([]), stamps([1], 9.0), prints, points) == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from twinlake import config as C
@@ -10,12 +11,14 @@ from twinlake.operators import incremental, reach
 from twinlake.operators.vectors import best_turns
 from twinlake.session import written
 from twinlake.sources.parts import overwrite_parts, read_parts
+from twinlake.sources.shared_files import open_folder
 
 _L, _I, _D = T.LongType(), T.IntegerType(), T.DoubleType()
 STORED = T.StructType([
     T.StructField("asset_id", _L), T.StructField("shape", T.ArrayType(_I)), T.StructField("shape_norm", _L),
     T.StructField("angle", _D), T.StructField("spread", _L), T.StructField("cell", _I),
 ])
+PIVOT = T.StructType([T.StructField("k", _I), T.StructField("unit", T.ArrayType(_D))])
 SHELLS = T.StructType([T.StructField("shell", _I), T.StructField("n", _L), T.StructField("low", _D), T.StructField("high", _D), T.StructField("cell", _I)])
 
 
@@ -34,14 +37,14 @@ class NeighbourIndex:
     def build(self, points: DataFrame) -> None:
         """Chooses pivots and stores points; what was stored before is replaced."""
         pivots = reach.choose_pivots(points, points.count())
-        rows = self.spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(pivots)], "k int, unit array<double>")
+        rows = self.spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(pivots)], PIVOT)
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.uri}/pivots")
         # cells of an earlier build that have no points now are emptied too
         old = read_parts(self.spark, f"{self.uri}/shells", SHELLS).select("cell").distinct()
         self._put(self._placed(points), written(old, "index-old"))
 
     def pivots(self) -> np.ndarray:
-        rows = self.spark.read.parquet(f"{self.uri}/pivots").orderBy("k").collect()  # PIVOTS at most
+        rows = read_parts(self.spark, f"{self.uri}/pivots", PIVOT).orderBy("k").collect()  # PIVOTS at most
         return np.array([r["unit"] for r in rows]) if rows else np.zeros((0, 0))
 
     def _placed(self, points: DataFrame) -> DataFrame:
@@ -79,6 +82,15 @@ class NeighbourIndex:
         kept = self.points(cells).join(ids, "asset_id", "left_anti").select(*STORED.names)
         self._put(written(kept.unionByName(new), "index-kept"), touched)
 
+    def count(self) -> int:
+        """How many points are stored, by their shells."""
+        return read_parts(self.spark, f"{self.uri}/shells", SHELLS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def clear(self) -> None:
+        system, top = open_folder(self.uri)
+        if system.get_file_info(top).type == fs.FileType.Directory:
+            system.delete_dir_contents(top)
+
     def plan(self, queries: DataFrame, floor: float = C.NEIGHBOUR_FLOOR) -> tuple[DataFrame, reach.Search]:
         """The placed queries, and what of the index they reach."""
         asked = self._placed(queries)
