@@ -142,20 +142,28 @@ def _gated(left: list[np.ndarray], right: list[np.ndarray], part: int, sensitivi
 def gated_pairs(thin: DataFrame, sensitivity: str) -> DataFrame:
     """PAIR rows of all pairs of stills (asset_id, dhash, mean_luma, aspect) past the gates.
 
-    Rows meet under gate_keys, those of keys with many in blocks of BLOCK, so no
-    task holds a key; in a task, hashes are compared as two vectors of words.
+    Rows meet under gate_keys, both sides of a key with many in blocks of BLOCK, so
+    no task holds a key; in a task, hashes are compared as two vectors of words.
     """
     spark = thin.sparkSession
     ship_package(spark)
     left, right = gate_keys(thin, sensitivity)
-    size = left.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    large = F.broadcast(size.where("blocks > 1"))  # fewer than the rows of left / BLOCK
-    of = F.coalesce("blocks", F.lit(1))
-    a = left.join(large, KEYS, "left").withColumn("block", F.pmod(F.xxhash64("asset_id"), of).cast("int"))
-    b = right.join(large, KEYS, "left").withColumn("block", F.explode(F.sequence(F.lit(0), of - 1)))
-    own = ["asset_id", "dhash", "mean_luma", "aspect", "home"]
-    key = [*KEYS, "block"]
-    both = a.select(*key, F.lit(True).alias("left"), *own).union(b.select(*key, F.lit(False).alias("left"), *own))
+    # how many blocks either side of a key has; one of one and one is not listed
+    side = lambda t, x, y: t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).select(*KEYS, F.ceil(F.col("n") / BLOCK).cast("int").alias(x), F.lit(1).alias(y))
+    both = side(left, "ls", "rs").unionByName(side(right, "rs", "ls")).groupBy(*KEYS).agg(F.max("ls").alias("ls"), F.max("rs").alias("rs"))
+    large = F.broadcast(both.where("ls > 1 or rs > 1"))  # fewer than the rows of both sides / BLOCK
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """rows in one of the blocks of their side, with each of the other's."""
+        t = rows.join(large, KEYS, "left")
+        of, across = F.coalesce(own, F.lit(1)), F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
+        return t.select(*rows.columns, F.pmod(F.xxhash64("asset_id"), of).cast("int").alias(own), F.explode(across).alias(other))
+
+    fields = ["asset_id", "dhash", "mean_luma", "aspect", "home"]
+    key = [*KEYS, "ls", "rs"]
+    both = dealt(left, "ls", "rs").select(*key, F.lit(True).alias("left"), *fields).union(
+        dealt(right, "rs", "ls").select(*key, F.lit(False).alias("left"), *fields)
+    )
 
     def solve(run: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         side = run[len(key)]
@@ -179,8 +187,7 @@ def gated_pairs(thin: DataFrame, sensitivity: str) -> DataFrame:
         if held:
             yield from solve([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    dealt = both.repartition(partitions(spark), *key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(work, PAIR)
+    return both.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(work, PAIR)
 
 
 def still_candidates(library: DataFrame, sensitivity: str) -> DataFrame:
