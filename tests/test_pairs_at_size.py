@@ -1,10 +1,10 @@
-"""Pairs are told apart in the tasks where their keys meet, by histograms that ride along."""
+"""Pairs are told apart in the tasks where their keys meet, by histograms and short codes that ride along."""
 
 import numpy as np
 import pytest
 
 from twinlake import config as C
-from twinlake.operators import candidates as cand
+from twinlake.operators import candidates as cand, codes, reach, vectors
 from twinlake.plans import fixture
 
 STILL = "asset_id long, kind int, pixel_width int, pixel_height int, dhash long, mean_luma double, histogram array<int>, creation_ts timestamp_ntz"
@@ -64,3 +64,29 @@ def test_colours_meet_by_counts(spark, monkeypatch, block):
 def test_rasters_are_made_in_one_pass(spark):
     plan = fixture.still_pixels(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
+
+
+def test_codes_leave_near_pairs_only(spark):
+    """Scenes of a few copies: what is scored grows with the shapes, and the best are those of a search of all."""
+    rng = np.random.default_rng(5)
+    scenes = rng.normal(size=(120, 40)) @ rng.normal(size=(40, 480)) * 100
+    x = np.round(scenes[np.arange(600) % 120] + rng.normal(size=(600, 480)) * 20).astype(np.int64)
+    x[:40] = x[0]
+    t = spark.createDataFrame([(k, v.tolist(), int((v * v).sum())) for k, v in enumerate(x)], "asset_id long, shape array<int>, shape_norm long")
+    reps = t.withColumnRenamed("asset_id", "rep")
+    along = codes.axes(t, 0.96, 4)
+    assert along.shape[1] < 128
+    left = codes.close_pairs(reps, 600, along, 0.96, 4, None).count()
+    assert left < 0.05 * 600 * 600 / 2
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    best = {}
+    for turn in range(4):
+        at, sign = reach.rotation(turn)
+        c = (u[:, at] * sign) @ u.T
+        for q in range(600):
+            order = sorted(np.flatnonzero(c[q] >= 0.96).tolist(), key=lambda p: (-round(c[q, p], 9), p))[:6]
+            for p in order:
+                if p != q:
+                    best[q, p] = max(best.get((q, p), -1), c[q, p])
+    got = {(r["query"], r["point"]): r.score for r in vectors.nearest(t, t, limit=5).collect()}
+    assert set(got) == set(best) and all(abs(got[k] - best[k]) < 1e-9 for k in got)
