@@ -105,3 +105,9 @@ def test_very_long_and_very_deep_pages():
     assert model.texts(["<div>" * 50_000 + "x"])[0] in ("x", "")
     text = "word, " * 200 + "end."
     assert model.texts(["<article>" + f"<p>{text}</p>" * 2000 + "</article><footer>no</footer>"])[0] == " ".join([text] * 2000)
+
+
+def test_digits_of_a_whole_text_count():
+    words = "word " * 600
+    near, far = X.Layout([Page(f"<p>{'12345 ' * 400}{words}</p>")]), X.Layout([Page(f"<p>{words}{'12345 ' * 400}</p>")])
+    assert near.own[:, 4].sum() == far.own[:, 4].sum() == 2000

@@ -48,7 +48,7 @@ class Layout:
             for r, t in p.text.items():
                 self.run[at + r] = True
                 words = len(t.split())
-                self.own[at + r] = (len(t.strip()), words, p.links[r], sum(map(t.count, ",.;:!?")), sum(map(str.isdigit, t[:2000])), t.count("©") + t.count("|") + t.count("·"), words > 0)
+                self.own[at + r] = (len(t.strip()), words, p.links[r], sum(map(t.count, ",.;:!?")), sum(map(str.isdigit, t)), t.count("©") + t.count("|") + t.count("·"), words > 0)
                 self.marked[at + r] = p.marked.get(r, 0)
         # elements with children that are no runs
         self.branch = np.zeros(n, bool)
