@@ -90,3 +90,17 @@ def test_codes_leave_near_pairs_only(spark):
                     best[q, p] = max(best.get((q, p), -1), c[q, p])
     got = {(r["query"], r["point"]): r.score for r in vectors.nearest(t, t, limit=5).collect()}
     assert set(got) == set(best) and all(abs(got[k] - best[k]) < 1e-9 for k in got)
+
+
+def test_products_of_codes_are_made_in_tiles(spark, monkeypatch):
+    """Tiles that do not divide the rows find what one product finds."""
+    rng = np.random.default_rng(6)
+    x = np.round((rng.normal(size=(30, 480)) * 100)[np.arange(150) % 30] + rng.normal(size=(150, 480)) * 10).astype(np.int64)
+    t = spark.createDataFrame([(k, v.tolist(), int((v * v).sum())) for k, v in enumerate(x)], "rep long, shape array<int>, shape_norm long")
+    along = codes.axes(t.withColumnRenamed("rep", "asset_id"), 0.96, 4)
+    found = []
+    for step, wide in ((1000, 1000), (7, 11)):
+        monkeypatch.setattr(codes, "STEP", step)
+        monkeypatch.setattr(codes, "WIDE", wide)
+        found.append(sorted(map(tuple, codes.close_pairs(t, 150, along, 0.96, 4, None).collect())))
+    assert found[0] == found[1] and len(found[0]) >= 450
