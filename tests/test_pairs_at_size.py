@@ -104,3 +104,12 @@ def test_products_of_codes_are_made_in_tiles(spark, monkeypatch):
         monkeypatch.setattr(codes, "WIDE", wide)
         found.append(sorted(map(tuple, codes.close_pairs(t, 150, along, 0.96, 4, None).collect())))
     assert found[0] == found[1] and len(found[0]) >= 450
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (64, 4096), (70, 5000), (0, 3), (3, 0)])
+def test_near_hashes_of_ragged_tiles(n, m):
+    rng = np.random.default_rng(7)
+    a, b = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, m))
+    found = [(low + i, low_ + j, x) for low, low_, *c in cand.near_hashes(a, b, 22) for i, j, x in zip(*c)]
+    i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]) <= 22)
+    assert sorted(found) == list(zip(i, j, a[i] ^ b[j]))
