@@ -32,6 +32,16 @@ def test_edits_last_one_wins(spark):
     assert {r.group_id: r.keeps_nothing for r in review.keeps_nothing(all_of).collect()} == {1: True, 2: False}
 
 
+def test_edits_of_a_large_group_do_not_meet_all_its_members(spark):
+    base = spark.range(3000).selectExpr("1L as group_id", "id as asset_id", "id > 0 as marked")
+    keep = spark.createDataFrame([(1, 1, 7, "keep_only")], "seq long, group_id long, asset_id long, action string")
+    edits = keep.union(base.selectExpr("2L as seq", "group_id", "asset_id", "'toggle' as action"))
+    out = review.apply_edits(base, edits)
+    assert {r.asset_id for r in out.where("not marked").collect()} == set(range(3000)) - {7}
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert joins and not any(" OR " in x for x in joins)
+
+
 def test_contenders_keep_to_the_budget(spark):
     rows = [(g, 3 * g + k, k, 1.0 + k) for g in range(200) for k in range(3)]
     m = spark.createDataFrame(rows, "group_id long, asset_id long, position int, sharpness double")

@@ -20,17 +20,15 @@ def apply_edits(review: DataFrame, edits: DataFrame) -> DataFrame:
     keep_all and reset (for the group; asset_id null). Toggles since the last other
     action add up.
     """
-    base = review.withColumn("initial", F.col("marked"))
-    pairs = base.join(edits.withColumnRenamed("asset_id", "target"), "group_id")
-    touches = (F.col("action") != "toggle") | (F.col("target") == F.col("asset_id"))
-    steps = pairs.where(touches)
-    key = ["group_id", "asset_id"]
-    whole = F.max(F.when(F.col("action") != "toggle", F.col("seq"))).over(Window.partitionBy(*key))
-    steps = steps.withColumn("whole", F.coalesce(whole, F.lit(-1)))
-    last = F.max_by(F.struct("action", "target"), "seq")
-    state = steps.where("action <> 'toggle' and seq = whole").groupBy(*key).agg(last.alias("s"))
-    flips = steps.where("action = 'toggle' and seq > whole").groupBy(*key).agg(F.count(F.lit(1)).alias("flips"))
-    out = base.join(state, key, "left").join(flips, key, "left")
+    base, key = review.withColumn("initial", F.col("marked")), ["group_id", "asset_id"]
+    # what holds for a whole group is one row a group, the last that does; a toggle goes to its own asset only
+    last = F.max_by(F.struct("seq", "action", F.col("asset_id").alias("target")), "seq")
+    whole = edits.where("action <> 'toggle'").groupBy("group_id").agg(last.alias("s"))
+    base = base.join(whole, "group_id", "left")
+    toggles = edits.where("action = 'toggle'").select("seq", *key)
+    flips = base.select(*key, F.coalesce("s.seq", F.lit(-1)).alias("whole")).join(toggles, key)
+    flips = flips.where("seq > whole").groupBy(*key).agg(F.count(F.lit(1)).alias("flips"))
+    out = base.join(flips, key, "left")
     marked = (
         F.when(F.col("s.action") == "keep_only", F.col("asset_id") != F.col("s.target"))
         .when(F.col("s.action") == "keep_all", F.lit(False))
