@@ -113,6 +113,38 @@ def test_stars_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     assert got == want
 
 
+def test_cliques_that_fit_no_task_take_no_rounds(spark, monkeypatch):
+    """Black pictures are all copies of each other, equally surely: one class of twins, whatever hangs on it."""
+    monkeypatch.setattr(graph, "_everywhere", lambda *a: pytest.fail("rounds over a clique"))
+    cliques = [list(range(k, 600, 3)) for k in range(3)]
+    edges = [(a, b, 0.95) for c in cliques for a in c for b in c if a < b]
+    edges += [(1000 + k, 0, 0.5 + k % 3 / 10) for k in range(9)] + [(2000, 1, 0.99), (2000, 4, 0.9)]
+    df = spark.createDataFrame(edges, "src long, dst long, confidence double").repartition(4)
+    got = {(r.cluster, r.node, r.position) for r in star_clusters(df, 60, 1000).collect()}
+    assert got == _stars(edges, 60)
+
+
+def test_stars_by_twins_are_the_stars(spark, monkeypatch):
+    solved, real = [], graph._by_twins
+    monkeypatch.setattr(graph, "_by_twins", lambda *a: (lambda found: solved.append(found[0].count()) or found)(real(*a)))
+    rng = random.Random(7)
+    for turn in range(2):
+        # classes of some nodes each, linked wholly or not at all; in the second turn some edges have another confidence
+        sizes = [rng.randint(4, 9) for _ in range(9)]
+        ids = rng.sample(range(500), sum(sizes))
+        classes = [[ids.pop() for _ in range(n)] for n in sizes]
+        edges = [(a, b, w) for c in classes for w in [rng.choice((0.5, 0.7, 0.9))] for a in c for b in c if a < b]
+        for k, c in enumerate(classes):
+            for d in classes[:k]:
+                if rng.random() < 0.4:
+                    w = rng.choice((0.5, 0.7, 0.9))
+                    edges += [(a, b, w - (0.1 if turn and rng.random() < 0.01 else 0.0)) for a in c for b in d]
+        df = spark.createDataFrame(edges, "src long, dst long, confidence double")
+        got = {(r.cluster, r.node, r.position) for r in star_clusters(df, 5, 100).collect()}
+        assert got == _stars(edges, 5)
+    assert sum(solved)
+
+
 def test_a_star_of_a_million_edges_stays_spread(spark):
     """The edges of a hub are joined where they lie, in the final plan too."""
     n = 1_000_000
