@@ -76,3 +76,23 @@ def test_sixths_are_rounded_values(spark):
     t = spark.createDataFrame([(v,) for v in values], "x double")
     rows = t.select(media._r("x").alias("a"), media._sixths("x").alias("b")).collect()
     assert [repr(r.a) for r in rows] == [repr(r.b) for r in rows]
+
+
+def test_blocks_fit_the_tasks(spark, monkeypatch):
+    """A key of fewer rows than a block is dealt to as many tasks as the session has."""
+    monkeypatch.setattr(cand, "LEAST", 8)
+    rng = np.random.default_rng(10)
+    rows = [(k, int(h), 0.4, 1.5) for k, h in enumerate(rng.integers(0, 1 << 62, 200))]
+    thin = spark.createDataFrame(rows, "asset_id long, dhash long, mean_luma double, aspect double")
+
+    def solve(key, left):
+        return lambda right: iter([pa.RecordBatch.from_arrays([pa.array([len(left["asset_id"])])], names=["n"])])
+
+    left, right = cand.gate_keys(thin, "similar")
+    held = [r.n for r in cand.met(left, right, cand.KEYS, ["asset_id"], solve, "n long").collect()]
+    assert len(held) >= 4 and max(held) < 100
+
+
+def test_no_text_of_each_similarity(spark):
+    plan = media.QUERIES["still_candidates_similar"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan[: plan.index("MapInArrow")]
